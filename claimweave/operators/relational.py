@@ -91,18 +91,21 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def rank_within(df: DataFrame, part: str, value: str, name: str = "rank", ranges: int = 64) -> DataFrame:
+def rank_within(df: DataFrame, part: str, value: str, name: str = "rank", ranges: int = 64,
+                whole: int = 100_000) -> DataFrame:
     """``rank()`` by descending ``value`` within ``part``, for groups of any size.
 
-    Each group's distinct values are cut into ranges at approximate quantiles.
-    A value's rank is one more than the rows in higher ranges plus the rows with
-    higher values in its own range, so no task ranks a whole group. The cuts
-    decide only how work is spread; the ranks are exact.
+    The distinct values of a group of more than ``whole`` rows are cut into
+    ranges at approximate quantiles. A value's rank is one more than the rows in
+    higher ranges plus the rows with higher values in its own range, so no task
+    ranks a large group. The cuts decide only how work is spread; the ranks are
+    exact.
     """
     values = df.groupBy(part, value).agg(F.count(F.lit(1)).alias("_n"))
     steps = [F.lit(i / ranges) for i in range(1, ranges)]
+    quantiles = F.percentile_approx(F.col(value).cast("double"), F.array(*steps), F.lit(ranges * 50))
     cuts = values.groupBy(F.col(part).alias("_p")).agg(
-        F.percentile_approx(F.col(value).cast("double"), F.array(*steps), F.lit(ranges * 50)).alias("_cuts")
+        F.when(F.sum("_n") > whole, quantiles).otherwise(F.array().cast("array<double>")).alias("_cuts")
     )
     ranged = values.join(cuts, F.col(part).eqNullSafe(F.col("_p"))).select(
         part, value, "_n",

@@ -273,7 +273,7 @@ def denial_analysis(spark, sf):
 
 @query
 def dq_claims(spark, sf):
-    rows = view(spark, sf, "claims")
+    rows, with_members = _claims(spark, sf), view(spark, sf, "claims")
     return dq.all_checks(
         dq.run_checks(rows, [
             dq.not_null("claim_amount"),
@@ -284,7 +284,8 @@ def dq_claims(spark, sf):
             dq.not_older("service_date", 60, AS_OF),
         ]),
         dq.duplicate_keys(rows, "claim_id"),
-        dq.missing_parents(rows, view(spark, sf, "members").filter("member_id % 50 <> 0"), "member_id"),
+        dq.missing_parents(
+            with_members, view(spark, sf, "members").filter("member_id % 50 <> 0"), "member_id"),
     )
 
 
@@ -510,7 +511,7 @@ def keep_top_rows(spark, sf):
 def rank_within_type(spark, sf):
     """Rank of every part by price within its type."""
     parts = table(spark, sf, "part").select("p_partkey", "p_type", "p_retailprice")
-    return rel.rank_within(parts, "p_type", "p_retailprice", "price_rank")
+    return rel.rank_within(parts, "p_type", "p_retailprice", "price_rank", whole=200)
 
 
 @query

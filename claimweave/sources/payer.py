@@ -19,13 +19,13 @@ SELECT concat('CLM', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRIN
   CASE l_partkey % 12 WHEN 0 THEN '77065' WHEN 1 THEN '77066' WHEN 2 THEN '77067' WHEN 3 THEN '99213' WHEN 4 THEN '99214' WHEN 5 THEN '99215' WHEN 6 THEN '81000' WHEN 7 THEN '85025' WHEN 8 THEN '80053' WHEN 9 THEN '99232' WHEN 10 THEN '70450' ELSE '73060' END AS procedure_code,
   CASE l_partkey % 7 WHEN 0 THEN 'E11.9' WHEN 1 THEN 'I10' WHEN 2 THEN 'J44.9' WHEN 3 THEN 'K21.9' WHEN 4 THEN 'M19.90' WHEN 5 THEN 'F41.9' ELSE 'E78.5' END AS diagnosis_code,
   CASE l_linenumber % 3 WHEN 0 THEN 'Professional' WHEN 1 THEN 'Institutional' ELSE 'Pharmacy' END AS claim_type,
-  CAST(l_extendedprice AS DECIMAL(9,2)) AS claim_amount,
-  CAST(CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' OR l_returnflag = 'N' AND l_linestatus = 'F' THEN CAST(l_extendedprice AS DECIMAL(9,2)) - l_partkey % 500
-            WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN CAST(l_extendedprice AS DECIMAL(9,2)) - 500 ELSE 0 END AS DECIMAL(9,2)) AS paid_amount,
-  CAST(CASE WHEN l_returnflag = 'R' THEN CAST(l_extendedprice AS DECIMAL(9,2)) WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 500 ELSE 0 END AS DECIMAL(9,2)) AS denied_amount,
+  amount AS claim_amount,
+  CAST(CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' OR l_returnflag = 'N' AND l_linestatus = 'F' THEN amount - l_partkey % 500
+            WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN amount - 500 ELSE 0 END AS DECIMAL(9,2)) AS paid_amount,
+  CAST(CASE WHEN l_returnflag = 'R' THEN amount WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 500 ELSE 0 END AS DECIMAL(9,2)) AS denied_amount,
   CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'APPROVED' WHEN 'AO' THEN 'PARTIAL' WHEN 'NF' THEN 'Paid' WHEN 'NO' THEN 'Pending' WHEN 'RF' THEN 'DENIED' ELSE 'Denied' END AS claim_status,
   70 + l_partkey % 31 AS quality_score
-FROM lineitem {orders}""",
+FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(9,2)) AS amount FROM lineitem) {orders}""",
     "members": """
 SELECT c_custkey AS member_id, c_name AS last_name,
   CAST(18 + (c_custkey * 37) % 73 AS INT) AS age,
