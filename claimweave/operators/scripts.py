@@ -6,8 +6,10 @@ searched, and only counts and flags leave the scan.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +87,7 @@ def validity(files: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
     empty = ~t.rlike(r"(?U)[^\s\x1c-\x1f]")
     upper = F.upper(t)
-    known = upper.rlike("|".join(KEYWORDS))
+    known = reduce(operator.or_, (F.contains(upper, F.lit(k)) for k in KEYWORDS))
     return files.withColumn("is_valid", ~empty & known).withColumn(
         "reason", F.when(empty, "empty").when(~known, "no_keyword").otherwise("ok")
     )

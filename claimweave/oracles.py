@@ -6,8 +6,8 @@ plain joins, windows over whole groups, distinct counts and RE2 patterns.
 
 from __future__ import annotations
 
-from claimweave.plans.risk import SLOT_WEIGHTS
-from claimweave.registry import ALL_TABLES, AS_OF, COST_LAYOUT, SINCE
+from claimweave.plans import claims, members, prior_auth, providers, risk, screening
+from claimweave.registry import ALL_TABLES, AS_OF, SINCE
 from claimweave.sources.payer import portable
 
 # White space and word characters as the Unicode classes Spark's patterns use.
@@ -43,6 +43,13 @@ def _unpivot(rows: list[str]) -> str:
     return "\nUNION ALL ".join(rows)
 
 
+def _lines(name: str, layout, extra: str = "", keys: str = "") -> str:
+    """The lines of a report whose row is the statement ``name``."""
+    return f"WITH report AS (SELECT *{extra} FROM ({ORACLES[name]}))\n" + _unpivot([
+        f"SELECT {keys}CAST({i} AS INT) AS seq, '{section}' AS section, '{label}' AS label, CAST({column} AS DOUBLE) AS value FROM report"
+        for i, (section, label, column) in enumerate(layout, 1)])
+
+
 _ELIGIBLE = ("gender = 'F' AND age >= 50 AND age <= 74 AND enrollment_status = 'ACTIVE' "
              "AND enrollment_months = 12")
 _CODES = "procedure_code IN ('77065', '77066', '77067')"
@@ -100,9 +107,8 @@ _COST = dict(
       {_cut('approved_claims', 'total_claims')} AS approval_rate, {_cut('denied_claims', 'total_claims')} AS denial_rate,
       {_cut('paid * 100', 'billed * 100')} AS paid_pct FROM t""")
 ORACLES["claims_cost_summary"] = _with("claims", **_COST) + "SELECT * FROM s"
-ORACLES["claims_cost_lines"] = _with("claims", **_COST) + _unpivot([
-    f"SELECT CAST({i} AS INT) AS seq, '{section}' AS section, '{label}' AS label, CAST({col} AS DOUBLE) AS value FROM s"
-    for i, (section, label, col) in enumerate(COST_LAYOUT, 1)])
+ORACLES["claims_cost_lines"] = _lines("claims_cost_summary", claims.COST_REPORT)
+ORACLES["screening_lines"] = _lines("screening_summary", screening.SCREENING_REPORT)
 
 ORACLES["claims_risk_levels"] = _with("claims") + """
 SELECT CASE WHEN claim_amount > 100000 THEN 'CRITICAL' WHEN claim_amount > 50000 THEN 'HIGH'
@@ -183,7 +189,7 @@ ORACLES["risk_stratification"] = _with("risk_scores", kept=_KEPT, h=_HIERARCHY)
 ORACLES["keep_top_rows"] = _with("risk_scores", kept=_KEPT) + \
     "SELECT * REPLACE (CAST(risk_score AS DOUBLE) AS risk_score) FROM kept"
 
-_SLOTS = " ".join(f"WHEN '{code}' THEN {round(w * 1000)}" for code, w in SLOT_WEIGHTS.items())
+_SLOTS = " ".join(f"WHEN '{code}' THEN {round(w * 1000)}" for code, w in risk.SLOT_WEIGHTS.items())
 ORACLES["hcc_array_scores"] = _with("diagnoses") + f"""
 SELECT member_id, string_agg(hcc_code, ',' ORDER BY hcc_code) AS hcc_slots,
   CAST(sum(CASE hcc_code {_SLOTS} ELSE 0 END) AS DOUBLE) / 1000 AS hcc_score_sum
@@ -491,3 +497,10 @@ SELECT c_custkey, upper(c_name) AS upper_name, substring(c_name, 1, 8) AS name_s
   CAST(sign(units) * (abs(units) // 700) AS DOUBLE) / 100 AS stored, abs(c_acctbal) AS magnitude FROM w"""
 ORACLES["top_k"] = """
 SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey ORDER BY orders DESC, o_custkey LIMIT 25"""
+
+ORACLES["churn_lines"] = _lines(
+    "churn_summary", members.CHURN_REPORT,
+    extra=", 500 AS premium_threshold, 2 AS claims_threshold, 50000 AS cost_threshold")
+ORACLES["raf_lines"] = _lines("raf_report", risk.RAF_REPORT)
+ORACLES["provider_lines"] = _lines("provider_performance", providers.PERFORMANCE_REPORT, keys="provider_id, ")
+ORACLES["prior_auth_lines"] = _lines("prior_auth_summary_report", prior_auth.TURNAROUND_REPORT)

@@ -10,6 +10,23 @@ from claimweave.functions.expr import ladder, sum_if
 from claimweave.functions.pic import money, pct, safe_avg
 
 
+# Sections and labels of the cost report.
+COST_REPORT = (
+    ("CLAIMS VOLUME", "Total Claims", "total_claims"),
+    ("CLAIMS VOLUME", "Approved", "approved_claims"),
+    ("CLAIMS VOLUME", "Denied", "denied_claims"),
+    ("CLAIMS VOLUME", "High-Cost (>$50K)", "high_cost_claims"),
+    ("FINANCIAL SUMMARY", "Total Billed", "total_billed"),
+    ("FINANCIAL SUMMARY", "Total Paid", "total_paid"),
+    ("FINANCIAL SUMMARY", "Total Denied", "total_denied"),
+    ("FINANCIAL SUMMARY", "Average Claim", "avg_claim"),
+    ("FINANCIAL SUMMARY", "Average Paid", "avg_paid"),
+    ("PERFORMANCE METRICS", "Approval Rate", "approval_rate"),
+    ("PERFORMANCE METRICS", "Denial Rate", "denial_rate"),
+    ("PERFORMANCE METRICS", "Paid Percentage", "paid_pct"),
+)
+
+
 def claims_cost_summary(claims: DataFrame, *, high_cost=50000, paid_statuses=("APPROVED", "PARTIAL"),
                         denied="DENIED", partial="PARTIAL") -> DataFrame:
     """Volumes, amounts and rates of all claims in one pass.

@@ -19,6 +19,22 @@ TERMED = ("TERMINATED", "SUSPENDED")
 CHURN_RUNGS = [(">=", 70, "CRITICAL"), (">=", 50, "HIGH"), (">=", 30, "MEDIUM")]
 
 
+# Sections and labels of the churn report.
+CHURN_REPORT = (
+    ("MEMBER STATISTICS", "Total Members", "total"),
+    ("MEMBER STATISTICS", "Active", "active"),
+    ("MEMBER STATISTICS", "Terminated", "termed"),
+    ("MEMBER STATISTICS", "High Churn Risk", "high_risk"),
+    ("PLAN TYPE DISTRIBUTION", "Medicare/MA", "medicare"),
+    ("PLAN TYPE DISTRIBUTION", "Commercial", "commercial"),
+    ("KEY METRICS", "Churn Rate", "churn_rate"),
+    ("KEY METRICS", "Retention Rate", "retention_rate"),
+    ("CHURN RISK FACTORS", "High Premium Threshold", "premium_threshold"),
+    ("CHURN RISK FACTORS", "Low Utilization Threshold", "claims_threshold"),
+    ("CHURN RISK FACTORS", "High Cost Threshold", "cost_threshold"),
+)
+
+
 def churn_score(premium=500, min_claims=2, cost=50000, young=30, pts=(30, 25, -20, 20)):
     return points([
         (F.col("premium_amount") > premium, pts[0]),
@@ -55,6 +71,12 @@ def churn_summary(members: DataFrame, **rules) -> DataFrame:
     })
 
 
+def with_thresholds(summary: DataFrame, premium=500, min_claims=2, cost=50000) -> DataFrame:
+    """The summary row with the thresholds its report quotes."""
+    return summary.withColumns({
+        "premium_threshold": F.lit(premium), "claims_threshold": F.lit(min_claims), "cost_threshold": F.lit(cost)})
+
+
 def plan_family_counts(members: DataFrame) -> DataFrame:
     return freq(members.select(plan_family().alias("plan_family")), "plan_family", "members")
 

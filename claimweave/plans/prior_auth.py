@@ -10,6 +10,26 @@ from claimweave.functions.expr import ladder
 from claimweave.functions.pic import pct, safe_avg
 
 
+# Sections and labels of the turnaround report.
+TURNAROUND_REPORT = (
+    ("REQUEST VOLUME", "Total Requests", "total_requests"),
+    ("REQUEST VOLUME", "Approved", "approved"),
+    ("REQUEST VOLUME", "Denied", "denied"),
+    ("REQUEST VOLUME", "Pending", "pending"),
+    ("TURNAROUND TIME DISTRIBUTION", "Fast (0-3 days)", "fast"),
+    ("TURNAROUND TIME DISTRIBUTION", "Standard (4-7 days)", "standard"),
+    ("TURNAROUND TIME DISTRIBUTION", "Slow (8-14 days)", "slow"),
+    ("TURNAROUND TIME DISTRIBUTION", "Overdue (>14 days)", "overdue"),
+    ("TURNAROUND STATISTICS", "Average Turnaround", "avg_days"),
+    ("TURNAROUND STATISTICS", "Minimum", "min_days"),
+    ("TURNAROUND STATISTICS", "Maximum", "max_days"),
+    ("KEY METRICS", "Approval Rate", "approval_rate"),
+    ("KEY METRICS", "Denial Rate", "denial_rate"),
+    ("KEY METRICS", "Fast Turnaround %", "fast_pct"),
+    ("KEY METRICS", "SLA Compliance (<=7 days)", "sla_compliance"),
+)
+
+
 def turnaround(as_of):
     """Days from request to decision, or to ``as_of`` while there is none."""
     return days_between(F.col("request_date"), F.coalesce(F.col("approval_date"), as_of_day(as_of)))

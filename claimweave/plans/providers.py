@@ -18,6 +18,19 @@ LOWEST = 10
 TIERS = [(">=", 90, "TIER 1"), (">=", 75, "TIER 2"), (">=", 60, "TIER 3")]
 
 
+# Sections and labels of the report of one provider.
+PERFORMANCE_REPORT = (
+    ("CLAIMS METRICS", "Total Claims", "claims"),
+    ("CLAIMS METRICS", "Approved Claims", "approved"),
+    ("CLAIMS METRICS", "Approval Rate", "approval_rate"),
+    ("FINANCIAL METRICS", "Total Charges", "total_charges"),
+    ("FINANCIAL METRICS", "Total Paid", "total_paid"),
+    ("FINANCIAL METRICS", "Average Claim", "avg_claim"),
+    ("QUALITY METRICS", "Average Quality Score", "avg_quality"),
+    ("QUALITY METRICS", "Efficiency Score", "efficiency_score"),
+)
+
+
 def provider_performance(providers: DataFrame, provider_claims: DataFrame, *, quality=QUALITY,
                          approval=APPROVAL, cost=COST, tiers=TIERS,
                          paid_statuses=("APPROVED", "PARTIAL")) -> DataFrame:

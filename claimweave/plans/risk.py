@@ -37,6 +37,16 @@ SLOT_WEIGHTS = {
 }
 
 
+# Sections and labels of the score report.
+RAF_REPORT = (
+    ("", "MEMBERS SCORED", "members_scored"),
+    ("", "HIGH RAF (>3.0)", "high_raf_count"),
+    ("HCC WEIGHTS APPLIED", "HCC 17-19 (Diabetes)", "weight_diabetes"),
+    ("HCC WEIGHTS APPLIED", "HCC 85 (CHF)", "weight_chf"),
+    ("HCC WEIGHTS APPLIED", "HCC 111-112 (COPD)", "weight_copd"),
+)
+
+
 def member_raf_scores(members: DataFrame, diagnoses: DataFrame, *, factors=AGE_FACTORS, young=YOUNG_FACTORS,
                       weights=CONDITIONS, disabled=DISABLED, base=BASE, dedupe=None, keep=()) -> DataFrame:
     """Score of every member from demographics and diagnoses.

@@ -14,6 +14,17 @@ CODES = ("77065", "77066", "77067")
 BANDS = (("age_50_59", 50, 59), ("age_60_69", 60, 69), ("age_70_74", 70, 74))
 
 
+# Sections and labels of the screening report.
+SCREENING_REPORT = (
+    ("", "DENOMINATOR (ELIGIBLE WOMEN)", "denominator"),
+    ("", "NUMERATOR (HAD MAMMOGRAM)", "numerator"),
+    ("", "COMPLIANCE RATE", "compliance_rate"),
+    ("AGE GROUP BREAKDOWN", "50-59", "age_50_59"),
+    ("AGE GROUP BREAKDOWN", "60-69", "age_60_69"),
+    ("AGE GROUP BREAKDOWN", "70-74", "age_70_74"),
+)
+
+
 def eligible(sex: str, age: tuple[int, int], status: str, months: int):
     return all_of(
         F.col("gender") == sex,

@@ -15,30 +15,14 @@ from claimweave.operators import relational as rel
 from claimweave.operators import scripts, stats
 from claimweave.plans import claims, members, named, prior_auth, providers, risk, screening
 from claimweave.sources import layouts
-from claimweave.sources.payer import table, view
+from claimweave.sources.payer import SCHEMAS, table, view
 from claimweave.sources.records import decode_records, encode_records
 from claimweave.sources.tables import report_lines, stack_counts
 
 # Parameters of the registered queries; the claim lines run from 1995 to 2001.
 SINCE = "1998-01-01"
 AS_OF = "2001-12-31"
-ALL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-              "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-COST_LAYOUT = (
-    ("CLAIMS VOLUME", "Total Claims", "total_claims"),
-    ("CLAIMS VOLUME", "Approved", "approved_claims"),
-    ("CLAIMS VOLUME", "Denied", "denied_claims"),
-    ("CLAIMS VOLUME", "High-Cost", "high_cost_claims"),
-    ("FINANCIAL SUMMARY", "Total Billed", "total_billed"),
-    ("FINANCIAL SUMMARY", "Total Paid", "total_paid"),
-    ("FINANCIAL SUMMARY", "Total Denied", "total_denied"),
-    ("FINANCIAL SUMMARY", "Average Claim", "avg_claim"),
-    ("FINANCIAL SUMMARY", "Average Paid", "avg_paid"),
-    ("PERFORMANCE METRICS", "Approval Rate", "approval_rate"),
-    ("PERFORMANCE METRICS", "Denial Rate", "denial_rate"),
-    ("PERFORMANCE METRICS", "Paid Percentage", "paid_pct"),
-)
-
+ALL_TABLES = tuple(SCHEMAS)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -60,6 +44,11 @@ def screening_summary(spark, sf):
     return screening.screening_summary(view(spark, sf, "members"), _claims(spark, sf))
 
 
+@query
+def screening_lines(spark, sf):
+    return report_lines(screening_summary(spark, sf), screening.SCREENING_REPORT)
+
+
 @query
 def screening_member_rate(spark, sf):
     return screening.screening_member_rate(view(spark, sf, "members"), view(spark, sf, "claims"))
@@ -89,7 +78,7 @@ def claims_cost_summary(spark, sf):
 
 @query
 def claims_cost_lines(spark, sf):
-    return report_lines(claims.claims_cost_summary(_claims(spark, sf)), COST_LAYOUT)
+    return report_lines(claims.claims_cost_summary(_claims(spark, sf)), claims.COST_REPORT)
 
 
 @query
@@ -120,6 +109,11 @@ def churn_summary(spark, sf):
     return members.churn_summary(view(spark, sf, "members"))
 
 
+@query
+def churn_lines(spark, sf):
+    return report_lines(members.with_thresholds(churn_summary(spark, sf)), members.CHURN_REPORT)
+
+
 @query
 def plan_family_counts(spark, sf):
     return members.plan_family_counts(view(spark, sf, "members"))
@@ -151,6 +145,11 @@ def raf_report(spark, sf):
     return risk.applied_weights(risk.raf_report(_raf(spark, sf)))
 
 
+@query
+def raf_lines(spark, sf):
+    return report_lines(raf_report(spark, sf), risk.RAF_REPORT)
+
+
 @query
 def hcc_hierarchy_scores(spark, sf):
     return risk.hcc_hierarchy_scores(view(spark, sf, "risk_scores"))
@@ -175,6 +174,11 @@ def provider_performance(spark, sf):
         view(spark, sf, "providers"), view(spark, sf, "provider_claims", member=False))
 
 
+@query
+def provider_lines(spark, sf):
+    return report_lines(provider_performance(spark, sf), providers.PERFORMANCE_REPORT, keys=["provider_id"])
+
+
 def _dashboard(spark, sf, k):
     return providers.provider_dashboard(
         _claims(spark, sf, since=SINCE), view(spark, sf, "providers"), since=SINCE, k=k)
@@ -202,6 +206,11 @@ def prior_auth_summary_report(spark, sf):
     return prior_auth.prior_auth_summary_report(view(spark, sf, "prior_auth_summary"), as_of=AS_OF)
 
 
+@query
+def prior_auth_lines(spark, sf):
+    return report_lines(prior_auth_summary_report(spark, sf), prior_auth.TURNAROUND_REPORT)
+
+
 @query
 def table_row_counts(spark, sf):
     return stack_counts({name: table(spark, sf, name) for name in ALL_TABLES})

@@ -120,7 +120,26 @@ SELECT doc_id AS seq, CASE WHEN doc_id % 11 <> 0 THEN concat('src_', CAST(doc_id
 FROM documents""",
 }
 
-_TABLES = ("lineitem", "orders", "customer", "supplier", "documents", "conversations")
+# Declared schemas spare every query the job that would infer them from a footer.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 _WITH_MEMBER = {"member": "o_custkey AS member_id,", "orders": "JOIN orders ON l_orderkey = o_orderkey"}
 # Every claim line belongs to exactly one order, so without the member column
 # the join would only cost a shuffle of the largest table.
@@ -128,7 +147,7 @@ _WITHOUT_MEMBER = {"member": "", "orders": ""}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, member: bool = True,
@@ -137,7 +156,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, member: bool = True,
     the parquet scan can use to skip row groups."""
     text = VIEWS[name].format(**(_WITH_MEMBER if member else _WITHOUT_MEMBER))
     inputs = {}
-    for source in _TABLES:
+    for source in SCHEMAS:
         if re.search(rf"(FROM|JOIN) {source}\b", text):
             inputs[source] = table(spark, sf_dir, source)
             text = re.sub(rf"(FROM|JOIN) {source}\b", rf"\1 {{{source}}}", text)

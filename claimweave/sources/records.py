@@ -15,38 +15,48 @@ from claimweave.sources.layouts import Field, Layout
 _PLUS, _MINUS = "ACEF", "BD"
 
 
-def _point(digits: Column, field: Field) -> Column:
-    """Digits without a point to text with one, ready for a decimal cast."""
-    if not field.scale:
-        return digits
-    n = F.length(digits)
-    return F.concat(
-        digits.substr(F.lit(1), n - field.scale), F.lit("."),
-        digits.substr(n - field.scale + 1, F.lit(field.scale)),
-    )
+def _all_digits(raw: Column, n: int) -> Column:
+    """Whether ``raw`` is exactly ``n`` digits.
+
+    A cast to a whole number allows only a sign and surrounding blanks besides
+    digits; the first and last character rule those out more cheaply than a
+    pattern would.
+    """
+    if n > 18:
+        return raw.rlike(f"^[0-9]{{{n}}}$")
+    edges = (raw >= "0") & (raw < ":") & (F.substring(raw, n, 1) >= "0")
+    return edges & raw.try_cast("bigint").isNotNull()
 
 
 def _decode(field: Field, raw: Column, packed: bool) -> tuple[Column, Column]:
-    """The typed value and whether the bytes were malformed."""
+    """The typed value and whether the piece was malformed."""
     if field.kind == "text":
-        return F.rtrim(F.decode(raw, "ISO-8859-1")), F.lit(False)
+        return F.rtrim(raw), F.lit(False)
 
+    digits, sign = field.digits, F.lit("")
     if packed and field.kind == "packed":
-        nibbles = F.hex(raw)
-        clean = nibbles.rlike(f"^[0-9]{{{2 * field.width(True) - 1}}}[{_PLUS}{_MINUS}]$")
-        number = _point(nibbles.substr(1, 2 * field.width(True) - 1), field)
-        value = F.when(clean, number.try_cast(field.type))
-        negative = F.right(nibbles, F.lit(1)).isin(*_MINUS)
-        value = F.when(negative, -value).otherwise(value).cast(field.type)
-        return value, value.isNull()
-
-    digits = F.decode(raw, "ISO-8859-1")
-    clean = digits.rlike(f"^[0-9]{{{field.digits}}}$")
+        # Hexadecimal: a digit per nibble, the last one being the sign.
+        digits = 2 * field.width(True) - 1
+        last = F.substring(raw, digits + 1, 1)
+        clean = F.substring(raw, 1, digits).try_cast("bigint").isNotNull() & last.isin(*_PLUS, *_MINUS)
+        if digits > 18:
+            clean = raw.rlike(f"^[0-9]{{{digits}}}[{_PLUS}{_MINUS}]$")
+        sign = F.when(last.isin(*_MINUS), "-").otherwise("")
+    else:
+        clean = _all_digits(raw, digits)
+
     if field.kind == "date":
+        iso = F.concat_ws("-", F.substring(raw, 1, 4), F.substring(raw, 5, 2), F.substring(raw, 7, 2))
+        value = F.when(clean, iso.try_cast("date"))
         # Eight zeros mean "not set".
-        value = F.when(clean, F.try_to_date(digits, "yyyyMMdd"))
-        return value, value.isNull() & (digits != "0" * field.digits)
-    value = F.when(clean, _point(digits, field).try_cast(field.type))
+        return value, value.isNull() & (raw != "0" * digits)
+    if field.scale:
+        whole = digits - field.scale
+        raw = F.concat(
+            sign, F.substring(raw, 1, whole), F.lit("."), F.substring(raw, whole + 1, field.scale))
+    elif packed and field.kind == "packed":
+        raw = F.concat(sign, F.substring(raw, 1, digits))
+    value = F.when(clean, raw.try_cast(field.type))
     return value, value.isNull()
 
 
@@ -57,10 +67,23 @@ def decode_records(df: DataFrame, column: str, layout: Layout, packed: bool,
     Text is right-trimmed. Malformed numbers, dates and nibbles become NULL;
     with ``bad`` set, a column of that name lists the fields that were so.
     """
-    values, flags = [], []
+    # Bytes are cut by offset, which is far cheaper than cutting text; only text
+    # fields need decoding. Cutting and parsing are separate projections, so
+    # that each piece is cut once.
+    pieces = []
     for field, at in layout.slots(packed):
-        raw = F.substring(column, at + 1, field.width(packed))
-        value, malformed = _decode(field, raw, packed)
+        piece = F.substring(column, at + 1, field.width(packed))
+        if field.kind == "text":
+            piece = F.decode(piece, "ISO-8859-1")
+        elif packed and field.kind == "packed":
+            piece = F.hex(piece)
+        else:
+            piece = piece.cast("string")
+        pieces.append(piece.alias(field.name))
+    df = df.select(*pieces)
+    values, flags = [], []
+    for field in layout.fields:
+        value, malformed = _decode(field, F.col(field.name), packed)
         values.append(value.alias(field.name))
         if field.kind != "text":
             flags.append(F.when(malformed, F.lit(field.name)))
@@ -105,22 +128,32 @@ def read_packed(spark: SparkSession, path: str, layout: Layout, trailer: int = 0
 
 def encode_records(df: DataFrame, layout: Layout, packed: bool, column: str = "record") -> DataFrame:
     """The inverse of :func:`decode_records`, used to derive record inputs from tables."""
-    parts = []
+    # Neighbouring display fields are encoded as one text.
+    parts, run = [], []
+
+    def close_run():
+        if run:
+            parts.append(F.encode(F.concat(*run), "ISO-8859-1"))
+            run.clear()
+
     for field in layout.fields:
         value = F.col(field.name)
         if field.kind == "text":
-            text = F.coalesce(value, F.lit(""))
-            parts.append(F.encode(F.rpad(text, field.digits, " "), "ISO-8859-1"))
+            run.append(F.rpad(F.coalesce(value, F.lit("")), field.digits, " "))
             continue
         if field.kind == "date":
-            digits = F.coalesce(F.date_format(value, "yyyyMMdd"), F.lit("0" * 8))
+            ymd = F.year(value) * 10000 + F.month(value) * 100 + F.day(value)
+            digits = F.coalesce(ymd, F.lit(0)).cast("string")
+        elif field.scale:
+            unscaled = F.abs(value.cast(field.type)) * F.lit(10 ** field.scale)
+            digits = unscaled.cast("long" if field.digits <= 18 else f"decimal({field.digits},0)").cast("string")
         else:
-            unscaled = F.abs(value.cast(field.type)) * (10 ** field.scale)
-            digits = unscaled.cast(f"decimal({field.digits},0)").cast("string")
+            digits = F.abs(value).cast("string")
         if packed and field.kind == "packed":
+            close_run()
             sign = F.when(value < 0, "D").otherwise("C")
-            digits = F.lpad(digits, 2 * field.width(True) - 1, "0")
-            parts.append(F.unhex(F.concat(digits, sign)))
+            parts.append(F.unhex(F.concat(F.lpad(digits, 2 * field.width(True) - 1, "0"), sign)))
         else:
-            parts.append(F.encode(F.lpad(digits, field.digits, "0"), "ISO-8859-1"))
+            run.append(F.lpad(digits, field.digits, "0"))
+    close_run()
     return df.select(F.concat(*parts).alias(column))

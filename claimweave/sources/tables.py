@@ -83,8 +83,24 @@ def preview(df: DataFrame, n: int = 20) -> DataFrame:
     return df.limit(n)
 
 
-def report_lines(metrics: DataFrame, layout: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """Labelled lines from one metrics row: ``layout`` holds (section, label, column)."""
+def typed(df: DataFrame) -> DataFrame:
+    """Output types: decimals and floats as double, whole numbers as long."""
+    def target(t: T.DataType) -> str | None:
+        if isinstance(t, (T.DecimalType, T.FloatType)):
+            return "double"
+        return "long" if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType)) else None
+
+    return df.select(*[
+        F.col(f.name).cast(target(f.dataType)) if target(f.dataType) else F.col(f.name) for f in df.schema
+    ])
+
+
+def report_lines(metrics: DataFrame, layout: Sequence[tuple[str, str, str]],
+                 keys: Sequence[str] = ()) -> DataFrame:
+    """Labelled lines from each metrics row: ``layout`` holds (section, label, column).
+
+    ``keys`` are repeated on every line, for reports with a page per key.
+    """
     lines = [
         F.struct(
             F.lit(seq).cast("int").alias("seq"),
@@ -94,4 +110,4 @@ def report_lines(metrics: DataFrame, layout: Sequence[tuple[str, str, str]]) ->
         )
         for seq, (section, label, column) in enumerate(layout, 1)
     ]
-    return metrics.select(F.inline(F.array(*lines)))
+    return metrics.select(*keys, F.inline(F.array(*lines)))

@@ -85,6 +85,24 @@ def test_round_trip(spark, packed):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
+@pytest.mark.parametrize("piece, value", [
+    ("00042", 42), ("-0042", None), ("+0042", None), (" 0042", None), ("0042 ", None), ("0042\t", None), ("1E003", None),
+    ("00.42", None), ("0042", None), ("", None), ("0004A", None), ("99999", 99999), (":0042", None), ("\u0661\u0662", None),
+])
+def test_numbers_are_digits_only(spark, piece, value):
+    layout = Layout.of(("n", "9(5)"))
+    df = spark.createDataFrame([(bytearray(piece.encode()),)], "record binary")
+    row = decode_records(df, "record", layout, packed=False, bad="bad").first()
+    assert (row.n, row.bad) == (value, [] if value is not None else ["n"])
+
+
+@pytest.mark.parametrize("piece", ["2023011 ", " 2023011", "2023011T", "20230230", "20231301", "2023 101", "abcdefgh"])
+def test_malformed_dates(spark, piece):
+    df = spark.createDataFrame([(bytearray(piece.encode()),)], "record binary")
+    row = decode_records(df, "record", Layout.of(("d", "9(8) date")), packed=False, bad="bad").first()
+    assert (row.d, row.bad) == (None, ["d"])
+
+
 def test_unknown_picture():
     with pytest.raises(ValueError, match="unsupported picture"):
         Layout.of(("x", "Z(3)"))

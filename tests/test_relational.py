@@ -145,6 +145,8 @@ def test_tables(spark):
     assert tables.preview(tables.gold(spark, "shop.t"), 5).count() == 1
     lines = tables.report_lines(rows, [("S", "Id", "id")]).collect()
     assert [tuple(r) for r in lines] == [(1, "S", "Id", 1.0)]
+    mixed = spark.sql("SELECT CAST(1 AS DECIMAL(5,2)) a, CAST(2 AS SMALLINT) b, CAST(3 AS FLOAT) c, 'x' d, DATE'2024-01-01' e")
+    assert [t for _, t in tables.typed(mixed).dtypes] == ["double", "bigint", "double", "string", "date"]
     with pytest.raises(ValueError):
         tables.gold(spark, "a; drop")
     tables.ensure_namespace(spark, "shop", reset=True)
