@@ -91,27 +91,27 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def rank_within(df: DataFrame, part: str, value: str, name: str = "rank", ranges: int = 64,
-                whole: int = 100_000) -> DataFrame:
+def rank_within(df: DataFrame, part: str, value: str, name: str = "rank", ranges: int = 64) -> DataFrame:
     """``rank()`` by descending ``value`` within ``part``, for groups of any size.
 
-    The distinct values of a group of more than ``whole`` rows are cut into
-    ranges at approximate quantiles. A value's rank is one more than the rows in
-    higher ranges plus the rows with higher values in its own range, so no task
-    ranks a large group. The cuts decide only how work is spread; the ranks are
-    exact.
+    The distinct values of a group are cut into ranges. A value's rank is one
+    more than the rows in higher ranges plus the rows with higher values in its
+    own range, so no task ranks a whole group. The cuts are the group's values
+    with the smallest hashes: an even sample, bounded in size, that is the same
+    whenever it is computed again, as the ranges are used twice.
     """
     values = df.groupBy(part, value).agg(F.count(F.lit(1)).alias("_n"))
-    steps = [F.lit(i / ranges) for i in range(1, ranges)]
-    quantiles = F.percentile_approx(F.col(value).cast("double"), F.array(*steps), F.lit(ranges * 50))
-    cuts = values.groupBy(F.col(part).alias("_p")).agg(
-        F.when(F.sum("_n") > whole, quantiles).otherwise(F.array().cast("array<double>")).alias("_cuts")
-    )
-    ranged = values.join(cuts, F.col(part).eqNullSafe(F.col("_p"))).select(
+    # Ordering by the count last changes nothing; it keeps the column, so that
+    # both uses of ``values`` share one shuffle.
+    by_hash = Window.partitionBy(part).orderBy(F.xxhash64(value), value, "_n")
+    sample = values.withColumn("_rn", F.row_number().over(by_hash))
+    cuts = sample.filter(F.col("_rn") < ranges).groupBy(F.col(part).alias("_p")).agg(
+        F.collect_list(value).alias("_cuts"))
+    ranged = values.join(cuts, F.col(part).eqNullSafe(F.col("_p")), "left").select(
         part, value, "_n",
         # NULL values rank last.
         F.when(F.col(value).isNull(), F.lit(ranges)).otherwise(
-            F.size(F.filter("_cuts", lambda c: c > F.col(value).cast("double")))
+            F.coalesce(F.size(F.filter("_cuts", lambda c: c > F.col(value))), F.lit(0))
         ).alias("_range"),
     )
     before = Window.partitionBy("_p").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
