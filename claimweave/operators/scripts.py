@@ -84,13 +84,12 @@ def _found(text: Column, pattern: str) -> Column:
 
 def validity(files: DataFrame, text: str = "text") -> DataFrame:
     """Whether a text looks like a program, and why not."""
-    t = F.col(text)
-    empty = ~t.rlike(r"(?U)[^\s\x1c-\x1f]")
-    upper = F.upper(t)
-    known = reduce(operator.or_, (F.contains(upper, F.lit(k)) for k in KEYWORDS))
-    return files.withColumn("is_valid", ~empty & known).withColumn(
-        "reason", F.when(empty, "empty").when(~known, "no_keyword").otherwise("ok")
-    )
+    empty = ~F.col(text).rlike(r"(?U)[^\s\x1c-\x1f]")
+    known = reduce(operator.or_, (F.contains("_upper", F.lit(k)) for k in KEYWORDS))
+    # The upper-cased text is a column of its own, or each test would make it again.
+    judged = files.withColumn("_upper", F.upper(text)).withColumn(
+        "reason", F.when(empty, "empty").when(~known, "no_keyword").otherwise("ok"))
+    return judged.withColumn("is_valid", F.col("reason") == "ok").drop("_upper")
 
 
 def complexity(proc_count: Column, has_macro: Column, lines: Column) -> Column:
@@ -104,20 +103,24 @@ def complexity(proc_count: Column, has_macro: Column, lines: Column) -> Column:
 
 def profile(files: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Size, procedures, features, table references and complexity per file."""
-    t = F.col(text)
-    upper = F.upper(t)
-    procs = F.regexp_extract_all(t, F.lit("(?iU)" + PROC_NAME), F.lit(1))
-    features = files.select(
+    t, upper = F.col(text), F.col("_upper")
+    # A plain search rules most texts out before a pattern runs.
+    has_proc, has_data, has_from = (F.contains(upper, F.lit(k)) for k in ("PROC", "DATA", "FROM"))
+    procs = F.when(has_proc, F.regexp_extract_all(t, F.lit("(?iU)" + PROC_NAME), F.lit(1))).otherwise(
+        F.array().cast("array<string>"))
+    references = F.when(
+        has_from | has_data, F.regexp_count(t, F.lit("(?iU)" + TABLE_REFERENCE))).otherwise(0)
+    features = files.withColumn("_upper", F.upper(t)).select(
         key,
         tx.line_count(t).alias("line_count"),
         tx.non_empty_lines(t).alias("non_empty_lines"),
         F.array_sort(F.array_distinct(procs)).alias("procs_used"),
         F.contains(upper, F.lit("PROC SQL")).alias("has_sql"),
         F.contains(upper, F.lit("PROC FREQ")).alias("has_freq"),
-        t.rlike("(?iU)" + DATA_STEP).alias("has_data_step"),
+        (has_data & t.rlike("(?iU)" + DATA_STEP)).alias("has_data_step"),
         F.contains(upper, F.lit("LIBNAME")).alias("has_libname"),
         F.contains(t, F.lit("%")).alias("has_macro"),
-        F.regexp_count(t, F.lit("(?iU)" + TABLE_REFERENCE)).cast("long").alias("table_references"),
+        references.cast("long").alias("table_references"),
     )
     counted = features.withColumn("proc_count", F.size("procs_used").cast("long"))
     return counted.withColumn(
