@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from claimweave.registry import QUERIES
 
 
 @pytest.fixture
@@ -13,13 +13,13 @@ def plan(spark, tiny):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
 
     def text(name):
-        return queries()[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        return QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
 
     yield text
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_native_and_without_cross_joins(plan, name):
     text = plan(name)
     for forbidden in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapInPandas", "ArrowEval", "Expand"):
