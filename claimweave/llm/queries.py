@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import langid, quality, rules, sharding
+from claimweave.llm import decontam, langid, quality, rules, sharding, spm, wavelet
 from claimweave.llm.common import id_remainder
 
 QUERIES: dict = {}
@@ -21,6 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer lies; only its name is fixed here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_wavelet_shards(spark, sf):
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    path = wavelet.write_shards(table(spark, sf, "documents"), tokenizer, end_id=1)
+    return wavelet.read_documents(spark, path)
+
+
 @query
 def op2_quality_neighbours(spark, sf):
     """Labels teach only where the id's remainder by 3 is not 1."""
@@ -90,3 +105,15 @@ def op7_language_by_compression(spark, sf):
     model = langid.fit(docs.where(id_remainder(F.col("doc_id"), 5) != 0))
     found = langid.identify(docs, model)
     return found.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@query
+def op5_sentencepiece_viterbi(spark, sf):
+    """Every text encoded and decoded again."""
+    return spm.encode(table(spark, sf, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op8_spaced_seed_overlaps(spark, sf):
+    """Only documents that overlap a benchmark item, with each overlap."""
+    return decontam.find_overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
