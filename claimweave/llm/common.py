@@ -152,3 +152,41 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # A settled graph has one star a component.
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``fn`` on each group of equal ``key`` (a long), rows sorted by it, many small groups a batch.
+
+    For groups whose size the caller bounds. ``fn`` returns columns of ``schema`` or None.
+    """
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held: list[pa.RecordBatch] = []
+
+        def groups(table: pa.Table):
+            keys = table.column(key).to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(keys)]):
+                out = fn(table.slice(start, end - start))
+                if out is not None and out.num_rows:
+                    yield out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(key).to_numpy()
+            last = int(np.searchsorted(keys, keys[-1], "left"))
+            if held and held[0].column(key)[0].as_py() != keys[0]:
+                yield from groups(pa.Table.from_batches(held))
+                held = []
+            if last:
+                yield from groups(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from groups(pa.Table.from_batches(held))
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
