@@ -80,9 +80,9 @@ def fit(labelled: DataFrame, docs_per_language: int = 64, chars_per_doc: int = 1
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.where(F.length("text") > 40).select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).select("lang", "doc_id")
+    picked = rows.where(F.length("text") > 40).select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).select("lang", "doc_id").limit(max_languages * docs_per_language + 1)
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - chars_per_doc) / 2)).cast("int")
-    sample = rows.join(picked, ["lang", "doc_id"]).select("lang", "doc_id", F.substring("text", middle, F.lit(chars_per_doc)).alias("text"))
+    sample = rows.join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "doc_id", F.substring("text", middle, F.lit(chars_per_doc)).alias("text"))
     by_lang: dict[str, list] = {}
     # At most max_languages * docs_per_language rows of chars_per_doc characters.
     for lang, doc_id, text in sample.dropDuplicates(["lang", "doc_id"]).orderBy("lang", "doc_id").limit(max_languages * docs_per_language + 1).collect():

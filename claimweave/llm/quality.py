@@ -96,18 +96,22 @@ class NeighbourModel:
         return np.where(blind, self.prior, np.clip(share, 0, 1))
 
 
-def fit(labelled: DataFrame, max_rows: int = 6000, rank: int = 48, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> NeighbourModel:
-    """Latent-semantic vectors of a bounded sample of labelled rows.
-
-    The bound: ``max_rows`` rows, the first by a hash of their id (a table with fewer
-    is used whole). Executors turn their whole texts into hashed rows; the driver
-    gets at most ``max_rows`` rows of ``DIMS`` half-floats, weights them by inverse
-    document frequency and keeps the ``rank`` strongest directions. Rows with a null
-    label or id teach nothing. No rows: every score is 0.5.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, rank: int = 48, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> NeighbourModel:
+    """Latent-semantic vectors of a bounded sample of labelled documents.
+
+    The bound: ``max_rows`` documents, the first by a hash of their id (with fewer, all).
+    Labels meet documents by id alone; the sample, ids and labels, is then broadcast to
+    the texts, which are never shuffled. Executors turn whole texts into hashed rows;
+    the driver gets at most ``max_rows`` rows of ``DIMS`` half-floats, weights them by
+    inverse document frequency and keeps the ``rank`` strongest directions. Null labels
+    and ids teach nothing; of labels that repeat an id the smallest counts. Without
+    rows every score is 0.5.
     """
-    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"))
-    rows = rows.where("label IS NOT NULL AND doc_id IS NOT NULL")
-    picked = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IS NOT NULL AND doc_id IS NOT NULL")
+    marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"))
+    picked = marks.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = documents(docs, id_col, text_col).join(F.broadcast(picked), "doc_id")
 
     def make():
         features = Features()
@@ -116,7 +120,7 @@ def fit(labelled: DataFrame, max_rows: int = 6000, rank: int = 48, id_col: str =
             return {"doc_id": columns["doc_id"], "label": columns["label"], "row": [features(t).astype(np.float16).tobytes() for t in columns["text"]]}
         return fn
 
-    got = map_texts(rows.join(picked, "doc_id", "left_semi"), make, "doc_id long, label int, row binary").dropDuplicates(["doc_id"]).limit(max_rows).toArrow()
+    got = map_texts(rows, make, "doc_id long, label int, row binary").dropDuplicates(["doc_id"]).limit(max_rows).toArrow()
     if not got.num_rows:
         return NeighbourModel(np.ones(DIMS, np.float32), np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
     got = got.sort_by("doc_id")

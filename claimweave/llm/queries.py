@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import decontam, langid, quality, rules, sharding, spm, wavelet
+from claimweave.llm import decontam, jaccard, langid, quality, rules, sharding, spm, wavelet
 from claimweave.llm.common import id_remainder
 
 QUERIES: dict = {}
@@ -41,7 +41,7 @@ def op2_quality_neighbours(spark, sf):
     """Labels teach only where the id's remainder by 3 is not 1."""
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     taught = labels.where(id_remainder(F.col("doc_id"), 3) != 1).select("doc_id", F.col("quality").alias("label"))
-    model = quality.fit(taught.join(docs.select("doc_id", "text"), "doc_id"))
+    model = quality.fit(docs, taught)
     scored = quality.score(docs, model)
     return scored.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
@@ -117,3 +117,8 @@ def op5_sentencepiece_viterbi(spark, sf):
 def op8_spaced_seed_overlaps(spark, sf):
     """Only documents that overlap a benchmark item, with each overlap."""
     return decontam.find_overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op3_chosen_path_join(spark, sf):
+    return jaccard.similar(table(spark, sf, "documents"))
