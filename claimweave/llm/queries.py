@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import decontam, jaccard, langid, lines, quality, rules, sharding, spm, wavelet
+from claimweave.llm import decontam, jaccard, langid, lines, quality, rules, sharding, spm, suffix, wavelet
 from claimweave.llm.common import id_remainder
 
 QUERIES: dict = {}
@@ -128,3 +128,8 @@ def op3_chosen_path_join(spark, sf):
 def op9_fuzzy_lines(spark, sf):
     """Every line that is removed, with the line that stays for it."""
     return lines.duplicate_lines(table(spark, sf, "documents"))
+
+
+@query
+def op10_suffix_family(spark, sf):
+    return suffix.repeated(table(spark, sf, "documents"))
