@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import map_texts
+from claimweave.llm.common import documents, map_texts
 
 UNKNOWN = "und"
 _BLANKED = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
-_SCHEMA = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
 
 
 def letters(text: str) -> bytes:
@@ -96,27 +95,35 @@ def fit(labelled: DataFrame, docs_per_language: int = 64, chars_per_doc: int = 1
     return LanguageModel(tuple((lang, built[lang][-size:]) for lang in sorted(built)))
 
 
-def identify(docs: DataFrame, model: LanguageModel, min_margin: float = 0.004, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: ``doc_id, lang_pred, score, margin, rejected``.
+def identify_rows(docs: DataFrame, model: LanguageModel, min_margin: float = 0.004, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with ``_lang_pred, _score, _margin, _rejected`` added; one narrow pass.
 
-    Whole texts in one narrow pass. ``margin`` is how much smaller the best size is
-    than the second, ``score`` rises with it from 0.5 to 1. ``rejected`` marks margins
-    below ``min_margin`` and texts without a letter or null: those get ``und``, score
-    0. Ties go to the language that sorts first; without languages all get ``und``.
+    Whole texts. ``_margin`` is how much smaller the best size is than the second,
+    ``_score`` rises with it from 0.5 to 1. ``_rejected`` marks margins below
+    ``min_margin`` and texts without a letter or null: those get ``und``, score 0. Ties
+    go to the language that sorts first; without languages all get ``und``.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()
+    dictionaries = docs.sparkSession.sparkContext.broadcast((model.dictionaries, model.level, model.piece))  # bounded by fit()
+    keep = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    types = [docs.schema[c].dataType.simpleString() for c in docs.columns]
+    schema = ", ".join([f"c{i} {t}" for i, t in enumerate(types)] + ["_lang_pred string", "_score double", "_margin double", "_rejected boolean"])
 
     def make():
-        predict = sent.value.coder()
+        predict = LanguageModel(*dictionaries.value).coder()
 
         def fn(columns):
-            found = [predict(t) for t in columns["text"]]
-            return {
-                "doc_id": columns["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found],
-                "margin": [x[2] for x in found], "rejected": [x[0] == UNKNOWN or x[2] < min_margin for x in found],
+            found = [predict(t) for t in columns.pop("text")]
+            return columns | {
+                "_lang_pred": [x[0] for x in found], "_score": [x[1] for x in found], "_margin": [x[2] for x in found],
+                "_rejected": [x[0] == UNKNOWN or x[2] < min_margin for x in found],
             }
         return fn
 
-    from claimweave.llm.common import documents
+    out = map_texts(docs.select(*keep, F.col(text_col).cast("string").alias("text")), make, schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], "_lang_pred", "_score", "_margin", "_rejected")
+
 
-    return map_texts(documents(docs, id_col, text_col), make, _SCHEMA)
+def identify(docs: DataFrame, model: LanguageModel, min_margin: float = 0.004, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: ``doc_id, lang_pred, score, margin, rejected``, as in ``identify_rows``."""
+    rows = identify_rows(documents(docs, id_col, text_col), model, min_margin)
+    return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("lang_pred", "score", "margin", "rejected")])
