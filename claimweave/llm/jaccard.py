@@ -75,26 +75,26 @@ def _signatures(docs: DataFrame, words: int, runs: int, depth: int) -> DataFrame
 
 def _buckets(reps: DataFrame, runs: int, depth: int, limit: int) -> DataFrame:
     """``leaf, rep, sketch, members``: each run's buckets of two or more, split on further
-    sampled tokens while they hold more than ``limit`` sets and levels are left."""
-    rows = reps.select(
-        F.col("doc_id").alias("rep"), "sketch",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.slice("paths", r * depth + 1, depth))).alias("path"),
-    )
+    sampled tokens while they hold more than ``limit`` sets and levels are left.
+
+    Only keys move: the paths of the sets still in large buckets are looked up again.
+    """
+    keys = lambda of, level: F.element_at("paths", F.col(of) * depth + level + 1)
+    rows = reps.select(F.col("doc_id").alias("rep"), "paths", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).select("rep", "run", keys("run", 0).alias("leaf"))
     leaves = None
     for level in range(depth):
-        rows = rows.withColumn("leaf", F.element_at("path", level + 1))
         counts = rows.groupBy("leaf").agg(F.count("*").alias("members")).where("members > 1")
-        rows = rows.join(counts, "leaf")
+        held = written(rows.join(counts, "leaf"), "buckets")
         last = level == depth - 1
-        done = rows if last else rows.where(F.col("members") <= limit)
-        done = done.select("leaf", "rep", "sketch", "members")
+        done = (held if last else held.where(F.col("members") <= limit)).select("leaf", "rep", "members")
         leaves = done if leaves is None else leaves.union(done)
         if not last:
-            rows = rows.where(F.col("members") > limit).drop("members", "leaf")
+            large = held.where(F.col("members") > limit).select("rep", "run")
+            rows = large.join(reps.select(F.col("doc_id").alias("rep"), "paths"), "rep").select("rep", "run", keys("run", level + 1).alias("leaf"))
     # Buckets of different runs with the same members are one bucket.
     marks = leaves.groupBy("leaf").agg(F.expr("bit_xor(xxhash64(rep))").alias("x"), F.sum(F.xxhash64("rep", F.lit(7)) % 1000000007).alias("y"), F.count("*").alias("n"))
     kept = marks.groupBy("x", "y", "n").agg(F.min("leaf").alias("leaf")).select("leaf")
-    return leaves.join(kept, "leaf")
+    return leaves.join(kept, "leaf").join(reps.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
 
 
 def _units(rows: DataFrame, limit: int) -> DataFrame:
@@ -195,7 +195,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
     compared by a sketch of the sampled tokens first (a pair at the threshold fails
     it with probability about 1e-5), then exactly, inside the bucket; only counts
     and one link a set leave it. Nothing is capped: large buckets are cut into
-    more pieces. Rows with a null id cannot be named and get null and 0.
+    more pieces. Rows with a null id cannot be named and get null and 0; rows that
+    repeat an id get the same answer (if their texts differ, one of them counts).
     """
     runs = runs_for(recall, threshold, depth)
     drawn = runs * depth
@@ -204,9 +205,9 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
     rows = written(_signatures(base, words, runs, depth), "shingle-signatures")
     named = rows.where("doc_id IS NOT NULL AND size > 0")
     copies = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    same = written(named.select("doc_id", "h1", "h2").join(copies, ["h1", "h2"]).select("doc_id", "rep", "copies").distinct(), "copies")
+    same = written(named.select("doc_id", "h1", "h2").join(copies, ["h1", "h2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("copies").alias("copies")), "copies")
     reps = same.where("doc_id = rep").select("rep", "copies")
-    tables = rows.join(reps.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", "sketch", "paths").dropDuplicates(["doc_id"])
+    tables = written(rows.join(reps.select(F.col("rep").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.min(F.struct("sketch", "paths")).alias("x")).select("doc_id", "x.*"), "sampled-tokens")
     found = grouped(_units(_buckets(tables, runs, depth, limit), limit), "unit", _candidates(max(1, least)), "leaf long, rep long, members long")
     found = written(found.distinct(), "candidates")
     own = found.groupBy("rep").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # at most one bucket a run
@@ -217,7 +218,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
         return fn
 
     wanted = base.join(own.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = map_texts(wanted, make, "rep long, shingles binary", batch_bytes=1 << 20).groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    sets = map_texts(wanted, make, "rep long, shingles binary", batch_bytes=1 << 20).groupBy("rep").agg(F.min("shingles").alias("shingles"))
     units = _units(found.join(own, "rep"), limit).join(reps, "rep").join(sets, "rep")
     links = written(grouped(units, "unit", _links(threshold), "rep long, root long, links long"), "links")
     roots = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
