@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import uuid
@@ -21,25 +23,77 @@ _HEAD = struct.Struct("<8sQQII")  # magic, tokens, documents, planes, blocks a p
 _SHARD_SCHEMA = "shard long, part int, first_doc long, n_docs long, n_tokens long, payload binary"
 
 
+# Fixed values of the tokenizer: its word pattern, for texts of printable ASCII and
+# Latin-1 letters; such texts are normal, and lower case changes them letter by letter.
+_LATIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
+
+
 class Encoder:
-    """Ids of whole texts. White space always parts tokens in the given kind of
-    tokenizer, so distinct words are encoded once and remembered."""
+    """Ids of whole texts by the tokenizers library.
 
-    def __init__(self, tokenizer_json: str, limit: int = 400_000):
+    The given kind of tokenizer encodes the parts of its word pattern one by one, so
+    each different part is encoded once and remembered. Latin texts are cut by that
+    pattern; others, and those that hold a special token, only at white space, which
+    always parts tokens.
+    """
+
+    def __init__(self, tokenizer_json: str, limit: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.limit = Tokenizer.from_str(tokenizer_json), {}, limit
+        self.tokenizer, self.limit = Tokenizer.from_str(tokenizer_json), limit
+        self.known, self.older = {}, {}  # two generations, each of up to ``limit`` parts
+        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [re.findall(WORD, t or "") for t in texts]
+        split = []
+        for text in texts:
+            text = text or ""
+            latin = _LATIN.fullmatch(text) and not _SPECIAL.search(text)
+            parts = _PARTS.findall(text.lower()) if latin else re.findall(WORD, text)
+            split.append(parts)
+            self._learn({w for w in parts if w not in self.known}, bool(latin))
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4") for parts in split]
         if len(self.known) > self.limit:
-            self.known.clear()
-        missing = list({w for words in split for w in words if w not in self.known})
-        for start in range(0, len(missing), 4096):
-            part = missing[start:start + 4096]
+            self.known, self.older = {}, self.known
+        return out
+
+    def _learn(self, words: set[str], single: bool) -> None:
+        for word in [w for w in words if w in self.older]:
+            self.known[word] = self.older[word]
+            words.discard(word)
+        words = list(words)
+        if single and words:
+            # Each is one part, so its last token, and no other, ends a word.
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(words) and stops[-1] == len(ids):
+                data, start = ids.tobytes(), 0
+                for word, stop in zip(words, (4 * stops).tolist()):
+                    self.known[word] = data[start:stop]
+                    start = stop
+                return
+        for start in range(0, len(words), 4096):
+            part = words[start:start + 4096]
             for word, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[word] = np.array(made.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(tokenizer_json: str) -> Encoder:
+    """One encoder a Python worker: what it has learnt serves its later tasks."""
+    key = crc_of(tokenizer_json.encode())
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(tokenizer_json)
+    return _ENCODERS[key]
 
 
 def _squeeze(data: bytes, coder: zstandard.ZstdCompressor) -> bytes:
@@ -165,15 +219,15 @@ class Shard:
         return block * 8 * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
 
     def tokens(self) -> np.ndarray:
-        """All tokens, by walking every position down the planes at once."""
-        value, at = np.zeros(self.n, np.uint32), np.arange(self.n)
-        for p in range(self.planes):
-            bits = np.concatenate([self._block(p, b) for b in range(self.per_plane)] or [np.zeros(0, np.uint8)])[:self.n]
+        """All tokens: the partitions are undone from the lowest plane up."""
+        value = np.zeros(self.n, np.uint32)
+        for p in reversed(range(self.planes)):
+            one = np.concatenate([self._block(p, b) for b in range(self.per_plane)] or [np.zeros(0, np.uint8)])[:self.n].astype(bool)
             self.open.clear()
-            ones = np.cumsum(bits, dtype=np.int64) - bits
-            bit = bits[at]
-            value = value << np.uint32(1) | bit
-            at = np.where(bit, self.zeros[p] + ones[at], at - ones[at])
+            above, zeros = np.empty(self.n, np.uint32), int(self.zeros[p])
+            above[~one] = value[:zeros]
+            above[one] = value[zeros:] | np.uint32(1 << (self.planes - 1 - p))
+            value = above
         return value
 
 
@@ -195,7 +249,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, end_id: int = 1, shard_to
     def run(batches):
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), Encoder(sent.value)
+        part, encoder = TaskContext.get().partitionId(), _encoder(sent.value)
         made, ids, counts, held, size = 0, [], [], [], 0
 
         def shard():
