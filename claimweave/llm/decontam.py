@@ -15,6 +15,7 @@ from claimweave.llm.common import documents, map_texts
 WINDOW, SUBSTITUTIONS = 13, 2
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SHORTEST = 5
+_GAP = np.uint64(2**64 - 1)  # stands between two texts; no window may hold it
 _SCHEMA = "doc_id long, item_id long, first_word long, last_word long, n_equal long, n_substituted long"
 _MULTIPLIERS = [pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(WINDOW)]
 
@@ -59,7 +60,7 @@ def spaced(numbers: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.n
     for offset, factor in zip(mask, _MULTIPLIERS):
         part = numbers[offset:offset + n]
         hashes += part * np.uint64(factor)
-        known &= part != 0
+        known &= (part != 0) & (part != _GAP)
     return hashes, known
 
 
@@ -86,7 +87,7 @@ def overlaps_of(numbers: np.ndarray, seeds: Seeds):
         width, allowed = (WINDOW, SUBSTITUTIONS) if len(words) >= WINDOW else (len(words), 0)
         if len(equal) < width:
             continue
-        total = np.concatenate([[0], np.cumsum(equal)])
+        total = np.concatenate([[0], np.cumsum(np.where(part == _GAP, -width, equal))])
         good = np.flatnonzero(total[width:] - total[:-width] >= width - allowed)
         # Runs of good windows, each cut to its first and last equal word.
         for run in np.split(good, np.flatnonzero(np.diff(good) > width) + 1) if len(good) else ():
@@ -123,7 +124,7 @@ def _scanner(sent):
     def make():
         seeds = Seeds(sent.value)
         number = seeds.vocabulary.get
-        gap = [0] * WINDOW  # longer than an overlap can bridge
+        gap = [int(_GAP)]
 
         def fn(columns):
             numbers, begins, out = [], [], {name: [] for name in ("doc_id", "item_id", "first_word", "last_word", "n_equal", "n_substituted")}

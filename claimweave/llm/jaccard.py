@@ -178,7 +178,7 @@ def _links(threshold: float):
     return fn
 
 
-def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = 0.999, depth: int = 3, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = 0.9999, depth: int = 2, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``doc_id, class_id, n_links, copy_of``.
 
     Two documents are linked if the Jaccard similarity of their sets of ``words``-word

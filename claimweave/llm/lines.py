@@ -62,7 +62,26 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("common") >= F.lit(threshold) * (F.col("total") - F.col("common")) - 1e-9).select("a", "b")
 
 
-def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose lines lie in different components."""
+    of = lambda name: groups.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _unmet(held: DataFrame, small: int, redraws: int) -> DataFrame:
+    """Pairs of lines that share a band but may not have met its pivot."""
+    few = held.where(F.col("n").between(3, small)).where("k1 <> pivot").select("band", "k1")
+    met = few.select("band", F.col("k1").alias("a")).join(few.select("band", F.col("k1").alias("b")), "band").where("a < b")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 1").select("a", "b")
+    many = held.where(F.col("n") > small).select("band", "k1", F.explode(F.sequence(F.lit(1), F.lit(redraws))).alias("draw"))
+    key = F.xxhash64("band", "draw")
+    drawn = many.groupBy("band", "draw").agg(F.min(F.col("k1").bitwiseXOR(key)).alias("least"))
+    drawn = many.join(drawn, ["band", "draw"]).select(F.col("k1").alias("a"), F.col("least").bitwiseXOR(key).alias("b")).where("a <> b")
+    return met.union(drawn).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, small: int = 16, redraws: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a line to remove: ``doc_id, line_no, kept_doc_id, kept_line_no, exact``.
 
     A component holds the lines that are equal or linked by a Jaccard similarity of
@@ -74,26 +93,29 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, id_c
     Equal lines are combined before any shuffle. Each different line has up to
     ``2 * keep`` band keys. In a band a pivot is drawn by a hash that differs from
     band to band, and every line is paired with the pivots of its bands: linear in
-    the lines, however large a band. Pairs are verified exactly, first
-    each line's most frequent pivot, then those that still lie in different
-    components. Lines are told apart by 128 bits of hash and linked by 64.
+    the lines, however large a band. Pairs are verified exactly, first each line's
+    most frequent pivot, then those that still lie in different components. Last come
+    the pairs that no pivot met, if their components still differ: in bands of up to
+    ``small`` lines those that share two bands, in larger ones ``redraws`` more
+    pivots. Lines are told apart by 128 bits of hash and linked by 64.
     """
     lines = lines_of(docs, id_col, text_col)
     sketched = lines.select("k1", bands(F.col("line"), keep).alias("bands")).groupBy("k1").agg(F.first("bands").alias("bands"))
     rows = sketched.select("k1", F.explode(F.array_distinct("bands")).alias("band"))
     # The pivot: least after an exclusive or with the band key, another order in each band.
     pivots = rows.groupBy("band").agg(F.min(F.col("k1").bitwiseXOR(F.col("band"))).alias("least"), F.count("*").alias("n")).where("n > 1")
-    pairs = rows.join(pivots, "band").select(F.col("k1").alias("a"), F.col("least").bitwiseXOR(F.col("band")).alias("b")).where("a <> b")
-    pairs = written(pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
+    held = written(rows.join(pivots, "band").select("k1", "band", "n", F.col("least").bitwiseXOR(F.col("band")).alias("pivot")), "line-bands")
+    pairs = written(held.where("k1 <> pivot").groupBy(F.col("k1").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared")), "line-pairs")
+    wanted = held.select("k1").distinct()
     texts = written(lines.select("k1", "line").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line")), "line-texts")
     best = pairs.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links = written(_similar(best, texts, threshold), "line-links")
     groups = components(links)
-    of = lambda name: groups.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-    rest = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    groups = components(links.union(_similar(rest, texts, threshold)).distinct())
+    links = links.union(_similar(_apart(pairs.select("a", "b"), groups).join(best, ["a", "b"], "left_anti"), texts, threshold))
+    links = written(links, "line-links")
+    groups = components(links)
+    links = links.union(_similar(_apart(_unmet(held, small, redraws), groups).join(pairs.select("a", "b").union(pairs.select("b", "a")), ["a", "b"], "left_anti"), texts, threshold))
+    groups = components(links)
 
     seen = lines.select("doc_id", "line_no", "at", "k1", "k2")
     first = seen.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
