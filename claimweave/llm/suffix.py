@@ -158,9 +158,11 @@ def _heads_of(ids, doc, head, parts):
         yield p, keys[mine], shared[mine]
 
 
-def _pack6(keys: np.ndarray, parts: int) -> bytes:
-    """Six bytes of each key; its part is known, and a chance match only costs a comparison."""
-    return (keys // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+_WIDTH = 5  # bytes of a head that travel; a chance match within a part only costs a comparison
+
+
+def _packed(keys: np.ndarray, parts: int) -> bytes:
+    return (keys // np.uint64(parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH].tobytes()
 
 
 def _rows(batches):
@@ -172,9 +174,9 @@ def _rows(batches):
 def _shared_heads(table: pa.Table) -> pa.RecordBatch:
     """Per chunk: a bit for each head, set if another chunk or document has it too."""
     runs = table.column("heads").to_pylist()
-    sizes = [len(r) // 6 for r in runs]
+    sizes = [len(r) // _WIDTH for r in runs]
     keys = np.zeros((sum(sizes), 8), np.uint8)
-    keys[:, :6] = np.frombuffer(b"".join(runs), np.uint8).reshape(-1, 6)
+    keys[:, :_WIDTH] = np.frombuffer(b"".join(runs), np.uint8).reshape(-1, _WIDTH)
     keys = keys.view("<u8").ravel()
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
@@ -243,7 +245,14 @@ def _matches(run: int):
             made = _doubled(_BYTES[part], (2, 16, 32))
             keys = (made[32][:, :_REACH + 1] * _STEP[16] + made[16][:, 32:32 + _REACH + 1]) * _STEP[2] + made[2][:, 48:48 + _REACH + 1]
             keys = _mix(keys)[:, ::-1]
-            which, o = np.nonzero((back[None, :] <= left[:, None]) & (LENGTH - back[None, :] <= right[:, None]))
+            # Only strings of which this head is the least: each string has one such place,
+            # the same wherever it occurs. A smaller head before or after ends their range.
+            head = _mix(made[16])
+            smaller = head < head[:, _REACH:_REACH + 1]
+            before, after = smaller[:, :_REACH][:, ::-1], smaller[:, _REACH + 1:]
+            high = np.minimum(left, np.where(before.any(axis=1), before.argmax(axis=1), _REACH))
+            low = np.maximum(LENGTH - np.minimum(right, LENGTH).astype(np.int64), np.where(after.any(axis=1), _REACH - after.argmax(axis=1), 0))
+            which, o = np.nonzero((back[None, :] <= high[:, None]) & (back[None, :] >= low[:, None]))
             keys, docs = keys[which, o], owner[some][which]
             by = np.argsort(keys, kind="stable")  # documents ascend, so the first of equals is the smallest
             sorted_keys = keys[by]
@@ -288,7 +297,7 @@ def _cut(data: bytes, ranges: np.ndarray) -> tuple[int, int, bytes]:
     return int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
-def repeated(docs: DataFrame, with_text: bool = False, chunk_bytes: int = 2 << 20, part_bytes: int = 32 << 20, unit_bytes: int = 8 << 20, run: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated(docs: DataFrame, with_text: bool = False, chunk_bytes: int = 4 << 20, part_bytes: int = 32 << 20, unit_bytes: int = 12 << 20, run: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept``, binary).
 
     A byte is removed if it lies in a 50-byte string that also starts in a document of
@@ -319,7 +328,7 @@ def repeated(docs: DataFrame, with_text: bool = False, chunk_bytes: int = 2 << 2
             found = list(_heads_of(ids, doc, head, parts))
             yield pa.RecordBatch.from_arrays([
                 pa.array([p for p, _, _ in found], pa.int64()), pa.array([row["chunk"]] * len(found), pa.int64()),
-                pa.array([_pack6(k, parts) for _, k, _ in found], pa.binary()), pa.array([np.packbits(s).tobytes() for _, _, s in found], pa.binary()),
+                pa.array([_packed(k, parts) for _, k, _ in found], pa.binary()), pa.array([np.packbits(s).tobytes() for _, _, s in found], pa.binary()),
             ], names=["part", "chunk", "heads", "shared"])
 
     bits = grouped(chunks.mapInArrow(heads, "part long, chunk long, heads binary, shared binary"), "part", _shared_heads, "chunk long, part long, bits binary")
