@@ -59,7 +59,7 @@ def percentiles(df: DataFrame, by: str, value: str, points: Sequence[float],
                 accuracy: int = 10000) -> DataFrame:
     """Approximate percentiles and variance per class."""
     x = F.col(value)
-    cols = [
-        F.percentile_approx(x, F.lit(p), F.lit(accuracy)).alias(f"p{round(p * 100)}") for p in points
-    ]
-    return df.groupBy(by).agg(*cols, F.round(F.var_samp(x.cast("double")), 6).alias("variance"))
+    # One sketch for all points.
+    sketch = F.percentile_approx(x, F.array(*map(F.lit, points)), F.lit(accuracy)).alias("_p")
+    found = df.groupBy(by).agg(sketch, F.round(F.var_samp(x.cast("double")), 6).alias("variance"))
+    return found.select(by, *[F.col("_p")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(points)], "variance")

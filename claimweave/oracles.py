@@ -121,7 +121,7 @@ SELECT CASE WHEN claim_amount < 1000 THEN 'LOW_COST' WHEN claim_amount >= 1000 A
 
 ORACLES["denied_claims_report"] = _with("claims", "providers") + f"""
 SELECT provider_id, provider_name, procedure_code, count(*) AS denied_claim_count,
-  CAST(sum(claim_amount) AS DOUBLE) AS total_billed_amount
+  CAST(sum(billed_amount) AS DOUBLE) AS total_billed_amount
 FROM claims JOIN providers USING (provider_id)
 WHERE claim_status = 'Denied' AND service_date >= DATE '{SINCE}' GROUP BY ALL"""
 
@@ -194,7 +194,7 @@ ORACLES["hcc_array_scores"] = _with("diagnoses") + f"""
 SELECT member_id, string_agg(hcc_code, ',' ORDER BY hcc_code) AS hcc_slots,
   CAST(sum(CASE hcc_code {_SLOTS} ELSE 0 END) AS DOUBLE) / 1000 AS hcc_score_sum
 FROM (SELECT member_id, hcc_code, row_number() OVER (PARTITION BY member_id ORDER BY hcc_code) AS slot
-      FROM (SELECT DISTINCT member_id, hcc_code FROM diagnoses)) WHERE slot <= 10 GROUP BY member_id"""
+      FROM (SELECT DISTINCT member_id, hcc_code FROM diagnoses)) GROUP BY member_id"""
 ORACLES["hcc_detail"] = _with("diagnoses") + \
     "SELECT member_id, hcc_code, count(*) AS diagnoses FROM diagnoses GROUP BY 1, 2"
 
@@ -285,7 +285,7 @@ def _unique(column: str, source: str) -> str:
     return _check("unique", column, "n > 1", f"(SELECT count(*) AS n FROM {source} GROUP BY {column})")
 
 
-ORACLES["dq_claims"] = _with("claims", "members") + _unpivot([
+ORACLES["dq_claims"] = _with("claims") + _unpivot([
     _check("not_null", "claim_amount", "claim_amount IS NULL", "claims"),
     _check("non_negative", "paid_amount", "paid_amount < 0", "claims"),
     _check("at_most", "claim_amount", "claim_amount > 100000", "claims"),
@@ -293,8 +293,7 @@ ORACLES["dq_claims"] = _with("claims", "members") + _unpivot([
     _check("not_future", "service_date", "service_date > DATE '2000-06-30'", "claims"),
     _check("not_older", "service_date", f"service_date < DATE '{AS_OF}' - INTERVAL 60 MONTH", "claims"),
     _unique("claim_id", "claims"),
-    _check("has_parent", "member_id",
-           "member_id NOT IN (SELECT member_id FROM members WHERE member_id % 50 <> 0)", "claims"),
+    _check("has_parent", "doc_id", "doc_id NOT IN (SELECT doc_id FROM labels)", "documents"),
 ])
 ORACLES["dq_members"] = _with("members") + _unpivot([
     _check("not_null", "member_id", "member_id IS NULL", "members"),
@@ -319,6 +318,17 @@ ORACLES["dq_raf_scores"] = _raf(_PER_ROW, _unpivot([
     _check("non_negative", "total_raf_score", "total_raf_score < 0", "raf"),
     _check("at_most", "total_raf_score", "total_raf_score > 4.0", "raf"),
 ]))
+ORACLES["dq_tables"] = _with("providers", "prior_auth_summary",
+    lines="SELECT o_orderdate, l_shipdate FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey",
+    marked="SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id") + _unpivot([
+    _check("non_negative", "c_acctbal", "c_acctbal < 0", "customer"),
+    _check("at_most", "contract_rate", "contract_rate > 100", "providers"),
+    _check("absent_when_withdrawn", "approval_date", "auth_status = 'WITHDRAWN' AND approval_date IS NOT NULL", "prior_auth_summary"),
+    _check("not_above_l_shipdate", "o_orderdate", "o_orderdate > l_shipdate", "lines"),
+    _check("not_null", "quality", "quality IS NULL", "marked"),
+    _check("not_above_quality", "toxic", "toxic > quality", "marked"),
+    _unique("l_orderkey", "lineitem"),
+])
 ORACLES["dq_prior_auth"] = _with("prior_auth_summary") + _unpivot([
     _check("not_null", "approval_date", "approval_date IS NULL", "prior_auth_summary"),
     _check("not_above_approval_date", "request_date", "request_date > approval_date", "prior_auth_summary"),
@@ -443,18 +453,20 @@ SELECT seq, coalesce(filename, 'File ' || CAST(seq AS VARCHAR)) AS filename,
   CASE WHEN NOT success THEN coalesce(error, 'Unknown error') END AS error FROM results"""
 
 _RECORDS = _with("claims") + """
-SELECT CAST(regexp_extract(claim_id, '^CLM(\\d+)-', 1) AS BIGINT) AS claim_id, member_id, CAST(provider_id AS INT) AS provider_id,
-  service_date, rtrim(left(claim_type, 10)) AS claim_type, procedure_code, diagnosis_code, claim_amount, paid_amount,
+SELECT claim_id, member_id, CAST(provider_id AS INT) AS provider_id, service_date,
+  CASE claim_type WHEN 'Professional' THEN 'PROF' WHEN 'Institutional' THEN 'INST' ELSE 'RX' END AS claim_type, procedure_code, diagnosis_code, claim_amount, paid_amount,
   denied_amount, claim_status FROM claims"""
 ORACLES["records_packed"] = _RECORDS
 ORACLES["records_fixed"] = _RECORDS
+ORACLES["claims_cost_from_records"] = ORACLES["claims_cost_summary"]
+ORACLES["churn_from_records"] = ORACLES["churn_summary"]
 
 ORACLES["join_left"] = _with("claims", "members") + """
 SELECT m.member_id, plan_id, claims FROM members m LEFT JOIN
   (SELECT member_id, count(*) AS claims FROM claims GROUP BY member_id) c ON m.member_id = c.member_id"""
 ORACLES["join_right"] = """
-SELECT n_nationkey, suppliers, n_name FROM (SELECT s_nationkey, count(*) AS suppliers FROM supplier
-  WHERE s_nationkey % 3 = 0 GROUP BY s_nationkey) RIGHT JOIN nation ON s_nationkey = n_nationkey"""
+SELECT d.doc_id, marks, d.source FROM (SELECT doc_id, count(*) AS marks FROM labels GROUP BY doc_id) l
+RIGHT JOIN documents d ON l.doc_id = d.doc_id"""
 ORACLES["join_semi"] = _with("claims", "members") + """
 SELECT member_id, plan_id FROM members m WHERE EXISTS (SELECT 1 FROM claims c WHERE c.member_id = m.member_id AND claim_amount > 40000)"""
 ORACLES["join_anti"] = _with("claims", "members") + """

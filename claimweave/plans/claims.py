@@ -85,7 +85,7 @@ def denied_claims_report(claims: DataFrame, providers: DataFrame, *, since, stat
     """
     denied = claims.filter((F.col("claim_status") == status) & on_or_after(F.col("service_date"), since))
     grain = denied.groupBy("provider_id", "procedure_code").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("claim_amount").alias("billed"))
+        F.count(F.lit(1)).alias("n"), F.sum("billed_amount").alias("billed"))
     names = providers.select("provider_id", "provider_name")
     return (
         grain.join(names, "provider_id")

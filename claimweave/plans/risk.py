@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.expr import band_factor, ladder
@@ -147,16 +147,18 @@ def hcc_hierarchy_scores(risk_scores: DataFrame, *, year=2023, bounds=(1.0, 2.0)
     )
 
 
-def hcc_array_scores(diagnoses: DataFrame, *, weights=SLOT_WEIGHTS, slots=10) -> DataFrame:
-    """Weight of up to ``slots`` distinct codes per member, in code order.
+def hcc_array_scores(diagnoses: DataFrame, *, weights=SLOT_WEIGHTS, slots: int | None = None) -> DataFrame:
+    """Weight of the distinct codes per member, in code order.
 
-    Codes are made distinct and cut to the slots before any array is built, so
-    an array never holds more than ``slots`` codes.
+    Codes are made distinct before any array is built, so an array holds at most the
+    codes of the code list. ``slots`` is for the file form with that many places:
+    later codes are then left out, and ``codes_left_out`` counts them.
     """
     codes = diagnoses.filter(F.col("hcc_code").isNotNull()).select("member_id", "hcc_code").distinct()
-    first = Window.partitionBy("member_id").orderBy("hcc_code")
-    kept = codes.withColumn("slot", F.row_number().over(first)).filter(F.col("slot") <= slots)
-    arrays = kept.groupBy("member_id").agg(F.sort_array(F.collect_list("hcc_code")).alias("hcc_slots"))
+    arrays = codes.groupBy("member_id").agg(F.sort_array(F.collect_list("hcc_code")).alias("hcc_slots"))
+    if slots is not None:
+        left = F.greatest(F.size("hcc_slots") - slots, F.lit(0)).cast("long")
+        arrays = arrays.withColumn("codes_left_out", left).withColumn("hcc_slots", F.slice("hcc_slots", 1, slots))
     weight_of = F.create_map(*[
         F.lit(x) for code, w in weights.items() for x in (code, Decimal(str(w)).quantize(Decimal("0.001")))
     ])

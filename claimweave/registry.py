@@ -282,7 +282,7 @@ def denial_analysis(spark, sf):
 
 @query
 def dq_claims(spark, sf):
-    rows, with_members = _claims(spark, sf), view(spark, sf, "claims")
+    rows = _claims(spark, sf)
     return dq.all_checks(
         dq.run_checks(rows, [
             dq.not_null("claim_amount"),
@@ -293,8 +293,7 @@ def dq_claims(spark, sf):
             dq.not_older("service_date", 60, AS_OF),
         ]),
         dq.duplicate_keys(rows, "claim_id"),
-        dq.missing_parents(
-            with_members, view(spark, sf, "members").filter("member_id % 50 <> 0"), "member_id"),
+        dq.missing_parents(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id"),
     )
 
 
@@ -334,6 +333,22 @@ def dq_raf_scores(spark, sf):
     ])
 
 
+@query
+def dq_tables(spark, sf):
+    """Rules on columns of the tables that break them."""
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    marked = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
+    return dq.all_checks(
+        dq.run_checks(table(spark, sf, "customer"), [dq.non_negative("c_acctbal")]),
+        dq.run_checks(view(spark, sf, "providers"), [dq.at_most("contract_rate", 100)]),
+        dq.run_checks(view(spark, sf, "prior_auth_summary"), [
+            dq.absent_when("approval_date", F.col("auth_status") == "WITHDRAWN", "withdrawn")]),
+        dq.run_checks(lines, [dq.not_above("o_orderdate", "l_shipdate")]),
+        dq.run_checks(marked, [dq.not_null("quality"), dq.not_above("toxic", "quality")]),
+        dq.duplicate_keys(table(spark, sf, "lineitem"), "l_orderkey"),
+    )
+
+
 @query
 def dq_prior_auth(spark, sf):
     return dq.run_checks(view(spark, sf, "prior_auth_summary"), [
@@ -440,8 +455,10 @@ def batch_report(spark, sf):
 
 def _record_claims(spark, sf):
     return view(spark, sf, "claims").select(
-        F.regexp_extract("claim_id", r"^CLM(\d+)-", 1).cast("long").alias("claim_id"),
-        "member_id", "provider_id", "service_date", "claim_type", "procedure_code", "diagnosis_code",
+        "claim_id", "member_id", "provider_id", "service_date",
+        F.when(F.col("claim_type") == "Professional", "PROF").when(F.col("claim_type") == "Institutional", "INST")
+        .otherwise("RX").alias("claim_type"),
+        "procedure_code", "diagnosis_code",
         "claim_amount", "paid_amount", "denied_amount", "claim_status",
     )
 
@@ -458,6 +475,22 @@ def records_fixed(spark, sf):
     return decode_records(encoded, "record", layouts.CLAIM, packed=False)
 
 
+# Reports over record files, equal to the reports over the tables.
+
+@query
+def claims_cost_from_records(spark, sf):
+    return claims.claims_cost_summary(records_packed(spark, sf))
+
+
+@query
+def churn_from_records(spark, sf):
+    people = view(spark, sf, "members").select(
+        "member_id", F.lit("").alias("first_name"), "last_name", F.lit(None).cast("date").alias("date_of_birth"), "gender", "age",
+        "enrollment_date", "termination_date", "enrollment_status", "plan_type", "premium_amount", "claims_last_year", "total_cost_last_yr")
+    encoded = encode_records(people, layouts.CHURN_MEMBER, packed=True)
+    return members.churn_summary(decode_records(encoded, "record", layouts.CHURN_MEMBER, packed=True))
+
+
 # Primitives.
 
 @query
@@ -468,12 +501,9 @@ def join_left(spark, sf):
 
 @query
 def join_right(spark, sf):
-    """Suppliers of one nation group against all nations."""
-    suppliers = table(spark, sf, "supplier").filter("s_nationkey % 3 = 0")
-    per_nation = suppliers.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
-        F.count(F.lit(1)).alias("suppliers"))
-    nations = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    return per_nation.join(nations, "n_nationkey", "right")
+    """Labels, which cover some documents, against all documents."""
+    marks = table(spark, sf, "labels").groupBy("doc_id").agg(F.count(F.lit(1)).alias("marks"))
+    return marks.join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", "right")
 
 
 @query

@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 # Code lists of the payer tables, by position of a key's remainder.
 VIEWS = {
     "claims": """
-SELECT concat('CLM', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS claim_id,
+SELECT l_orderkey * 10 + l_linenumber AS claim_id,
   {member} l_suppkey AS provider_id,
   CAST(l_shipdate AS DATE) AS service_date,
   CASE l_partkey % 12 WHEN 0 THEN '77065' WHEN 1 THEN '77066' WHEN 2 THEN '77067' WHEN 3 THEN '99213' WHEN 4 THEN '99214' WHEN 5 THEN '99215' WHEN 6 THEN '81000' WHEN 7 THEN '85025' WHEN 8 THEN '80053' WHEN 9 THEN '99232' WHEN 10 THEN '70450' ELSE '73060' END AS procedure_code,
   CASE l_partkey % 7 WHEN 0 THEN 'E11.9' WHEN 1 THEN 'I10' WHEN 2 THEN 'J44.9' WHEN 3 THEN 'K21.9' WHEN 4 THEN 'M19.90' WHEN 5 THEN 'F41.9' ELSE 'E78.5' END AS diagnosis_code,
   CASE l_linenumber % 3 WHEN 0 THEN 'Professional' WHEN 1 THEN 'Institutional' ELSE 'Pharmacy' END AS claim_type,
-  amount AS claim_amount,
+  amount AS claim_amount, CAST(amount + l_linenumber * 10 AS DECIMAL(9,2)) AS billed_amount,
   CAST(CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' OR l_returnflag = 'N' AND l_linestatus = 'F' THEN amount - l_partkey % 500
             WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN amount - 500 ELSE 0 END AS DECIMAL(9,2)) AS paid_amount,
   CAST(CASE WHEN l_returnflag = 'R' THEN amount WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 500 ELSE 0 END AS DECIMAL(9,2)) AS denied_amount,
@@ -51,16 +51,15 @@ SELECT s_suppkey AS provider_id, s_name AS provider_name,
 FROM supplier""",
     "diagnoses": """
 SELECT o_custkey AS member_id, CAST(l_shipdate AS DATE) AS service_date,
-  CASE l_partkey % 9 WHEN 0 THEN 'HCC17' WHEN 1 THEN 'HCC18' WHEN 2 THEN 'HCC19' WHEN 3 THEN 'HCC85' WHEN 4 THEN 'HCC86' WHEN 5 THEN 'HCC87' WHEN 6 THEN 'HCC88' WHEN 7 THEN 'HCC111' ELSE 'HCC112' END AS hcc_code
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE o_custkey % 10 <> 7 AND (l_orderkey + l_partkey) % 8 = 0""",
+  CASE WHEN o_custkey % 10 = 7 OR (l_orderkey + l_partkey) % 8 <> 0 THEN 'NONE' ELSE CASE l_partkey % 9 WHEN 0 THEN 'HCC17' WHEN 1 THEN 'HCC18' WHEN 2 THEN 'HCC19' WHEN 3 THEN 'HCC85' WHEN 4 THEN 'HCC86' WHEN 5 THEN 'HCC87' WHEN 6 THEN 'HCC88' WHEN 7 THEN 'HCC111' ELSE 'HCC112' END END AS hcc_code
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""",
     "risk_scores": """
 SELECT o_custkey AS member_id, CAST(2022 + l_linenumber % 2 AS INT) AS risk_year,
   concat('HCC', CAST(l_partkey % 189 + 1 AS STRING)) AS hcc_code,
   CAST((100 + (l_partkey * 17 + l_suppkey * 7 + l_linenumber) % 1401) AS DECIMAL(7,3)) * CAST(0.001 AS DECIMAL(4,3)) AS risk_score,
   CASE l_partkey % 5 WHEN 0 THEN 'Diabetes' WHEN 1 THEN 'Heart Disease' WHEN 2 THEN 'COPD' WHEN 3 THEN 'Cancer' ELSE 'Kidney Disease' END AS disease_group,
   CAST(l_suppkey % 2 AS INT) AS hierarchical_flag
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE (l_orderkey + l_suppkey) % 10 = 0""",
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey""",
     "hedis_measures": """
 SELECT CASE o_orderkey % 8 WHEN 0 THEN 'BCS' WHEN 1 THEN 'COL' WHEN 2 THEN 'CBP' WHEN 3 THEN 'CDC' WHEN 4 THEN 'HBD' WHEN 5 THEN 'CIS' WHEN 6 THEN 'W15' ELSE 'W30' END AS measure_id,
   o_custkey AS member_id, CAST(50 + (o_orderkey * 3) % 35 AS INT) AS age,
@@ -79,15 +78,15 @@ SELECT o_orderkey AS auth_id, o_custkey AS member_id, o_orderkey % 10 AS provide
   concat('REV00', CAST(o_custkey % 5 + 1 AS STRING)) AS reviewer_id
 FROM orders""",
     "provider_claims": """
-SELECT l_suppkey AS provider_id, {member} CAST(l_shipdate AS DATE) AS service_date,
+SELECT CASE WHEN l_suppkey % 25 = 24 THEN l_suppkey - 1 ELSE l_suppkey END AS provider_id, {member} CAST(l_shipdate AS DATE) AS service_date,
   CAST(l_quantity * (2 + (l_suppkey * 7) % 50) AS DECIMAL(9,2)) AS claim_amount,
   CAST(CASE WHEN l_partkey % (5 + l_suppkey % 30) = 0 THEN 0 ELSE l_quantity * (2 + (l_suppkey * 7) % 50) END AS DECIMAL(9,2)) AS paid_amount,
   CASE WHEN l_partkey % (5 + l_suppkey % 30) = 0 THEN 'DENIED' WHEN l_partkey % 2 = 0 THEN 'PARTIAL' ELSE 'APPROVED' END AS claim_status,
   60 + (l_suppkey * 13) % 31 + l_partkey % 11 AS quality_score
-FROM lineitem {orders} WHERE l_suppkey % 25 <> 24""",
+FROM lineitem {orders}""",
     # Legacy source members: prose wrapped in statements so that every
     # profiling and lint rule has hits and misses at any scale.
-    "sources": """
+    "sources": '''
 SELECT doc_id AS file_id, concat('src_', CAST(doc_id AS STRING), CASE doc_id % 3 WHEN 0 THEN '.cbl' WHEN 1 THEN '.sas' ELSE '.SAS' END) AS filename,
   CASE doc_id % 8
     WHEN 0 THEN concat('PROC SQL;\n  SELECT *, ', text)
@@ -96,9 +95,9 @@ SELECT doc_id AS file_id, concat('src_', CAST(doc_id AS STRING), CASE doc_id % 3
     WHEN 3 THEN concat('spark.table("payer_dev.analytics_gold.t")\nF.when(n > 0, 1)\n', text, '\nF.avg("d").cast("double")')
     WHEN 4 THEN concat('CREATE OR REPLACE TABLE payer_analyst_dev.t AS\n', text, '\nSELECT *,\n x FROM t')
     WHEN 5 THEN concat('CAST(a.date_x AS DATE)\n   \n\n', text)
-    WHEN 6 THEN CASE WHEN doc_id % 16 = 6 THEN ' \n ' ELSE 'x = 1' END
+    WHEN 6 THEN concat('from pyspark.sql import functions as F\nspark.sql(f"""CREATE OR REPLACE TABLE t AS SELECT *, 1 AS x FROM u""")\n', text)
     ELSE text END AS text
-FROM documents""",
+FROM documents''',
     # Model answers holding code in fences of every supported kind.
     "replies": """
 SELECT conv_id, turn,
@@ -140,7 +139,7 @@ SCHEMAS = {
     "labels": "doc_id bigint, quality int, toxic int",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
-_WITH_MEMBER = {"member": "o_custkey AS member_id,", "orders": "JOIN orders ON l_orderkey = o_orderkey"}
+_WITH_MEMBER = {"member": "o_custkey AS member_id,", "orders": "LEFT JOIN orders ON l_orderkey = o_orderkey"}
 # Every claim line belongs to exactly one order, so without the member column
 # the join would only cost a shuffle of the largest table.
 _WITHOUT_MEMBER = {"member": "", "orders": ""}

@@ -6,6 +6,8 @@ scan stays splittable and no row passes through Python.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +129,17 @@ def read_packed(spark: SparkSession, path: str, layout: Layout, trailer: int = 0
 
 
 def encode_records(df: DataFrame, layout: Layout, packed: bool, column: str = "record") -> DataFrame:
-    """The inverse of :func:`decode_records`, used to derive record inputs from tables."""
+    """The inverse of :func:`decode_records`, used to derive record inputs from tables.
+
+    Nothing is shortened: a text longer than its field or outside Latin-1 (which encoding refuses), a number with
+    more digits, and a negative number in display form (which has no sign) raise. A
+    NULL number is written as blanks, which decode as malformed; a NULL date as zeros,
+    which decode as not set; a NULL text as blanks.
+    """
+    def fitting(field, value, fits):
+        raised = F.raise_error(F.concat(F.lit(f"{field.name} does not hold "), value.cast("string")))
+        return F.when(value.isNull() | fits, value).otherwise(raised.cast(field.type))
+
     # Neighbouring display fields are encoded as one text.
     parts, run = [], []
 
@@ -139,21 +151,27 @@ def encode_records(df: DataFrame, layout: Layout, packed: bool, column: str = "r
     for field in layout.fields:
         value = F.col(field.name)
         if field.kind == "text":
+            value = fitting(field, value, F.length(value) <= field.digits)
             run.append(F.rpad(F.coalesce(value, F.lit("")), field.digits, " "))
             continue
         if field.kind == "date":
             ymd = F.year(value) * 10000 + F.month(value) * 100 + F.day(value)
             digits = F.coalesce(ymd, F.lit(0)).cast("string")
-        elif field.scale:
+        elif field.scale or field.kind == "packed":
+            limit = F.lit(Decimal(10 ** (field.digits - field.scale)))
+            fits = (F.abs(value) < limit) & (value.cast(field.type) == value)
+            value = fitting(field, value, fits if packed and field.kind == "packed" else fits & (value >= 0))
             unscaled = F.abs(value.cast(field.type)) * F.lit(10 ** field.scale)
             digits = unscaled.cast("long" if field.digits <= 18 else f"decimal({field.digits},0)").cast("string")
         else:
-            digits = F.abs(value).cast("string")
+            value = fitting(field, value, (value >= 0) & (F.length(value.cast("string")) <= field.digits))
+            digits = value.cast("string")
         if packed and field.kind == "packed":
             close_run()
             sign = F.when(value < 0, "D").otherwise("C")
-            parts.append(F.unhex(F.concat(F.lpad(digits, 2 * field.width(True) - 1, "0"), sign)))
+            nibbles = F.concat(F.lpad(digits, 2 * field.width(True) - 1, "0"), sign)
+            parts.append(F.unhex(F.coalesce(nibbles, F.lit("20" * field.width(True)))))
         else:
-            run.append(F.lpad(digits, field.digits, "0"))
+            run.append(F.coalesce(F.lpad(digits, field.digits, "0"), F.lit(" " * field.digits)))
     close_run()
     return df.select(F.concat(*parts).alias(column))

@@ -239,12 +239,14 @@ def test_prior_auth(spark):
 
 def test_slots_are_cut_in_code_order(spark):
     rows = [(1, f"HCC{i}") for i in range(10, 25)] + [(1, "HCC10"), (2, "HCC18"), (2, "HCC85"), (2, "ZZZ"), (3, None)]
-    got = {r.member_id: (r.hcc_slots, r.hcc_score_sum) for r in risk.hcc_array_scores(
-        spark.createDataFrame(rows, "member_id long, hcc_code string")).collect()}
+    df = spark.createDataFrame(rows, "member_id long, hcc_code string")
+    got = {r.member_id: (r.hcc_slots, r.hcc_score_sum, r.codes_left_out) for r in risk.hcc_array_scores(df, slots=10).collect()}
     assert got == {
-        1: ([f"HCC{i}" for i in range(10, 20)], 0.972),
-        2: (["HCC18", "HCC85", "ZZZ"], 0.625),
+        1: ([f"HCC{i}" for i in range(10, 20)], 0.972, 5),
+        2: (["HCC18", "HCC85", "ZZZ"], 0.625, 0),
     }
+    whole = {r.member_id: r.hcc_slots for r in risk.hcc_array_scores(df).collect()}
+    assert whole == {1: [f"HCC{i}" for i in range(10, 25)], 2: ["HCC18", "HCC85", "ZZZ"]}
 
 
 def test_empty_inputs_keep_one_row(spark):
@@ -289,7 +291,7 @@ def test_duplicate_provider_rows_multiply_as_in_a_plain_join(spark):
     claims = spark.createDataFrame(
         [(1, "A", D("5.00"), D("2.00"), "Denied", dt.date(2023, 1, 1)), (1, "A", D("7.00"), D("3.00"), "Denied", dt.date(2023, 2, 1)),
          (2, "A", D("1.00"), D("4.00"), "Denied", dt.date(2022, 12, 31))],
-        "provider_id long, procedure_code string, claim_amount decimal(9,2), paid_amount decimal(9,2), claim_status string, service_date date")
+        "provider_id long, procedure_code string, billed_amount decimal(9,2), paid_amount decimal(9,2), claim_status string, service_date date")
     people = spark.createDataFrame([(1, "X", "S"), (1, "X", "S"), (2, "Y", "S")], "provider_id long, provider_name string, specialty string")
     report = claims_plan.denied_claims_report(claims, people, since="2023-01-01").collect()
     assert [tuple(r) for r in report] == [(1, "X", "A", 4, 24.0)]

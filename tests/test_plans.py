@@ -55,6 +55,6 @@ def test_hierarchy_needs_no_window(plan):
     assert "Window" not in text and "partial_min" in text
 
 
-@pytest.mark.parametrize("name", ["latest_per_key", "keep_top_rows", "hcc_array_scores"])
+@pytest.mark.parametrize("name", ["latest_per_key", "keep_top_rows"])
 def test_top_rows_are_cut_before_the_shuffle(plan, name):
     assert re.search(r"WindowGroupLimit.*Partial", plan(name))

@@ -117,3 +117,32 @@ def test_corpus_directory(spark, tmp_path):
     (tmp_path / "e.xcbl").write_bytes(b"no")
     got = {r.filename: (r.text, r.size_bytes) for r in read_corpus(spark, str(tmp_path)).collect()}
     assert got == {"a.cbl": ("IDENTIFICATION DIVISION.", 24), "b.COBOL": ("caf\xe9 €", 9), "c.Cob": ("caf\xe9", 4)}
+
+
+FIELDS = Layout.of(("n", "9(3)"), ("t", "X(4)"), ("d", "9(8) date"), ("m", "9(2)V9(1) packed"))
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_nulls_stay_in_their_field(spark, packed):
+    schema = "n int, t string, d date, m decimal(3,1)"
+    rows = [(None, "ab", dt.date(2020, 1, 2), D("1.5")), (7, None, None, None), (0, "", None, D("0.0"))]
+    encoded = encode_records(spark.createDataFrame(rows, schema), FIELDS, packed)
+    back = decode_records(encoded, "record", FIELDS, packed, bad="bad").collect()
+    assert sorted(map(str, back)) == sorted(map(str, [
+        type(back[0])(n=None, t="ab", d=dt.date(2020, 1, 2), m=D("1.5"), bad=["n"]),
+        type(back[0])(n=7, t="", d=None, m=None, bad=["m"]), type(back[0])(n=0, t="", d=None, m=D("0.0"), bad=[])]))
+
+
+@pytest.mark.parametrize("packed, row", [
+    (True, (1000, "a", D("1.0"))), (False, (-7, "a", D("1.0"))), (True, (1, "abcde", D("1.0"))), (True, (1, "\u4f60", D("1.0"))),
+    (True, (1, "a", D("100.0"))), (True, (1, "a", D("1.55"))), (False, (1, "a", D("-1.5"))),
+])
+def test_values_that_do_not_fit_raise(spark, packed, row):
+    df = spark.createDataFrame([(row[0], row[1], None, row[2])], "n int, t string, d date, m decimal(9,2)")
+    with pytest.raises(Exception, match="does not hold|MALFORMED_CHARACTER_CODING"):
+        encode_records(df, FIELDS, packed).collect()
+
+
+def test_packed_keeps_the_sign(spark):
+    df = spark.createDataFrame([(1, "a", None, D("-1.5"))], "n int, t string, d date, m decimal(3,1)")
+    assert decode_records(encode_records(df, FIELDS, True), "record", FIELDS, True).first().m == D("-1.5")

@@ -1,6 +1,8 @@
-"""Corpus helpers against Python's re on whole texts."""
+"""Corpus helpers on short texts with results worked out by hand, and on very long ones."""
 
+import random
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,140 +12,134 @@ from pyspark.sql import functions as F
 from claimweave.functions import text as tx
 from claimweave.operators import scripts
 
-PIECES = ["PROC SQL;", "proc freq", "Proc Sql", "data x;", "DATA  a.b", "FROM t.u", "from\n\tx", "%let", "libname", "\n", "\n \t\n",
-          " ", " ", "é", "ſ", "```", "```python\n", "```SQL\n", "```pyspark", "x=1", "SELECT *, a", "SELECT *\n,\nb FROM c",
-          "create or replace table t as ", "CREATE TEMP VIEW v AS ", ";", "F.sum(\"a\")", ".cast(\"double\")", " .cast", "F.avg(F.max(b)",
-          "F.when(n > 0", "F.when(F.col(n) > 0", ".cache()", ".persist(", "F.to_date(d)", "CAST(a_date AS DATE)", "spark.", "df.",
-          "payer_dev.analytics_gold", "payer_analyst_dev", "from pyspark.sql import functions as F", "WHERE", "\r"]
-
-
-def texts(n=150, seed=5):
-    import random
-
-    rng = random.Random(seed)
-    made = ["".join(rng.choices(PIECES, k=rng.randrange(0, 12))) for _ in range(n)]
-    return made + ["", " \n\t ", "\n" * 49 + "data", "x\n" * 201, "\x1c\x1d"]
-
-
-@pytest.fixture(scope="module")
-def files(spark):
-    return spark.createDataFrame(list(enumerate(texts())), "id long, text string").repartition(4)
-
-
-def rows(df):
-    return {r.id: r for r in df.collect()}
-
-
-def test_profile(files):
-    got = rows(scripts.profile(files, "id"))
-    for i, t in enumerate(texts()):
-        procs = set(re.findall(r"PROC\s+(\w+)", t, re.I))
-        lines = t.split("\n")
-        macro = "%" in t
-        level = ("Simple" if len(procs) <= 1 and not macro and len(lines) < 50
-                 else "Complex" if macro or len(procs) >= 3 or len(lines) > 200 else "Medium")
-        want = (len(lines), sum(bool(x.strip()) for x in lines), sorted(procs), "PROC SQL" in t.upper(), "PROC FREQ" in t.upper(),
-                bool(re.search(r"DATA\s+\w+", t, re.I)), "LIBNAME" in t.upper(), macro,
-                len(re.findall(r"FROM\s+[\w.]+|DATA\s+[\w.]+", t, re.I)), len(procs), level)
-        assert tuple(got[i])[1:] == want, repr(t)
-
-
-def test_validity(files):
-    got = rows(scripts.validity(files))
-    for i, t in enumerate(texts()):
-        empty = not t.strip()
-        known = any(k in t.upper() for k in ("PROC", "DATA", "RUN", "QUIT", "SELECT", "FROM", "LIBNAME"))
-        assert (got[i].is_valid, got[i].reason) == (
-            not empty and known, "empty" if empty else "ok" if known else "no_keyword"), repr(t)
-
-
-@pytest.mark.parametrize("dialect", ["PySpark", "SQL"])
-@pytest.mark.parametrize("all_rules", [False, True])
-def test_lint(files, dialect, all_rules):
-    got = {(r.id, r.rule) for r in scripts.lint(files, "id", dialect, all_rules=all_rules).collect()}
-    active = [r for r in scripts.RULES if dialect in r.dialects and (r.enabled or all_rules)]
-    want = {(i, r.name) for i, t in enumerate(texts()) for r in active if re.search(r.pattern, t, re.I | re.M)}
-    assert got == want
-    if dialect == "PySpark":
-        assert {r for _, r in want} == {r.name for r in active}
-
-
-def test_lint_examples(spark):
-    wrong = {
-        "python_boolean_in_when": "F.when(completed_count > 0, x)", "missing_cast_aggregation": 'F.avg("days").alias("d")',
-        "casting_date_columns": 'F.to_date(F.col("approval_date"))', "persist_or_cache": "df.persist()",
-    }
-    right = {
-        "python_boolean_in_when": "F.when(F.lit(completed_count) > 0, x)",
-        "missing_cast_aggregation": 'F.avg("days").cast("double")', "casting_date_columns": 'F.col("approval_date")',
-        "persist_or_cache": "df",
-    }
-    for sample, expected in ((wrong, set(wrong)), (right, set())):
-        df = spark.createDataFrame(list(sample.items()), "id string, text string")
-        hits = {r.id for r in scripts.lint(df, "id", "PySpark").collect() if r.id == r.rule}
-        assert hits == expected
-
-
-def test_output_checks(files):
-    python, sql = (rows(scripts.output_checks(files, "id", d)) for d in ("PySpark Notebook", "SQL (DBSQL)"))
-    other = rows(scripts.output_checks(files, "id", "Scala"))
-    star = r"SELECT\s+\*\s*,\s*\w+"
-    create = r"CREATE\s+(OR\s+REPLACE\s+)?(TEMP\s+VIEW|TABLE)[^;]*?" + star
-    for i, t in enumerate(texts()):
-        source = ["missing_source_namespace"] * ("payer_dev.analytics_gold" not in t)
-        short = ["very_short"] * (len(t) < 50)
-        assert python[i].warnings == source + ["missing_target_catalog"] * ("payer_analyst_dev" not in t) + short
-        assert python[i].issues == ["no_dataframe_code"] * ("spark." not in t and "df." not in t)
-        assert sql[i].warnings == source + ["missing_functions_import"] * ("from pyspark.sql import functions as F" not in t) + short
-        issues = (["select_star_with_columns"] * bool(re.search(star, t, re.I | re.M))
-                  + ["create_select_star_with_columns"] * bool(re.search(create, t, re.I | re.M | re.S)))
-        assert (sql[i].issues, sql[i].is_valid) == (issues, not issues)
-        assert (other[i].issues, other[i].warnings) == ([], source + short)
-
-
-def model_block(text):
-    found = re.findall(r"```(?:python|sql|py|pyspark)?\n?(.*?)```", text, re.S | re.I)
-    if found:
-        return found[0].strip().replace("```", "")
-    text = re.sub(r"^```(?:python|sql|py|pyspark)?$", "", text.strip(), flags=re.M | re.I)
-    return re.sub(r"^```$", "", text, flags=re.M).strip()
-
-
-def test_code_blocks(files):
-    got = rows(files.select("id", scripts.code_block(F.col("text")).alias("code")))
-    for i, t in enumerate(texts()):
-        assert got[i].code == model_block(t), repr(t)
-
-
-def test_long_text_is_searched_whole(spark):
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+
+
+# text -> lines, full lines, procedures, sql, freq, data step, libname, macro, references, complexity
+PROFILES = [
+    ("", (1, 0, [], False, False, False, False, False, 0, "Simple")),
+    ("proc means; run;", (1, 1, ["means"], False, False, False, False, False, 0, "Simple")),
+    ("PROC SQL;\nselect 1\n from a.b;\n\n", (5, 3, ["SQL"], True, False, False, False, False, 1, "Simple")),
+    ("proc freq; proc sort;\ndata out; libname z;", (2, 2, ["freq", "sort"], False, True, True, True, False, 1, "Medium")),
+    ("proc a; proc b; proc c; proc a;", (1, 1, ["a", "b", "c"], False, False, False, False, False, 0, "Complex")),
+    ("%let x = 1;", (1, 1, [], False, False, False, False, True, 0, "Complex")),
+    ("x\n" * 49 + "x", (50, 50, [], False, False, False, False, False, 0, "Medium")),
+    ("x\n" * 200, (201, 200, [], False, False, False, False, False, 0, "Complex")),
+    ("data\n\tlake.raw from one.two", (2, 2, [], False, False, True, False, False, 2, "Simple")),
+]
+
+
+def test_profiles(spark):
+    got = {r.id: tuple(r)[1:] for r in scripts.profile(frame(spark, [t for t, _ in PROFILES]), "id").collect()}
+    for i, (text, want) in enumerate(PROFILES):
+        lines, full, procs, *flags, references, level = want
+        assert got[i] == (lines, full, procs, *flags, references, len(procs), level), text
+
+
+def test_validity(spark):
+    cases = {"": "empty", " \n \x1c": "empty", "hello": "no_keyword", "Run it": "ok", "the database": "ok", "se lect": "no_keyword"}
+    got = {r.text: (r.is_valid, r.reason) for r in scripts.validity(frame(spark, list(cases))).collect()}
+    assert got == {t: (reason == "ok", reason) for t, reason in cases.items()}
+
+
+# rule -> texts that break it, texts that do not
+LINT = {
+    "python_boolean_in_when": (["y = F.when(total >= 3, 'a')", "f.WHEN( n!=0, 1)"], ["F.when(F.col('n') > 3, 'a')", "when(n > 3)"]),
+    "missing_cast_aggregation": (["F.max('fee')", "F.count(x).cast('int'), F.min(y)"], ["F.max('fee') .cast('int')", "G.max('fee')", "F.sum()"]),
+    "casting_date_columns": (["F.to_date(x)", "cast(paid_date as date)", "CAST(date, AS DATE"], ["CAST(paid AS DATE)", "CAST(date) AS DATE", "CAST(x AS DATE) date"]),
+    "persist_or_cache": (["t.cache()", "t.select(a).persist(LEVEL)"], ["cache()", "t.cached()"]),
+    "ambiguous_select_star": (["select * from t", "SELECT  *, a FROM t WHERE b"], ["select a from t", "select *\nfrom t"]),
+    "unused_pyspark_import_in_sql": (["from pyspark.sql import functions as F"], ["from pyspark.sql import types", "import pyspark.sql as F"]),
+    "pure_sql_in_mixed_mode": (['spark.sql(f"""create or replace table a as select *, 1""")'], ['spark.sql("create or replace table a as select *, 1")']),
+}
+
+
+@pytest.mark.parametrize("rule", sorted(LINT))
+def test_lint(spark, rule):
+    wrong, right = LINT[rule]
+    df = frame(spark, wrong + right)
+    dialect = next(r.dialects[-1] for r in scripts.RULES if r.name == rule)
+    hits = {r.id for r in scripts.lint(df, "id", dialect, all_rules=True).collect() if r.rule == rule}
+    assert hits == set(range(len(wrong)))
+
+
+def test_lint_choice_of_rules(spark):
+    df = frame(spark, ["select * from t; F.to_date(x); t.cache()"])
+    rules = lambda *a, **k: {r.rule for r in scripts.lint(df, "id", *a, **k).collect()}
+    assert rules("PySpark Notebook") == {"casting_date_columns", "persist_or_cache"}
+    assert rules("SQL (DBSQL)") == {"casting_date_columns"}
+    assert rules("SQL", all_rules=True) == {"casting_date_columns", "ambiguous_select_star"}
+
+
+def test_date_rule_equals_its_pattern(spark):
+    rng = random.Random(11)
+    parts = ["CAST(", "cast(", ")", "date", "Date", " as date", "AS DATE", "as dat", "e", "a", " ", "\n", "F.to_date", "x date as date"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(600)]
+    pattern = next(r.pattern for r in scripts.RULES if r.name == "casting_date_columns")
+    hits = {r.id for r in scripts.lint(frame(spark, texts), "id", "SQL").collect() if r.rule == "casting_date_columns"}
+    assert hits == {i for i, t in enumerate(texts) if re.search(pattern, t, re.I)} and 20 < len(hits) < 580
+
+
+LONG = "y" * 50
+
+
+@pytest.mark.parametrize("dialect, text, issues, warnings", [
+    ("PySpark", LONG, ["no_dataframe_code"], ["missing_source_namespace", "missing_target_catalog"]),
+    ("PySpark Notebook", "df.x payer_dev.analytics_gold", [], ["missing_target_catalog", "very_short"]),
+    ("PySpark", "spark.x payer_analyst_dev " + LONG, [], ["missing_source_namespace"]),
+    ("SQL", "select * , b" + LONG, ["select_star_with_columns"], ["missing_source_namespace", "missing_functions_import"]),
+    ("SQL (DBSQL)", "create temp view v as\nselect *,\nb from payer_dev.analytics_gold.t " + LONG,
+     ["select_star_with_columns", "create_select_star_with_columns"], ["missing_functions_import"]),
+    ("SQL", "create table a; " + LONG + " from pyspark.sql import functions as F", [], ["missing_source_namespace"]),
+    ("Scala", "", [], ["missing_source_namespace", "very_short"]),
+])
+def test_output_checks(spark, dialect, text, issues, warnings):
+    row = scripts.output_checks(frame(spark, [text]), "id", dialect).first()
+    assert (row.issues, row.warnings, row.is_valid) == (issues, warnings, not issues)
+
+
+@pytest.mark.parametrize("text, code", [
+    ("plain words", "plain words"), ("  \n plain \t", "plain"), ("", ""), ("a ```b``` c", "b"), ("```\n\n``` after", ""),
+    ("see\n```sql\none\n```\nand ```two```", "one"), ("```PY\n x = 1 \n```", "x = 1"), ("```pyspark\nq", "q"),
+    ("```\nopen", "open"), ("open\n```", "open"), ("a\n```SQL\nb", "a\n\nb"), ("``` `` ```", "``"), ("```java\nz```", "java\nz"),
+])
+def test_code_blocks(spark, text, code):
+    assert frame(spark, [text]).select(scripts.code_block(F.col("text"))).first()[0] == code
+
+
+def test_long_texts_take_linear_time(spark):
+    blanks, open_casts = "a" + " " * 1_000_000 + "b", "CAST(date " * 100_000
     body = "word " * 200_000
-    df = spark.createDataFrame([(1, body + "\n```sql\n" + body + "\n```" + body + "PROC LAST")], "id long, text string")
-    row = scripts.profile(df, "id").first()
-    assert row.procs_used == ["LAST"]
-    assert df.select(scripts.code_block(F.col("text"))).first()[0] == body.strip()
+    fenced = body + "\n```sql\n" + body + "\n```" + body + "PROC LAST"
+    df = frame(spark, [blanks, open_casts, open_casts + "as date", fenced])
+    started = time.monotonic()
+    code = [r[0] for r in df.orderBy("id").select(scripts.code_block(F.col("text"))).collect()]
+    assert code[0] == blanks and code[1] == open_casts.strip() and code[3] == body.strip()
+    hits = {r.id for r in scripts.lint(df, "id", "SQL").collect()}
+    assert hits == {2}
+    assert scripts.profile(df.filter("id = 3"), "id").first().procs_used == ["LAST"]
+    assert time.monotonic() - started < 60
 
 
 def test_preview_and_names(spark):
     df = spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc\nd\ne"), (3, "")], "id long, text string")
     got = {r.id: r.preview for r in scripts.preview(df, "id", 3).collect()}
     assert got == {1: "a\nb\nc", 2: "a\nb\nc\n\n... (2 more lines)", 3: ""}
-    names = spark.createDataFrame([("a.cbl",), ("a.cob",), ("a.cobol",), ("a.txt",), ("a.cbl.cob",)], "n string")
-    made = [r[0] for r in names.select(scripts.output_name(F.col("n"), "PySpark")).collect()]
-    assert made == [n.replace(".cbl", "_converted.py").replace(".cobol", "_converted.py").replace(".cob", "_converted.py")
-                    for n in ("a.cbl", "a.cob", "a.cobol", "a.txt", "a.cbl.cob")]
+    names = {"a.cbl": "a_converted.py", "b.cob": "b_converted.py", "c.cobol": "c_converted.py", "d.txt": "d.txt"}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.m for r in df.select("n", scripts.output_name(F.col("n"), "PySpark").alias("m")).collect()} == names
     sas = spark.createDataFrame([("a.sas",), ("b.SAS",), ("c",)], "n string")
     assert [r[0] for r in sas.select(scripts.output_name(F.col("n"), "SQL", family="sas")).collect()] == [
         "a_converted.sql", "b_converted.sql", "c_converted.sql"]
 
 
 def test_file_size(spark):
-    sizes = [0, 1023, 1024, 1280, 1536, 1433, 1048575, 1048576, 1048576 * 5 // 4, 10 ** 10]
-
-    def model(n):
-        return f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" if n < 1048576 else f"{n / 1048576:.1f} MB"
-
+    sizes = {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 1280: "1.2 KB", 1408: "1.4 KB", 1536: "1.5 KB", 1048575: "1024.0 KB",
+             1048576: "1.0 MB", 1310720: "1.2 MB", 10**10: "9536.7 MB"}
     df = spark.createDataFrame([(n,) for n in sizes], "n long")
-    assert [r[0] for r in df.select(tx.file_size(F.col("n"))).collect()] == [model(n) for n in sizes]
+    assert {r.n: r.s for r in df.select("n", tx.file_size(F.col("n")).alias("s")).collect()} == sizes
 
 
 def test_batch(spark):
@@ -159,14 +155,17 @@ def test_batch(spark):
     ]
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet="ab \n\t `", max_size=30), min_size=1, max_size=40))
-def test_lines_and_blocks_of_any_text(spark, sample):
-    df = spark.createDataFrame(list(enumerate(sample)), "id long, text string")
-    got = rows(df.select(
-        "id", tx.line_count(F.col("text")).alias("n"), tx.non_empty_lines(F.col("text")).alias("full"),
-        tx.strip(F.col("text")).alias("bare"), scripts.code_block(F.col("text")).alias("code")))
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab \n\t\x1d ", max_size=30), min_size=1, max_size=40))
+def test_properties_of_any_text(spark, sample):
+    """A blank line changes the line count alone; a text without a fence keeps its words."""
+    def measured(texts):
+        df = frame(spark, texts).select(
+            "id", tx.line_count(F.col("text")).alias("n"), tx.non_empty_lines(F.col("text")).alias("full"),
+            tx.strip(F.col("text")).alias("bare"), scripts.code_block(F.col("text")).alias("code"))
+        return {r.id: r for r in df.collect()}
+
+    once, more = measured(sample), measured([t + "\n \t" for t in sample])
     for i, t in enumerate(sample):
-        lines = t.split("\n")
-        assert (got[i].n, got[i].full, got[i].bare) == (len(lines), sum(bool(x.strip()) for x in lines), t.strip())
-        assert got[i].code == model_block(t)
+        assert (more[i].n, more[i].full, more[i].bare) == (once[i].n + 1, once[i].full, once[i].bare)
+        assert once[i].code.split() == t.split() and once[i].bare == t.strip()
