@@ -20,9 +20,9 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.withColumn("at", at).withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
 
 
-def _sketch(grams: Column, keep: int) -> Column:
+def _sketch(hashes: Column, keep: int) -> Column:
     """The ``keep`` least hashes of a set of shingles: a bottom-k MinHash signature."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))), 1, keep)
+    return F.slice(F.array_distinct(F.sort_array(hashes)), 1, keep)
 
 
 def _bands_of(sketch: Column, kind: int) -> Column:
@@ -32,19 +32,28 @@ def _bands_of(sketch: Column, kind: int) -> Column:
     return F.when(n > 1, pairs).when(n == 1, F.array(F.xxhash64(F.lit(kind), F.element_at(sketch, 1)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def bands(line: Column, keep: int) -> Column:
-    """Band keys of a line. Longer lines are sketched from the ten characters at each
-    blank, short ones and those with few blanks from every eight characters; lines of
-    60 to 160 characters from both, so that a close pair has one kind in common."""
+def sketches(df: DataFrame, keep: int) -> DataFrame:
+    """Adds the sketches ``whole`` and ``starts`` of ``line``, either may be NULL.
+
+    Longer lines are sketched from the nine characters after each blank, short ones and
+    those with few blanks from every eight characters; lines of 60 to 160 characters
+    from both, so that a close pair has one kind in common.
+    """
+    line = F.col("line")
     length = F.length(line)
     blanks = length - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    whole = _sketch(F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{8}))"), F.lit(1)), keep)
-    starts = _sketch(F.regexp_extract_all(line, F.lit(r"(?s)(?=((?:^| ).{9}))"), F.lit(1)), keep)
+    every = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{8}))"), F.lit(1))
+    starts = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(r"(?s) (?=(.{9}))"), F.lit(1))
+    hashed = lambda grams: _sketch(F.transform(grams, lambda g: F.xxhash64(g)), keep)
+    return df.withColumns({
+        "whole": F.when((length < 160) | (blanks * 25 < length), hashed(every)), "starts": F.when(length >= 60, hashed(starts)),
+    })
+
+
+def bands() -> Column:
+    """Band keys of a line from its two sketch columns."""
     none = F.array().cast("array<bigint>")
-    return F.concat(
-        F.when((length < 160) | (blanks * 25 < length), _bands_of(whole, 0)).otherwise(none),
-        F.when(length >= 60, _bands_of(starts, 1)).otherwise(none),
-    )
+    return F.array_distinct(F.concat(F.coalesce(_bands_of(F.col("whole"), 0), none), F.coalesce(_bands_of(F.col("starts"), 1), none)))
 
 
 def grams(line: Column) -> Column:
@@ -55,9 +64,13 @@ def grams(line: Column) -> Column:
 
 def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``(a, b)`` of lines whose exact Jaccard similarity reaches the threshold."""
-    left = texts.select(F.col("k1").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("k1").alias("b"), F.col("line").alias("line_b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("ga", grams(F.col("line_a"))).withColumn("gb", grams(F.col("line_b")))
+    left, right = (texts.select(F.col("k1").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("line", "whole", "starts")]) for k in ("a", "b"))
+    # A pair that shares two minima by chance is told by its sketches: one at the
+    # threshold has under three in common with probability about 0.001.
+    few = lambda c: F.least(F.size(f"{c}_a"), F.size(f"{c}_b")) < 4
+    alike = lambda c: F.coalesce(few(c) | (F.size(F.array_intersect(f"{c}_a", f"{c}_b")) > 2), F.lit(False))
+    both = pairs.join(left, "a").join(right, "b").where(alike("whole") | alike("starts"))
+    both = both.withColumn("ga", grams(F.col("line_a"))).withColumn("gb", grams(F.col("line_b")))
     both = both.select("a", "b", (F.size("ga") + F.size("gb")).alias("total"), F.size(F.array_intersect("ga", "gb")).alias("common"))
     return both.where(F.col("common") >= F.lit(threshold) * (F.col("total") - F.col("common")) - 1e-9).select("a", "b")
 
@@ -94,28 +107,25 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     ``2 * keep`` band keys. In a band a pivot is drawn by a hash that differs from
     band to band, and every line is paired with the pivots of its bands: linear in
     the lines, however large a band. Pairs are verified exactly, first each line's
-    most frequent pivot, then those that still lie in different components. Last come
-    the pairs that no pivot met, if their components still differ: in bands of up to
-    ``small`` lines those that share two bands, in larger ones ``redraws`` more
-    pivots. Lines are told apart by 128 bits of hash and linked by 64.
+    most frequent pivot, then all whose components still differ, with those pairs
+    that no pivot met: in bands of up to ``small`` lines the pairs that share two
+    bands, in larger ones ``redraws`` more pivots. Lines are told apart by 128 bits of hash and linked by 64.
     """
     lines = lines_of(docs, id_col, text_col)
-    sketched = lines.select("k1", bands(F.col("line"), keep).alias("bands")).groupBy("k1").agg(F.first("bands").alias("bands"))
-    rows = sketched.select("k1", F.explode(F.array_distinct("bands")).alias("band"))
+    sketched = sketches(lines.select("k1", "line"), keep).select("k1", bands().alias("bands")).groupBy("k1").agg(F.first("bands").alias("bands"))
+    rows = sketched.select("k1", F.explode("bands").alias("band"))
     # The pivot: least after an exclusive or with the band key, another order in each band.
     pivots = rows.groupBy("band").agg(F.min(F.col("k1").bitwiseXOR(F.col("band"))).alias("least"), F.count("*").alias("n")).where("n > 1")
     held = written(rows.join(pivots, "band").select("k1", "band", "n", F.col("least").bitwiseXOR(F.col("band")).alias("pivot")), "line-bands")
     pairs = written(held.where("k1 <> pivot").groupBy(F.col("k1").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared")), "line-pairs")
     wanted = held.select("k1").distinct()
-    texts = written(lines.select("k1", "line").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line")), "line-texts")
+    texts = lines.select("k1", "line").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line"))
+    texts = written(sketches(texts, keep), "line-texts")
     best = pairs.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links = written(_similar(best, texts, threshold), "line-links")
     groups = components(links)
-    links = links.union(_similar(_apart(pairs.select("a", "b"), groups).join(best, ["a", "b"], "left_anti"), texts, threshold))
-    links = written(links, "line-links")
-    groups = components(links)
-    links = links.union(_similar(_apart(_unmet(held, small, redraws), groups).join(pairs.select("a", "b").union(pairs.select("b", "a")), ["a", "b"], "left_anti"), texts, threshold))
-    groups = components(links)
+    rest = _apart(pairs.select("a", "b").union(_unmet(held, small, redraws)).distinct(), groups).join(best, ["a", "b"], "left_anti")
+    groups = components(links.union(_similar(rest, texts, threshold)))
 
     seen = lines.select("doc_id", "line_no", "at", "k1", "k2")
     first = seen.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
