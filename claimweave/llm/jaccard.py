@@ -217,7 +217,8 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
             return {"rep": columns["doc_id"], "shingles": [shingles(t, words).tobytes() for t in columns["text"]]}
         return fn
 
-    wanted = base.join(own.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    # Always a sort-merge join: the ids grow with the table, so the plan is the same at every size.
+    wanted = base.join(own.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = map_texts(wanted, make, "rep long, shingles binary", batch_bytes=1 << 20).groupBy("rep").agg(F.min("shingles").alias("shingles"))
     units = _units(found.join(own, "rep"), limit).join(reps, "rep").join(sets, "rep")
     links = written(grouped(units, "unit", _links(threshold), "rep long, root long, links long"), "links")
