@@ -169,7 +169,7 @@ def lint(files: DataFrame, key: str, dialect: str, text: str = "text", all_rules
 
 def output_checks(files: DataFrame, key: str, dialect: str, text: str = "text",
                   source: str = SOURCE_NAMESPACE, target: str = TARGET_CATALOG) -> DataFrame:
-    """Blocking issues and warnings of produced code."""
+    """Blocking issues, warnings and correction notes of produced code."""
     dialect = base_dialect(dialect)
     t = F.col(text)
 
@@ -184,17 +184,21 @@ def output_checks(files: DataFrame, key: str, dialect: str, text: str = "text",
             return F.array().cast("array<string>")
         return F.array_compact(F.array(*[F.when(rule, F.lit(label)) for rule, label in rules]))
 
-    issues, warnings = [], [(lacks(source), "missing_source_namespace")]
+    issues, warnings, corrections = [], [(lacks(source), "missing_source_namespace")], []
     if dialect == "PySpark":
         warnings.append((lacks(target), "missing_target_catalog"))
         issues.append((lacks("spark.", "df."), "no_dataframe_code"))
     elif dialect == "SQL":
         warnings.append((lacks(SQL_HELPER_IMPORT), "missing_functions_import"))
-        issues.append((_found(t, SELECT_STAR_COMMA), "select_star_with_columns"))
-        issues.append((_found(t, CREATE_SELECT_STAR_COMMA), "create_select_star_with_columns"))
+        for pattern, issue, note in (
+            (SELECT_STAR_COMMA, "select_star_with_columns", "add_columns_on_the_frame"),
+            (CREATE_SELECT_STAR_COMMA, "create_select_star_with_columns", "add_columns_after_the_select"),
+        ):
+            issues.append((_found(t, pattern), issue))
+            corrections.append((_found(t, pattern), note))
     warnings.append((F.length(t) < SHORTEST, "very_short"))
     return files.select(
-        key, labels(issues).alias("issues"), labels(warnings).alias("warnings")
+        key, labels(issues).alias("issues"), labels(warnings).alias("warnings"), labels(corrections).alias("corrections")
     ).withColumn("is_valid", F.size("issues") == 0)
 
 
@@ -235,7 +239,16 @@ def batch_stats(results: DataFrame) -> DataFrame:
 
 
 def batch_report(results: DataFrame) -> DataFrame:
-    """Result rows as they appear in the batch report."""
+    """Result rows as they appear in the batch report; names that are not given are ``N/A``."""
+    def given(column: str) -> Column:
+        return F.coalesce(F.col(column), F.lit("N/A")) if column in results.columns else F.lit("N/A")
+
+    results = results.withColumns({c: given(c) for c in ("output_type", "source_name", "target_name")})
+    name, kind = F.coalesce("filename", F.concat(F.lit("File "), F.col("seq").cast("string"))), F.col("output_type")
+    written = (
+        F.when(kind.endswith("Notebook"), output_name(name, "PySpark", notebook=True))
+        .when(kind.contains("SQL"), output_name(name, "SQL")).otherwise(output_name(name, "PySpark"))
+    )
     return results.select(
         "seq",
         F.coalesce("filename", F.concat(F.lit("File "), F.col("seq").cast("string"))).alias("filename"),
@@ -243,4 +256,8 @@ def batch_report(results: DataFrame) -> DataFrame:
         F.concat(F.format_string("%.2f", F.bround("execution_time", 2)), F.lit("s")).alias("execution_time"),
         F.when(F.col("success"), F.col("validation_status")).alias("validation"),
         F.when(~F.col("success"), F.coalesce("error", F.lit("Unknown error"))).alias("error"),
+        "output_type",
+        F.when(F.col("success"), written).alias("output_file"),
+        F.when(F.col("success"), F.col("source_name")).alias("source_name"),
+        F.when(F.col("success"), F.col("target_name")).alias("target_name"),
     )

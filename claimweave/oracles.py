@@ -43,10 +43,14 @@ def _unpivot(rows: list[str]) -> str:
     return "\nUNION ALL ".join(rows)
 
 
-def _lines(name: str, layout, extra: str = "", keys: str = "") -> str:
+def _lines(name: str, layout, extra: str = "", keys: str = "", texts: tuple[str, ...] = ()) -> str:
     """The lines of a report whose row is the statement ``name``."""
+    def columns(column: str) -> str:
+        value = f"CAST({'NULL' if column in texts else column} AS DOUBLE) AS value"
+        return value + (f", CAST({column if column in texts else 'NULL'} AS VARCHAR) AS text" if texts else "")
+
     return f"WITH report AS (SELECT *{extra} FROM ({ORACLES[name]}))\n" + _unpivot([
-        f"SELECT {keys}CAST({i} AS INT) AS seq, '{section}' AS section, '{label}' AS label, CAST({column} AS DOUBLE) AS value FROM report"
+        f"SELECT {keys}CAST({i} AS INT) AS seq, '{section}' AS section, '{label}' AS label, {columns(column)} FROM report"
         for i, (section, label, column) in enumerate(layout, 1)])
 
 
@@ -242,6 +246,13 @@ SELECT * EXCLUDE (days), {_cut('days', 'total_requests', 100)} AS avg_days, {_cu
   {_cut('denied', 'total_requests')} AS denial_rate, {_cut('fast', 'total_requests')} AS fast_pct,
   {_cut('(fast + standard)', 'total_requests')} AS sla_compliance FROM t"""
 
+ORACLES["manifest"] = _unpivot([
+    f"SELECT '{name}' AS table_name, count(*) AS actual_rows, CAST({rows} AS BIGINT) AS expected_rows, coalesce(count(*) = {rows}, false) AS complete FROM {name}"
+    for name, rows in (("region", 5), ("nation", 25), ("supplier", "NULL"))])
+ORACLES["typed_members"] = _with("members") + """
+SELECT * REPLACE (CAST(age AS BIGINT) AS age, CAST(enrollment_months AS BIGINT) AS enrollment_months,
+  CAST(claims_last_year AS BIGINT) AS claims_last_year, CAST(premium_amount AS DOUBLE) AS premium_amount,
+  CAST(total_cost_last_yr AS DOUBLE) AS total_cost_last_yr) FROM members"""
 ORACLES["table_row_counts"] = _unpivot([
     f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {name}" for name in ALL_TABLES])
 
@@ -396,12 +407,13 @@ ORACLES["corpus_lint_sql"] = _with("sources") + _unpivot([
 _STAR = rf"SELECT{_S}+\*{_S}*,{_S}*{_W}+"
 
 
-def _output(issues: dict[str, str], warnings: dict[str, str]) -> str:
+def _output(issues: dict[str, str], warnings: dict[str, str], corrections: dict[str, str]) -> str:
     def joined(rules):
         cases = ", ".join(f"CASE WHEN {rule} THEN '{label}' END" for label, rule in rules.items())
         return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',')"
 
-    return _with("sources", t=f"SELECT file_id, {joined(issues)} AS issues, {joined(warnings)} AS warnings FROM sources") + \
+    return _with("sources", t=f"SELECT file_id, {joined(issues)} AS issues, {joined(warnings)} AS warnings, "
+                 f"{joined(corrections)} AS corrections FROM sources") + \
         "SELECT *, issues = '' AS is_valid FROM t"
 
 
@@ -409,14 +421,18 @@ _NO_SOURCE = "NOT contains(text, 'payer_dev.analytics_gold')"
 ORACLES["corpus_output_checks"] = _output(
     {"no_dataframe_code": "NOT contains(text, 'spark.') AND NOT contains(text, 'df.')"},
     {"missing_source_namespace": _NO_SOURCE,
-     "missing_target_catalog": "NOT contains(text, 'payer_analyst_dev')", "very_short": "length(text) < 50"})
+     "missing_target_catalog": "NOT contains(text, 'payer_analyst_dev')", "very_short": "length(text) < 50"},
+    {"none": "false"})
 ORACLES["corpus_output_checks_sql"] = _output(
     {"select_star_with_columns": f"regexp_matches(text, '(?i){_STAR}')",
      "create_select_star_with_columns":
          f"regexp_matches(text, '(?i)CREATE{_S}+(OR{_S}+REPLACE{_S}+)?(TEMP{_S}+VIEW|TABLE)[^;]*?{_STAR}')"},
     {"missing_source_namespace": _NO_SOURCE,
      "missing_functions_import": "NOT contains(text, 'from pyspark.sql import functions as F')",
-     "very_short": "length(text) < 50"})
+     "very_short": "length(text) < 50"},
+    {"add_columns_on_the_frame": f"regexp_matches(text, '(?i){_STAR}')",
+     "add_columns_after_the_select":
+         f"regexp_matches(text, '(?i)CREATE{_S}+(OR{_S}+REPLACE{_S}+)?(TEMP{_S}+VIEW|TABLE)[^;]*?{_STAR}')"})
 
 _FENCE = r"(?is)```(?:python|sql|py|pyspark)?\n?(.*?)```"
 _TRIM = rf"^{_S}+|{_S}+$"
@@ -446,11 +462,15 @@ ORACLES["batch_stats"] = _with("results") + """
 SELECT count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed,
   coalesce(CAST(count(*) FILTER (success) AS DOUBLE) / nullif(count(*), 0) * 100, 0) AS success_rate,
   coalesce(avg(execution_time), 0) AS avg_execution_time FROM results"""
-ORACLES["batch_report"] = _with("results") + """
-SELECT seq, coalesce(filename, 'File ' || CAST(seq AS VARCHAR)) AS filename,
+ORACLES["batch_report"] = _with("results", named="""
+SELECT * REPLACE (coalesce(filename, 'File ' || CAST(seq AS VARCHAR)) AS filename, coalesce(output_type, 'N/A') AS output_type) FROM results""") + f"""
+SELECT seq, filename, output_type,
+  CASE WHEN success THEN CASE WHEN output_type = 'PySpark Notebook' THEN {_cobol_name('')} WHEN output_type = 'SQL (DBSQL)' THEN {_cobol_name('.sql')}
+    ELSE {_cobol_name('.py')} END END AS output_file,
+  CASE WHEN success THEN coalesce(source_name, 'N/A') END AS source_name, CASE WHEN success THEN coalesce(target_name, 'N/A') END AS target_name,
   CASE WHEN success THEN 'Success' ELSE 'Failed' END AS status, printf('%.2f', execution_time) || 's' AS execution_time,
   CASE WHEN success THEN validation_status END AS validation,
-  CASE WHEN NOT success THEN coalesce(error, 'Unknown error') END AS error FROM results"""
+  CASE WHEN NOT success THEN coalesce(error, 'Unknown error') END AS error FROM named"""
 
 _RECORDS = _with("claims") + """
 SELECT claim_id, member_id, CAST(provider_id AS INT) AS provider_id, service_date,
@@ -514,5 +534,6 @@ ORACLES["churn_lines"] = _lines(
     "churn_summary", members.CHURN_REPORT,
     extra=", 500 AS premium_threshold, 2 AS claims_threshold, 50000 AS cost_threshold")
 ORACLES["raf_lines"] = _lines("raf_report", risk.RAF_REPORT)
-ORACLES["provider_lines"] = _lines("provider_performance", providers.PERFORMANCE_REPORT, keys="provider_id, ")
+ORACLES["provider_lines"] = _lines("provider_performance", providers.PERFORMANCE_REPORT, keys="provider_id, ", texts=("provider_name", "specialty", "tier"))
+ORACLES["raf_member_lines"] = _lines("member_raf_scores", risk.MEMBER_REPORT, keys="member_id, ")
 ORACLES["prior_auth_lines"] = _lines("prior_auth_summary_report", prior_auth.TURNAROUND_REPORT)

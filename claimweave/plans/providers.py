@@ -20,6 +20,8 @@ TIERS = [(">=", 90, "TIER 1"), (">=", 75, "TIER 2"), (">=", 60, "TIER 3")]
 
 # Sections and labels of the report of one provider.
 PERFORMANCE_REPORT = (
+    ("", "PROVIDER NAME", "provider_name"),
+    ("", "SPECIALTY", "specialty"),
     ("CLAIMS METRICS", "Total Claims", "claims"),
     ("CLAIMS METRICS", "Approved Claims", "approved"),
     ("CLAIMS METRICS", "Approval Rate", "approval_rate"),
@@ -28,6 +30,7 @@ PERFORMANCE_REPORT = (
     ("FINANCIAL METRICS", "Average Claim", "avg_claim"),
     ("QUALITY METRICS", "Average Quality Score", "avg_quality"),
     ("QUALITY METRICS", "Efficiency Score", "efficiency_score"),
+    ("QUALITY METRICS", "Performance Tier", "tier"),
 )
 
 

@@ -47,6 +47,10 @@ RAF_REPORT = (
 )
 
 
+# The line of one member.
+MEMBER_REPORT = (("", "RAF SCORE", "total_raf_score"),)
+
+
 def member_raf_scores(members: DataFrame, diagnoses: DataFrame, *, factors=AGE_FACTORS, young=YOUNG_FACTORS,
                       weights=CONDITIONS, disabled=DISABLED, base=BASE, dedupe=None, keep=()) -> DataFrame:
     """Score of every member from demographics and diagnoses.

@@ -17,7 +17,7 @@ from claimweave.plans import claims, members, named, prior_auth, providers, risk
 from claimweave.sources import layouts
 from claimweave.sources.payer import SCHEMAS, table, view
 from claimweave.sources.records import decode_records, encode_records
-from claimweave.sources.tables import report_lines, stack_counts
+from claimweave.sources.tables import load_manifest, report_lines, stack_counts, typed
 
 # Parameters of the registered queries; the claim lines run from 1995 to 2001.
 SINCE = "1998-01-01"
@@ -150,6 +150,11 @@ def raf_lines(spark, sf):
     return report_lines(raf_report(spark, sf), risk.RAF_REPORT)
 
 
+@query
+def raf_member_lines(spark, sf):
+    return report_lines(member_raf_scores(spark, sf), risk.MEMBER_REPORT, keys=["member_id"])
+
+
 @query
 def hcc_hierarchy_scores(spark, sf):
     return risk.hcc_hierarchy_scores(view(spark, sf, "risk_scores"))
@@ -211,6 +216,17 @@ def prior_auth_lines(spark, sf):
     return report_lines(prior_auth_summary_report(spark, sf), prior_auth.TURNAROUND_REPORT)
 
 
+@query
+def manifest(spark, sf):
+    """Loaded rows against the sizes that never change."""
+    return load_manifest({name: table(spark, sf, name) for name in ("region", "nation", "supplier")}, {"region": 5, "nation": 25})
+
+
+@query
+def typed_members(spark, sf):
+    return typed(view(spark, sf, "members"))
+
+
 @query
 def table_row_counts(spark, sf):
     return stack_counts({name: table(spark, sf, name) for name in ALL_TABLES})
@@ -405,7 +421,7 @@ def corpus_lint_sql(spark, sf):
 
 def _checked(spark, sf, dialect):
     checked = scripts.output_checks(view(spark, sf, "sources"), "file_id", dialect)
-    return checked.withColumns({c: F.array_join(c, ",") for c in ("issues", "warnings")})
+    return checked.withColumns({c: F.array_join(c, ",") for c in ("issues", "warnings", "corrections")})
 
 
 @query

@@ -115,7 +115,9 @@ FROM conversations""",
 SELECT doc_id AS seq, CASE WHEN doc_id % 11 <> 0 THEN concat('src_', CAST(doc_id AS STRING), '.cbl') END AS filename,
   source <> 'src3' AS success, CAST(n_chars AS DOUBLE) / 64 AS execution_time,
   CASE WHEN doc_id % 4 <> 0 THEN 'Passed' END AS validation_status,
-  CASE WHEN doc_id % 2 = 0 THEN concat('failed: ', lang) END AS error
+  CASE WHEN doc_id % 2 = 0 THEN concat('failed: ', lang) END AS error,
+  CASE doc_id % 4 WHEN 0 THEN 'PySpark' WHEN 1 THEN 'SQL (DBSQL)' WHEN 2 THEN 'PySpark Notebook' END AS output_type,
+  concat('raw.', source) AS source_name, CASE WHEN doc_id % 5 <> 0 THEN concat('gold.', lang) END AS target_name
 FROM documents""",
 }
 

@@ -99,14 +99,18 @@ def report_lines(metrics: DataFrame, layout: Sequence[tuple[str, str, str]],
                  keys: Sequence[str] = ()) -> DataFrame:
     """Labelled lines from each metrics row: ``layout`` holds (section, label, column).
 
-    ``keys`` are repeated on every line, for reports with a page per key.
+    ``keys`` are repeated on every line, for reports with a page per key. A layout with
+    text columns gives a column ``text`` too; each line has a value or a text.
     """
+    words = {f.name for f in metrics.schema if isinstance(f.dataType, T.StringType)}
+    with_text = any(column in words for _, _, column in layout)
     lines = [
         F.struct(
             F.lit(seq).cast("int").alias("seq"),
             F.lit(section).alias("section"),
             F.lit(label).alias("label"),
-            F.col(column).cast("double").alias("value"),
+            (F.lit(None) if column in words else F.col(column)).cast("double").alias("value"),
+            *([(F.col(column) if column in words else F.lit(None)).cast("string").alias("text")] if with_text else []),
         )
         for seq, (section, label, column) in enumerate(layout, 1)
     ]

@@ -149,9 +149,9 @@ def test_batch(spark):
     assert tuple(scripts.batch_stats(df).first()) == (3, 1, 2, 1 / 3 * 100, 3.125 / 3)
     assert tuple(scripts.batch_stats(df.filter("false")).first()) == (0, 0, 0, 0.0, 0.0)
     assert [tuple(r) for r in scripts.batch_report(df).orderBy("seq").collect()] == [
-        (1, "a.cbl", "Success", "0.12s", "Passed", None),
-        (2, "File 2", "Failed", "2.00s", None, "Unknown error"),
-        (3, "c", "Failed", "1.00s", None, "boom"),
+        (1, "a.cbl", "Success", "0.12s", "Passed", None, "N/A", "a_converted.py", "N/A", "N/A"),
+        (2, "File 2", "Failed", "2.00s", None, "Unknown error", "N/A", None, None, None),
+        (3, "c", "Failed", "1.00s", None, "boom", "N/A", None, None, None),
     ]
 
 
