@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from claimweave.llm.common import documents, map_texts
 
 UNKNOWN = "und"
+MIN_MARGIN = 0.002
 _BLANKED = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -43,18 +44,25 @@ class LanguageModel:
             for lang, content in self.dictionaries
         ]
 
+        def ranked(pieces, start):
+            # A short piece is doubled, else zstandard would store it as it is.
+            pieces = [p + b" " + p if 2 * len(p) < self.piece else p for p in pieces]
+            sizes = sorted((start.get(lang, 0) + sum(len(tool.compress(p)) for p in pieces), lang) for lang, tool in tools)
+            return sizes if len(sizes) > 1 else [*sizes, (2 * sizes[0][0], "")]
+
         def predict(text: str | None) -> tuple[str, float, float]:
             """(language, score, margin): the language whose dictionary makes the text smallest."""
             kept = letters(text or "")
             if not kept or not tools:
                 return UNKNOWN, 0.0, 0.0
             # Pieces, so that the dictionary counts throughout a long text.
-            # A short piece is doubled, else zstandard would store it as it is.
             pieces = [kept[i:i + self.piece] for i in range(0, len(kept), self.piece)]
-            pieces = [p + b" " + p if 2 * len(p) < self.piece else p for p in pieces]
-            sizes = sorted((sum(len(tool.compress(p)) for p in pieces), lang) for lang, tool in tools)
-            best = sizes[0][0]
-            second = sizes[1][0] if len(sizes) > 1 else 2 * best
+            sizes = ranked(pieces, {})
+            if (sizes[1][0] - sizes[0][0]) < 0.02 * sizes[1][0]:
+                # Sizes are whole bytes: a close call is settled by the text's different words, three at a time.
+                words = list(dict.fromkeys(kept.split()))
+                sizes = ranked([b" ".join(words[i:i + 3]) for i in range(len(words))], {lang: size for size, lang in sizes})
+            best, second = sizes[0][0], sizes[1][0]
             margin = (second - best) / second
             return sizes[0][1], 1 / (1 + math.exp(-40 * margin)), margin
 
@@ -95,7 +103,7 @@ def fit(labelled: DataFrame, docs_per_language: int = 64, chars_per_doc: int = 1
     return LanguageModel(tuple((lang, built[lang][-size:]) for lang in sorted(built)))
 
 
-def identify_rows(docs: DataFrame, model: LanguageModel, min_margin: float = 0.004, text_col: str = "text") -> DataFrame:
+def identify_rows(docs: DataFrame, model: LanguageModel, min_margin: float = MIN_MARGIN, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``_lang_pred, _score, _margin, _rejected`` added; one narrow pass.
 
     Whole texts. ``_margin`` is how much smaller the best size is than the second,
@@ -123,7 +131,7 @@ def identify_rows(docs: DataFrame, model: LanguageModel, min_margin: float = 0.0
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], "_lang_pred", "_score", "_margin", "_rejected")
 
 
-def identify(docs: DataFrame, model: LanguageModel, min_margin: float = 0.004, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, min_margin: float = MIN_MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``doc_id, lang_pred, score, margin, rejected``, as in ``identify_rows``."""
     rows = identify_rows(documents(docs, id_col, text_col), model, min_margin)
     return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("lang_pred", "score", "margin", "rejected")])

