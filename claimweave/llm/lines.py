@@ -70,9 +70,11 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     few = lambda c: F.least(F.size(f"{c}_a"), F.size(f"{c}_b")) < 4
     alike = lambda c: F.coalesce(few(c) | (F.size(F.array_intersect(f"{c}_a", f"{c}_b")) > 2), F.lit(False))
     both = pairs.join(left, "a").join(right, "b").where(alike("whole") | alike("starts"))
-    both = both.withColumn("ga", grams(F.col("line_a"))).withColumn("gb", grams(F.col("line_b")))
-    both = both.select("a", "b", (F.size("ga") + F.size("gb")).alias("total"), F.size(F.array_intersect("ga", "gb")).alias("common"))
-    return both.where(F.col("common") >= F.lit(threshold) * (F.col("total") - F.col("common")) - 1e-9).select("a", "b")
+    # A generator keeps the filter from moving below the shingles, which would make them anew for each mention.
+    both = both.select("a", "b", F.inline(F.array(F.struct(grams(F.col("line_a")).alias("ga"), grams(F.col("line_b")).alias("gb")))))
+    # common >= threshold * (total - common)
+    common, total = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
+    return both.where(common * F.lit(1 + threshold) >= total * F.lit(threshold) - 1e-9).select("a", "b")
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -151,8 +153,10 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = written(duplicate_lines(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "line_no").distinct(), "gone-lines")
     gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line_no").alias("_gone"))  # a document's own lines
     joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    rest = joined.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    joined = joined.withColumn("_parts", F.when(F.col("_gone").isNotNull(), F.split(F.col(text_col), "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_parts", i)), "\n"))
+    # As above: the generator makes each text once.
+    rest = joined.select(*[c for c in docs.columns if c != text_col], "_gone", F.inline(F.array(F.struct(text.alias("_text")))))
+    rest = rest.where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     return rest.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
