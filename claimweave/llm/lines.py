@@ -57,19 +57,28 @@ def bands() -> Column:
 
 
 def grams(line: Column) -> Column:
-    """The set of ``SHINGLE``-character shingles; a shorter line is one shingle."""
-    every = F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
+    """The set of ``SHINGLE``-character shingles, as 64-bit hashes (longs make sets in half the
+    time of texts); a shorter line is one shingle."""
+    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(F.transform(every, lambda g: F.xxhash64(g))))
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)`` of lines whose exact Jaccard similarity reaches the threshold."""
-    left, right = (texts.select(F.col("k1").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("line", "whole", "starts")]) for k in ("a", "b"))
-    # A pair that shares two minima by chance is told by its sketches: one at the
-    # threshold has under three in common with probability about 0.001.
+def _alike(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sketches agree as far as a similar pair's would.
+
+    Two lines may share a band by chance; a pair at the threshold has under three
+    minima in common with probability about 0.001. Sketches of under four minima always pass.
+    """
+    left, right = (sketched.select(F.col("k1").alias(k), F.col("whole").alias(f"whole_{k}"), F.col("starts").alias(f"starts_{k}")) for k in ("a", "b"))
     few = lambda c: F.least(F.size(f"{c}_a"), F.size(f"{c}_b")) < 4
     alike = lambda c: F.coalesce(few(c) | (F.size(F.array_intersect(f"{c}_a", f"{c}_b")) > 2), F.lit(False))
-    both = pairs.join(left, "a").join(right, "b").where(alike("whole") | alike("starts"))
+    return pairs.join(left, "a").join(right, "b").where(alike("whole") | alike("starts")).select("a", "b")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` of lines whose exact Jaccard similarity reaches the threshold."""
+    left, right = (texts.select(F.col("k1").alias(k), F.col("line").alias(f"line_{k}")) for k in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b")
     # A generator keeps the filter from moving below the shingles, which would make them anew for each mention.
     both = both.select("a", "b", F.inline(F.array(F.struct(grams(F.col("line_a")).alias("ga"), grams(F.col("line_b")).alias("gb")))))
     # common >= threshold * (total - common)
@@ -77,13 +86,6 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.where(common * F.lit(1 + threshold) >= total * F.lit(threshold) - 1e-9).select("a", "b")
 
 
-def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose lines lie in different components."""
-    of = lambda name: groups.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
 def _unmet(held: DataFrame, small: int, redraws: int) -> DataFrame:
     """Pairs of lines that share a band but may not have met its pivot."""
     few = held.where(F.col("n").between(3, small)).where("k1 <> pivot").select("band", "k1")
@@ -108,26 +110,24 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     Equal lines are combined before any shuffle. Each different line has up to
     ``2 * keep`` band keys. In a band a pivot is drawn by a hash that differs from
     band to band, and every line is paired with the pivots of its bands: linear in
-    the lines, however large a band. Pairs are verified exactly, first each line's
-    most frequent pivot, then all whose components still differ, with those pairs
-    that no pivot met: in bands of up to ``small`` lines the pairs that share two
-    bands, in larger ones ``redraws`` more pivots. Lines are told apart by 128 bits of hash and linked by 64.
+    the lines, however large a band. Pairs that no pivot meets are added: in bands of
+    up to ``small`` lines those that share two bands, in larger ones those with
+    ``redraws`` more pivots. Pairs whose sketches agree are verified exactly; only
+    their lines are fetched. Lines are told apart by 128 bits of hash and linked by 64.
     """
     lines = lines_of(docs, id_col, text_col)
-    sketched = sketches(lines.select("k1", "line"), keep).select("k1", bands().alias("bands")).groupBy("k1").agg(F.first("bands").alias("bands"))
-    rows = sketched.select("k1", F.explode("bands").alias("band"))
+    sketched = sketches(lines.select("k1", "line"), keep).select("k1", F.struct("whole", "starts").alias("s"))
+    sketched = written(sketched.groupBy("k1").agg(F.first("s").alias("s")).select("k1", "s.*"), "line-sketches")
+    # One exchange serves the pivots and the join with them.
+    rows = sketched.select("k1", F.explode(bands()).alias("band")).repartition("band")
     # The pivot: least after an exclusive or with the band key, another order in each band.
     pivots = rows.groupBy("band").agg(F.min(F.col("k1").bitwiseXOR(F.col("band"))).alias("least"), F.count("*").alias("n")).where("n > 1")
     held = written(rows.join(pivots, "band").select("k1", "band", "n", F.col("least").bitwiseXOR(F.col("band")).alias("pivot")), "line-bands")
-    pairs = written(held.where("k1 <> pivot").groupBy(F.col("k1").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared")), "line-pairs")
-    wanted = held.select("k1").distinct()
-    texts = lines.select("k1", "line").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line"))
-    texts = written(sketches(texts, keep), "line-texts")
-    best = pairs.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = written(_similar(best, texts, threshold), "line-links")
-    groups = components(links)
-    rest = _apart(pairs.select("a", "b").union(_unmet(held, small, redraws)).distinct(), groups).join(best, ["a", "b"], "left_anti")
-    groups = components(links.union(_similar(rest, texts, threshold)))
+    met = held.where("k1 <> pivot").select(F.greatest("k1", "pivot").alias("a"), F.least("k1", "pivot").alias("b"))
+    pairs = written(_alike(met.union(_unmet(held, small, redraws)).distinct(), sketched), "line-pairs")
+    wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
+    texts = written(lines.select("k1", "line").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line")), "line-texts")
+    groups = components(_similar(pairs, texts, threshold))
 
     seen = lines.select("doc_id", "line_no", "at", "k1", "k2")
     first = seen.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
