@@ -87,10 +87,10 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _unmet(held: DataFrame, small: int, redraws: int) -> DataFrame:
-    """Pairs of lines that share a band but may not have met its pivot."""
+    """Pairs of lines that share a band but did not meet its pivot: all of a band of up to
+    ``small`` lines, in larger ones those with ``redraws`` more pivots."""
     few = held.where(F.col("n").between(3, small)).where("k1 <> pivot").select("band", "k1")
-    met = few.select("band", F.col("k1").alias("a")).join(few.select("band", F.col("k1").alias("b")), "band").where("a < b")
-    met = met.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared > 1").select("a", "b")
+    met = few.select("band", F.col("k1").alias("a")).join(few.select("band", F.col("k1").alias("b")), "band").where("a < b").select("a", "b")
     many = held.where(F.col("n") > small).select("band", "k1", F.explode(F.sequence(F.lit(1), F.lit(redraws))).alias("draw"))
     key = F.xxhash64("band", "draw")
     drawn = many.groupBy("band", "draw").agg(F.min(F.col("k1").bitwiseXOR(key)).alias("least"))
@@ -98,7 +98,40 @@ def _unmet(held: DataFrame, small: int, redraws: int) -> DataFrame:
     return met.union(drawn).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, small: int = 16, redraws: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _exact(sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """All pairs ``(a, b)`` of ``sets`` (``k1, root, g``) of different roots that reach the threshold.
+
+    Prefix filtering: with the shingles of every set in one order, rarest first, a
+    similar pair has one in common among the first ``n - 2t/(1+t) n + 1`` of the
+    smaller set and the first ``n - tn + 1`` of the larger. Sets that meet under a
+    shingle are joined block against block; those of the root that most of them
+    have are not joined with each other.
+    """
+    owned = sets.select("k1", "root", F.size("g").alias("n"), F.explode("g").alias("t"))
+    counts = owned.groupBy("t").agg(F.count("*").alias("c"))
+    ordered = owned.join(counts, "t").groupBy("k1", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("g"))  # a line's own shingles
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    rows = ordered.select("k1", "root", "n", first(2 * threshold / (1 + threshold)).alias("short"), F.posexplode(F.slice("g", F.lit(1), first(threshold).cast("int"))).alias("i", "x"))
+    rows = written(rows.where("x.c > 1").select("k1", "root", "n", "i", "x.t", (F.col("i") < F.col("short")).alias("index")), "line-prefixes")
+    tokens = rows.groupBy("t", "root").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("root", "m").alias("main"), F.sum("m").alias("m"), F.count("*").alias("roots"))
+    rows = rows.join(tokens.where("roots > 1").select("t", "main", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks")), "t")
+    own, every = F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # Side 1 joins sets of the main root with the others, side 0 the others with all.
+    left = rows.where("index").select("t", own.alias("p"), every.alias("q"), (F.col("root") == F.col("main")).cast("int").alias("side"), *[F.col(c).alias(f"{c}_a") for c in ("k1", "root", "n", "i")])
+    right = rows.select("*", F.explode(F.when(F.col("root") == F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    right = right.select("t", every.alias("p"), own.alias("q"), "side", *[F.col(c).alias(f"{c}_b") for c in ("k1", "root", "n", "i")])
+    met = left.join(right, ["t", "p", "q", "side"]).where("root_a <> root_b AND n_a <= n_b")
+    # What can be common at most, with these places in the order.
+    most = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    met = met.where((F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (most * (1 + threshold) >= (F.col("n_a") + F.col("n_b")) * threshold - 1e-9))
+    pairs = met.select(F.greatest("k1_a", "k1_b").alias("a"), F.least("k1_a", "k1_b").alias("b")).distinct()
+    of = lambda k: sets.select(F.col("k1").alias(k), F.col("g").alias(f"g{k}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    common, total = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
+    return both.where(common * F.lit(1 + threshold) >= total * F.lit(threshold) - 1e-9).select("a", "b")
+
+
+def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, small: int = 16, redraws: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a line to remove: ``doc_id, line_no, kept_doc_id, kept_line_no, exact``.
 
     A component holds the lines that are equal or linked by a Jaccard similarity of
@@ -110,10 +143,12 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     Equal lines are combined before any shuffle. Each different line has up to
     ``2 * keep`` band keys. In a band a pivot is drawn by a hash that differs from
     band to band, and every line is paired with the pivots of its bands: linear in
-    the lines, however large a band. Pairs that no pivot meets are added: in bands of
-    up to ``small`` lines those that share two bands, in larger ones those with
-    ``redraws`` more pivots. Pairs whose sketches agree are verified exactly; only
-    their lines are fetched. Lines are told apart by 128 bits of hash and linked by 64.
+    the lines, however large a band. In bands of up to ``small`` lines all pairs are
+    added, in larger ones those with ``redraws`` more pivots. Pairs whose sketches
+    agree are verified exactly; only their lines are fetched. Lines that a band of more
+    than ``small`` holds are then compared by ``_exact`` wherever these links have not joined them, so that a
+    crowded band loses no pair. Lines are told apart by 128 bits of
+    hash and linked by 64.
     """
     lines = lines_of(docs, id_col, text_col)
     sketched = sketches(lines.select("k1", "line"), keep).select("k1", F.struct("whole", "starts").alias("s"))
@@ -127,7 +162,13 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     pairs = written(_alike(met.union(_unmet(held, small, redraws)).distinct(), sketched), "line-pairs")
     wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
     texts = written(lines.select("k1", "line").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line")), "line-texts")
-    groups = components(_similar(pairs, texts, threshold))
+    groups = written(components(_similar(pairs, texts, threshold)), "line-groups")
+    # Lines that their bands leave open: exactly, between the groups found so far.
+    open_ = held.where(F.col("n") > small).select("k1").distinct()
+    sets = lines.select("k1", "line").join(open_, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line"))
+    sets = sets.join(groups.withColumnRenamed("node", "k1"), "k1", "left").select("k1", F.coalesce("root", "k1").alias("root"), grams(F.col("line")).alias("g"))
+    more = written(_exact(written(sets, "line-sets"), threshold, block), "line-links")
+    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     seen = lines.select("doc_id", "line_no", "at", "k1", "k2")
     first = seen.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("n"))

@@ -234,6 +234,33 @@ def test_long_lines(make, odd):
     assert {(9, 0, 4), (5, 1, 5), (5, 3, 5)} <= got
 
 
+def matrix_lines(texts, threshold=0.8):
+    """Per line the first of its component, from one product of incidence matrices."""
+    sets = [{x[i:i + 5] for i in range(max(1, len(x) - 4))} for x in texts]
+    column = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    hold = np.zeros((len(sets), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        hold[i, [column[g] for g in s]] = 1
+    common, size = hold @ hold.T, hold.sum(axis=1)
+    links = np.argwhere(np.triu(common >= threshold * (size[:, None] + size[None, :] - common) - 1e-4, 1)).tolist()
+    return union_find(links), len(links)
+
+
+def test_template_lines(make):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 8)))
+    notice = [word() for _ in range(30)]
+    family = [[*notice[:k], *(word() for _ in range(5)), *notice[k:]] for k in [12] * 2400]
+    copies = [[*x[:14], word(), *x[15:]] for x in family[:600]]
+    texts = [" ".join(x) for x in family + copies]
+    roots, n = matrix_lines(texts)
+    assert 600 <= n < 5000
+    got = {r.doc_id: r.kept_doc_id for r in lines.duplicate_lines(make(list(enumerate(texts)))).collect()}
+    assert got == {x: r for x, r in roots.items() if x != r}
+    few = lines.duplicate_lines(make(list(enumerate(texts[2000:2600]))), block=50).collect()
+    assert {r.doc_id: r.kept_doc_id for r in few} == {x: r for x, r in matrix_lines(texts[2000:2600])[0].items() if x != r}
+
+
 def test_lines_are_native(corpus):
     assert "Python" not in lines.duplicate_lines(corpus)._jdf.queryExecution().executedPlan().toString()
 
