@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimweave.llm.common import components, documents, written
 
 SHINGLE = 5
+BRIEF = 25  # different shingles of a line that sketches tell too little of
 _SLOT = 1 << 32  # positions in a document
 
 
@@ -63,6 +64,12 @@ def grams(line: Column) -> Column:
     return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(F.transform(every, lambda g: F.xxhash64(g))))
 
 
+def _brief(line: Column) -> Column:
+    """Whether a line has up to ``BRIEF`` different shingles; most are told by their first 40 characters."""
+    few = lambda part: F.size(grams(part)) <= BRIEF
+    return F.when(F.length(line) < BRIEF + SHINGLE, True).when(few(F.left(line, F.lit(40))), few(line)).otherwise(False)
+
+
 def _alike(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose sketches agree as far as a similar pair's would.
 
@@ -146,12 +153,13 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     the lines, however large a band. In bands of up to ``small`` lines all pairs are
     added, in larger ones those with ``redraws`` more pivots. Pairs whose sketches
     agree are verified exactly; only their lines are fetched. Lines that a band of more
-    than ``small`` holds are then compared by ``_exact`` wherever these links have not joined them, so that a
-    crowded band loses no pair. Lines are told apart by 128 bits of
+    than ``small`` holds, and lines of up to ``BRIEF`` different shingles, are then
+    compared by ``_exact`` wherever these links have not joined them, so that neither
+    a crowded band nor a short line loses a pair. Lines are told apart by 128 bits of
     hash and linked by 64.
     """
     lines = lines_of(docs, id_col, text_col)
-    sketched = sketches(lines.select("k1", "line"), keep).select("k1", F.struct("whole", "starts").alias("s"))
+    sketched = sketches(lines.select("k1", "line"), keep).select("k1", F.struct("whole", "starts", _brief(F.col("line")).alias("brief")).alias("s"))
     sketched = written(sketched.groupBy("k1").agg(F.first("s").alias("s")).select("k1", "s.*"), "line-sketches")
     # One exchange serves the pivots and the join with them.
     rows = sketched.select("k1", F.explode(bands()).alias("band")).repartition("band")
@@ -164,7 +172,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     texts = written(lines.select("k1", "line").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line")), "line-texts")
     groups = written(components(_similar(pairs, texts, threshold)), "line-groups")
     # Lines that their bands leave open: exactly, between the groups found so far.
-    open_ = held.where(F.col("n") > small).select("k1").distinct()
+    open_ = held.where(F.col("n") > small).select("k1").union(sketched.where("brief").select("k1")).distinct()
     sets = lines.select("k1", "line").join(open_, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line"))
     sets = sets.join(groups.withColumnRenamed("node", "k1"), "k1", "left").select("k1", F.coalesce("root", "k1").alias("root"), grams(F.col("line")).alias("g"))
     more = written(_exact(written(sets, "line-sets"), threshold, block), "line-links")

@@ -261,6 +261,17 @@ def test_template_lines(make):
     assert {r.doc_id: r.kept_doc_id for r in few} == {x: r for x, r in matrix_lines(texts[2000:2600])[0].items() if x != r}
 
 
+def test_short_lines(make):
+    texts = ["-----", "--------", "-" * 300, "======", "=====", "Continue", "Continue.", "Chapter 1", "Chapter 10", "abcdefghi", "abcdefghij", "abcd", "abc", "abcde"]
+    rng = random.Random(4)
+    for _ in range(150):
+        x = "".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(5, 25)))
+        texts += [x, x + "!", "?" + x]
+    want = {x: r for x, r in matrix_lines(texts)[0].items() if x != r}
+    assert want[1] == 0 and want[2] == 0 and want[6] == 5
+    assert {r.doc_id: r.kept_doc_id for r in lines.duplicate_lines(make(list(enumerate(texts)))).collect()} == want
+
+
 def test_lines_are_native(corpus):
     assert "Python" not in lines.duplicate_lines(corpus)._jdf.queryExecution().executedPlan().toString()
 
