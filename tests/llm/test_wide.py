@@ -321,6 +321,23 @@ def test_repeats_in_small_chunks_and_batches(make, odd):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in kept)
 
 
+def test_hot_heads(make, monkeypatch):
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage, phrase = some(60), some(16)
+    texts = [(i % 390 if i % 50 else None, some(150) + (passage if i % 3 == 0 else phrase if i % 3 == 1 else "") + some(150)) for i in range(600)]
+    held, plain = [], suffix.grouped
+
+    def watched(df, key, *rest):
+        if key == "unit":
+            held.append(df.groupBy("unit").agg({"n": "sum"}).agg({"sum(n)": "max"}).first()[0])
+        return plain(df, key, *rest)
+
+    monkeypatch.setattr(suffix, "grouped", watched)
+    assert answers(make(texts), chunk_bytes=20_000, unit_bytes=20_000) == slow_repeats(texts)
+    assert held[0] < 150  # a third of the documents are 200
+
+
 def test_long_repeats(make, odd):
     got = {r.doc_id: r for r in suffix.repeated(make(odd)).collect() if r.doc_id in (4, 6, 9)}
     assert got[4].n_removed == 0 and got[6].n_removed == 0
