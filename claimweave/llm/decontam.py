@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import documents, map_texts
+from claimweave.llm.common import documents, map_texts, ship, written
 
 #: A window of WINDOW words with at most SUBSTITUTIONS differences is an overlap. The
 #: two masks are lossless for it: whatever two words differ, one mask fits between.
@@ -106,33 +108,46 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_chars: int = 4 <<
     are null or have no word overlap nothing; repeated rows and items are all
     reported; a document row reports an item once an alignment.
     """
-    spark = docs.sparkSession
+    out = None
+    for sent in _blocks(benchmark, block_chars, item_col, item_text_col):
+        one = map_texts(documents(docs, id_col, text_col), _scanner(sent), _SCHEMA)
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _blocks(benchmark: DataFrame, block_chars: int, item_col: str, item_text_col: str) -> list:
+    """The benchmark's blocks, each broadcast."""
+    context = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + chars // block_chars
-    out = None
+    sent = []
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         rows = sorted(((r.item_id, r.text) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        sent = spark.sparkContext.broadcast(rows)
-        one = map_texts(documents(docs, id_col, text_col), _scanner(sent), _SCHEMA)
-        out = one if out is None else out.union(one)
-    return out
+        sent.append(context.broadcast(rows))
+    return sent
+
+
+def _numbered(texts: list[str | None], seeds: Seeds) -> tuple[np.ndarray, list[int]]:
+    """The words of all texts as numbers, a gap after each text, and where each begins."""
+    number = seeds.vocabulary.get
+    gap, numbers, begins = [int(_GAP)], [], []
+    for text in texts:
+        begins.append(len(numbers))
+        numbers += [number(w, 0) for w in tokens(text)]
+        numbers += gap
+    return np.array(numbers, np.uint64), begins
 
 
 def _scanner(sent):
     def make():
         seeds = Seeds(sent.value)
-        number = seeds.vocabulary.get
-        gap = [int(_GAP)]
 
         def fn(columns):
-            numbers, begins, out = [], [], {name: [] for name in ("doc_id", "item_id", "first_word", "last_word", "n_equal", "n_substituted")}
-            for text in columns["text"]:
-                begins.append(len(numbers))
-                numbers += [number(w, 0) for w in tokens(text)]
-                numbers += gap
-            for item, first, last, equal in overlaps_of(np.array(numbers, np.uint64), seeds):
+            out = {name: [] for name in ("doc_id", "item_id", "first_word", "last_word", "n_equal", "n_substituted")}
+            numbers, begins = _numbered(columns["text"], seeds)
+            for item, first, last, equal in overlaps_of(numbers, seeds):
                 doc = int(np.searchsorted(begins, first, "right")) - 1
                 row = (columns["doc_id"][doc], seeds.ids[item], first - begins[doc], last - begins[doc], equal, last - first - equal)
                 for name, value in zip(out, row):
@@ -142,7 +157,34 @@ def _scanner(sent):
     return make
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without an overlap. Rows with a null id are kept only if no null-id row overlaps."""
-    hit = find_overlaps(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_chars: int = 4 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+    """The rows without an overlap, as they are; each is judged by its own text alone.
+
+    Ids play no part, so rows with a null id or one that another row repeats go only
+    if they overlap themselves. One scan a block of the benchmark drops rows inside
+    it; between scans the rest is written, so that a task holds one block.
+    """
+    ship(docs.sparkSession)
+    at, rest = docs.columns.index(text_col), docs
+    for n, sent in enumerate(_blocks(benchmark, block_chars, item_col, item_text_col)):
+        rest = (written(rest, "without-block") if n else rest).mapInArrow(_cleaner(sent, at, batch_bytes), docs.schema)
+    return rest
+
+
+def _cleaner(sent, at: int, batch_bytes: int):
+    def run(batches):
+        seeds = Seeds(sent.value)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            # Pieces of about ``batch_bytes``.
+            cuts = np.flatnonzero(np.diff(ends // batch_bytes)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ends)]):
+                part = batch.slice(start, end - start)
+                numbers, begins = _numbered(part.column(at).to_pylist(), seeds)
+                clean = np.ones(part.num_rows, bool)
+                for _, first, _, _ in overlaps_of(numbers, seeds):
+                    clean[int(np.searchsorted(begins, first, "right")) - 1] = False
+                yield part.filter(pa.array(clean))
+    return run

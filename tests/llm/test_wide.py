@@ -160,6 +160,17 @@ def test_overlaps(spark, make, odd):
     assert decontam.find_overlaps(make([]), bench).count() == 0 and decontam.find_overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_judges_each_row(spark, make):
+    item = " ".join(f"w{i}" for i in range(20))
+    clean = [(None, "clean text without an id"), (None, None), (1, "clean text that repeats an id"), (2, "")]
+    docs = make([*clean, (None, f"before {item} after"), (1, item), (3, f"{item} {item}")])
+    bench = spark.createDataFrame([(1, item), (2, item.replace("w", "v"))], "item_id long, text string")
+    for options in ({}, {"block_chars": 60}, {"batch_bytes": 10}):
+        kept = decontam.decontaminate(docs, bench, **options)
+        assert kept.schema == docs.schema
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(clean)
+
+
 def test_overlap_query(spark, tiny, corpus):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
     joined = {i: " ".join(decontam.tokens(t)) for i, t in items}
