@@ -232,10 +232,14 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that are first in their class; of rows that repeat an id one stays.
+    """One row of each class of near copies: of those with an id the one of the smallest.
 
-    Rows with a null id, and texts without words, all stay.
+    Every row is compared by a number of its own, so rows that repeat an id are copies
+    of each other only if their texts are. Of a class's rows with a null id one stays
+    too, since it cannot be named as a copy of the others. Texts without words all stay.
     """
-    answer = similar(docs, id_col=id_col, **options).select(F.col("doc_id").alias("_id"), "class_id").where("_id <> class_id").select("_id").distinct()
-    kept = docs.join(answer, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
-    return kept
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # written, so that numbers stay
+    answer = similar(numbered, id_col="_row", **options).select(F.col("doc_id").alias("_row"), "class_id")
+    ids = numbered.select("_row", F.col(id_col).cast("long").alias("_id"))
+    first = answer.join(ids, "_row").groupBy("class_id", F.isnull("_id")).agg(F.min(F.struct("_id", "_row")).alias("x")).select("x._row")
+    return numbered.join(first, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -105,6 +105,13 @@ def test_keep_one(make):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in jaccard.keep_one(make(texts)).collect()) == [(False, 1), (False, 2), (False, 4), (False, 5), (True, 0)]
 
 
+def test_keep_one_of_repeated_rows(make):
+    a, b, c = "a b c d e f g h", "q r s t u v w", "k l m n o p"
+    texts = [(1, a), (1, a), (2, a), (1, b), (1, b), (None, c), (None, c), (None, c), (7, c), (7, c), (None, "x y z 1 2 3")]
+    got = Counter((r.doc_id, r.text) for r in jaccard.keep_one(make(texts)).collect())
+    assert got == Counter([(1, a), (1, b), (None, c), (7, c), (None, "x y z 1 2 3")])
+
+
 def test_runs_reach_the_recall():
     assert jaccard.runs_for(0.9999, 0.8, 2) == 10
     assert 1 - (1 - 0.8**3) ** jaccard.runs_for(0.999, 0.8, 3) >= 0.999
