@@ -190,3 +190,27 @@ def grouped(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch | N
             yield from groups(pa.Table.from_batches(held))
 
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+#: Slots of a bitmap: 4 MB, whatever is put in. A fuller one lets more through, never less.
+BITMAP_BITS = 25
+_BUCKET = 32768  # bits of one value of bitmap_construct_agg
+
+
+def bitmap(df: DataFrame, column: str) -> bytes:
+    """A bitmap of the high bits of the 64-bit hashes in ``column``; it reaches the driver, 4 MB at most."""
+    slot = F.shiftrightunsigned(column, 64 - BITMAP_BITS) + 1  # these functions count from 1
+    rows = df.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = bytearray(1 << (BITMAP_BITS - 3))
+    for row in rows.toLocalIterator():
+        start = (row.bucket - 1) * (_BUCKET // 8)
+        out[start:start + _BUCKET // 8] = row.bits
+    return bytes(out)
+
+
+def in_bitmap(bits, hashes):
+    """Which hashes (a numpy array of 64-bit integers) may be in a bitmap given as bytes in an array."""
+    import numpy as np
+
+    slot = hashes.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0

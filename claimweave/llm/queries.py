@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import decontam, jaccard, langid, lines, quality, rules, sharding, spm, suffix, wavelet
+from claimweave.llm import collocations, decontam, hamming, jaccard, langid, lines, middle, quality, rules, sharding, spm, suffix, wavelet
 from claimweave.llm.common import id_remainder
 
 QUERIES: dict = {}
@@ -133,3 +133,84 @@ def op9_fuzzy_lines(spark, sf):
 @query
 def op10_suffix_family(spark, sf):
     return suffix.repeated(table(spark, sf, "documents"))
+
+
+@query
+def op12_roaring_middle(spark, sf):
+    """Digests of the output, and of the text rebuilt from it."""
+    out = middle.transform(table(spark, sf, "documents"))
+    text = middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+ORACLES["op12_roaring_middle"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex
+  FROM documents
+),
+h AS (
+  SELECT doc_id, text, tokens, len(tokens) AS n, ('0x' || hex[1:8])::BIGINT AS h1, ('0x' || hex[9:16])::BIGINT AS h2,
+    ('0x' || hex[17:24])::BIGINT AS h3, ('0x' || hex[25:32])::BIGINT AS h4
+  FROM t
+),
+c AS (
+  SELECT doc_id, text, n,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(tokens[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+    array_to_string(tokens[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+    array_to_string(tokens[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS suffix
+  FROM h
+)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""
+
+
+@query
+def op13_hamming_duplicates(spark, sf):
+    return hamming.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op11_quotient_collocations(spark, sf):
+    return collocations.top_phrases(table(spark, sf, "documents"))
+
+
+ORACLES["op11_quotient_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS words FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(words) >= k)
+),
+f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+sizes AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1),
+inside AS (
+  SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, words, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3, 4]) AS m) WHERE m < k) GROUP BY ALL
+),
+cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(words[:cut], ' ') AS first, array_to_string(words[cut + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)
+),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, cut, l.f AS l, r.f AS r, n, ((1000 * a::HUGEINT * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = first JOIN f r ON r.lang = cuts.lang AND r.phrase = rest JOIN sizes ON sizes.lang = cuts.lang
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
