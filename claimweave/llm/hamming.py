@@ -7,12 +7,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import bitmap, components, documents, grouped, in_bitmap, map_texts, written
+from claimweave.llm.common import bitmap, components, documents, grouped, in_bitmap, map_texts, ship, written
 
-CHUNKS, WIDTH, ERRORS = 7, 4, 1  # 28 symbols in 7 chunks, one wrong symbol allowed in each
+CHUNKS, WIDTH, ERRORS = 7, 4, 1  # 28 indexed symbols in 7 chunks, one wrong symbol allowed in each
+SYMBOLS, TOLERANCE = 64, 27  # of the whole signature, and how many may differ
 SYMBOL = 2  # bytes
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -75,18 +76,21 @@ def index_keys(sig: Column, chunks: int, width: int, errors: int) -> Column:
     return F.array(*keys)
 
 
-def distance(a: Column, b: Column, symbols: int) -> Column:
-    """In how many symbols two signatures differ."""
-    one = lambda i: (F.substring(a, SYMBOL * i + 1, SYMBOL) != F.substring(b, SYMBOL * i + 1, SYMBOL)).cast("int")
-    return sum((one(i) for i in range(1, symbols)), one(0))
+def _close(pairs: DataFrame, reps: DataFrame, tolerance: int, percent: int) -> DataFrame:
+    """``rep, pivot, d`` of the pairs whose sizes and signatures let them be similar; ``d`` symbols differ."""
+    side = lambda k: reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n").alias(f"n_{k}"))
+    both = pairs.join(side("rep"), "rep").join(side("pivot"), "pivot").where(F.least("n_rep", "n_pivot") * 100 >= F.greatest("n_rep", "n_pivot") * percent)
 
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sig_rep", "sig_pivot"))
+                d = (one != two).sum(axis=1)
+                some = d <= tolerance
+                yield pa.RecordBatch.from_arrays([*(pa.array(batch.column(c).to_numpy()[some]) for c in ("rep", "pivot")), pa.array(d[some])], names=["rep", "pivot", "d"])
 
-def _close(pairs: DataFrame, reps: DataFrame, symbols: int, tolerance: int) -> DataFrame:
-    """The pairs ``(a, b)`` of sets whose signatures and sizes let them be similar."""
-    side = lambda k: reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n").alias(f"n_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 80)
-    return both.where(fits & (distance(F.col("sig_a"), F.col("sig_b"), symbols) <= tolerance)).select("a", "b")
+    ship(pairs.sparkSession)
+    return both.select("rep", "pivot", "sig_rep", "sig_pivot").mapInArrow(run, "rep long, pivot long, d long")
 
 
 def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -144,40 +148,89 @@ def _roots(links: DataFrame) -> DataFrame:
 
 
 def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """``key, rep, members, root`` of the buckets that hold more than one component."""
-    rows = buckets.join(roots, "rep", "left").select("key", "rep", "members", F.coalesce("root", "rep").alias("root"))
+    """``key, rep, root`` of the buckets that hold more than one component."""
+    rows = buckets.join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     return rows.join(mixed, "key")
 
 
-def _blocks(open_: DataFrame, limit: int) -> DataFrame:
-    """``unit, side`` for members of open buckets: a bucket of more than ``limit`` sets becomes
-    pairs of blocks of about ``limit`` sets, so that no task holds it whole."""
-    blocks = F.ceil(F.col("members") / F.lit(limit)).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(5)), blocks.cast("long")).cast("int")
-    rows = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(low == high, F.lit(0)).when(F.col("own") == low, F.lit(1)).otherwise(F.lit(2))
-    return rows.select(F.xxhash64("key", low, high).alias("unit"), side.alias("side"), "rep", "root", "n", "sig")
+def _tiles(rows: DataFrame, group: str, limit: int) -> DataFrame:
+    """Deals each group's ``rows`` (``rep, root`` and more) to units in which all pairs of
+    different roots meet once, however large the group: ``unit, side`` and the rows.
 
-
-def _near(symbols: int, tolerance: int):
-    """Pairs of a unit in different components whose signatures are close."""
+    The sets of the root that most rows have are dealt to blocks apart from the others, about
+    ``limit`` a block, since they are not compared with each other. A unit is a block of
+    others alone, or with a second block of either kind.
+    """
+    sizes = rows.groupBy(group, "root").agg(F.count("*").alias("m")).groupBy(group).agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m"))
+    blocks = lambda n: F.ceil(n / F.lit(limit)).cast("int")
+    sizes = sizes.where("m > most").select(group, "main", blocks(F.col("most")).alias("mains"), blocks(F.col("m") - F.col("most")).alias("others"))
+    rows = rows.join(sizes, group)
+    is_main = F.col("root") == F.col("main")
+    own = F.pmod(F.xxhash64("rep", F.lit(5)), F.when(is_main, F.col("mains")).otherwise(F.col("others")).cast("long")).cast("int")
+    # A unit's name: its first block, of others, and its second; the main root's blocks come after all others.
+    mine = F.when(is_main, F.col("others") + own).otherwise(own)
+    rows = rows.withColumn("mine", mine).withColumn("partner", F.explode(F.when(is_main, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))))
+    low, high = F.least("mine", "partner"), F.greatest("mine", "partner")
+    side = F.when(low == high, F.lit(0)).when(F.col("mine") == low, F.lit(1)).otherwise(F.lit(2))
+    return rows.withColumn("unit", F.xxhash64(group, low, high)).withColumn("side", side).drop("main", "mains", "others", "mine", "partner")
+
+
+def _asked(table: pa.Table, percent: int) -> np.ndarray:
+    """Pairs of a unit that are its own to compare: of different roots, similar sizes and, with two blocks, one of each."""
+    side, root, n = (table.column(c).to_numpy() for c in ("side", "root", "n"))
+    asked = (root[:, None] != root[None, :]) & (np.minimum.outer(n, n) * 100 >= np.maximum.outer(n, n) * percent)
+    return asked & (side[:, None] != side[None, :]) if side.any() else asked
+
+
+def _forest(linked: np.ndarray, rep: np.ndarray) -> pa.RecordBatch | None:
+    """Links ``a, b`` that hold together what a symmetric matrix of links does: one a set at most."""
+    least = np.argsort(np.argsort(rep))
+    while True:
+        lower = np.minimum(least, np.where(linked, least[None, :], len(rep)).min(axis=1))
+        if (lower == least).all():
+            break
+        least = lower
+    some = linked.any(axis=1)
+    if not some.any():
+        return None
+    return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(np.sort(rep)[least[some]])], names=["a", "b"])
+
+
+def _near(tolerance: int, percent: int):
+    """A forest of the pairs of a unit whose signatures are close; a set without one is left out."""
     def fn(table):
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(table.num_rows, symbols)
-        side, rep, root, n = (table.column(c).to_numpy() for c in ("side", "rep", "root", "n"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(table.num_rows, -1)
         differ = np.zeros((len(sig), len(sig)), np.int16)
-        for k in range(symbols):
+        for k in range(sig.shape[1]):
             differ += sig[:, k][:, None] != sig[:, k][None, :]
-        asked = (root[:, None] != root[None, :]) & (np.minimum.outer(n, n) * 100 >= np.maximum.outer(n, n) * 80) & (differ <= tolerance)
-        asked &= (side[:, None] < side[None, :]) if side.any() else (rep[:, None] < rep[None, :])
-        i, j = np.nonzero(asked)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[i], rep[j])), pa.array(np.minimum(rep[i], rep[j]))], names=["a", "b"])
+        return _forest(_asked(table, percent) & (differ <= tolerance), table.column("rep").to_numpy())
+    return fn
+
+
+def _similar(percent: int, cells: int = 4 << 20):
+    """A forest of the pairs of a unit whose full sets reach the similarity."""
+    def fn(table):
+        sets = [pair_set(t) for t in table.column("text").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        order = np.argsort(shingle, kind="stable")
+        owner, shingle = owner[order], shingle[order]
+        common, width = np.zeros((len(sets), len(sets)), np.float32), max(1, cells // len(sets))
+        for start in range(0, int(shingle[-1]) + 1, width):
+            lo, hi = np.searchsorted(shingle, [start, start + width])
+            part = np.zeros((len(sets), width), np.float32)
+            part[owner[lo:hi], shingle[lo:hi] - start] = 1
+            common += part @ part.T
+        common = np.rint(common).astype(np.int64)
+        similar = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        return _forest(_asked(table, percent) & similar, table.column("rep").to_numpy())
     return fn
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS, tolerance: int = 17,
-                    pivots: int = 2, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS, symbols: int = SYMBOLS, tolerance: int = TOLERANCE,
+                    rounds: int = 2, tries: int = 3, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row: ``doc_id, n_shingles, component_id, kept``.
 
     Rows are linked if the distinct two-word shingles (A-Z in lower case; a text of one
@@ -187,49 +240,62 @@ def near_duplicates(docs: DataFrame, percent: int = 80, chunks: int = CHUNKS, wi
     links. A row with a null id is compared like any other; its component is null, and it
     is kept, only where no row of it has an id. Rows that repeat an id are rows of their own.
 
-    A signature has ``chunks * width`` symbols of 16 bits. Pairs that differ in at most
-    ``chunks * (errors + 1) - 1`` symbols have, by pigeonhole, a chunk with at most
-    ``errors`` different ones; every choice of so many symbols of a chunk is left out in turn, so
-    such a pair surely shares a key. A pair at 0.8 differs in more than 13 of 28
-    with probability 0.0004, and even then shares a key unless all chunks have two errors
-    or more: 0.00001 in all. Pairs that share a key and differ in up to ``tolerance``
-    symbols (more at 0.8: 0.000003) are confirmed on the full sets.
-
-    Equal sets are combined first. In a bucket of equal keys each set meets the bucket's
-    pivot, the least in an order that all buckets share: linear in the sets and, in a group
-    of near copies, mostly one and the same pair for all keys. After ``pivots`` rounds,
-    each with another order and only where a bucket still joins different components,
-    members of such buckets are compared block against block, whatever the bucket's size.
+    A signature has ``symbols`` symbols of 16 bits; the first ``chunks * width`` are indexed.
+    Pairs that differ in at most ``chunks * (errors + 1) - 1`` of those have, by pigeonhole,
+    a chunk with at most ``errors`` different ones; every choice of so many symbols of a
+    chunk is left out in turn, so such a pair surely shares a key. A pair at 0.8 differs in
+    more than 13 of 28 with probability 0.0004, and even then shares a key unless all chunks
+    have two errors or more: 0.00001 in all. Pairs that share a key and differ in up to
+    ``tolerance`` of all symbols (more at 0.8: 0.00002) are compared on the full sets.
+
+    Equal sets are combined first. In each bucket of equal keys every set meets a pivot:
+    first the least of the bucket in an order that all buckets share, then one of the
+    bucket's largest component, another in each bucket. A set is compared with its ``tries``
+    closest pivots a round: linear, whatever the bucket's size. Buckets that still hold different
+    components are then compared in full, block against block: signatures tell which sets
+    may be linked to another component and which belong to one family, and a family's sets
+    are compared exactly, its largest component with all others only.
     """
-    symbols = chunks * width
     base = documents(docs, id_col, text_col).select("*", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     rows = written(signatures(base.withColumn("row", F.monotonically_increasing_id()), symbols), "signatures")
     reps = rows.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.col("row").alias("rep"), "t1", "t2", "n", "sig")).alias("x"))
     reps = written(reps.select("h1", "h2", "x.*"), "sets")
 
     keyed = reps.select("rep", F.explode(index_keys(F.col("sig"), chunks, width, errors)).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = written(keyed.join(counts, "key").select("key", "rep", "members"), "buckets")
-
-    tried = links = roots = None
-    for turn in range(pivots):
-        held = _open(buckets.where("members > 2"), roots) if turn else buckets.withColumn("root", F.col("rep"))
-        own = F.struct(F.xxhash64("rep", F.lit(turn)).alias("order"), F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"))
-        least = held.groupBy("key").agg(F.min(own).alias("x")).select("key", "x.pivot", "x.pivot_root")
-        met = held.join(least, "key").where("root <> pivot_root")
-        pairs = met.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs
-        pairs = written(_close(pairs, reps, symbols, tolerance), "pairs")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    buckets = written(keyed.join(counts, "key"), "buckets")
+
+    links = roots = None
+    for turn in range(rounds):
+        if not turn:
+            own = F.struct(F.xxhash64("rep").alias("order"), F.col("rep").alias("pivot"))
+            met = buckets.join(buckets.groupBy("key").agg(F.min(own).alias("x")).select("key", "x.pivot"), "key").where("rep <> pivot")
+        else:
+            held = _open(buckets, roots)
+            own = F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("order"), F.col("rep").alias("pivot"))
+            main = held.groupBy("key", "root").agg(F.struct(F.count("*").alias("m"), F.col("root").alias("main"), F.min(own).alias("x")).alias("y"))
+            main = main.groupBy("key").agg(F.max("y").alias("y")).select("key", "y.main", "y.x.pivot")
+            met = held.join(main, "key").where("root <> main")
+        pairs = _close(met.select("rep", "pivot").distinct(), reps, tolerance, percent)
+        nearest = Window.partitionBy("rep").orderBy("d", F.xxhash64("pivot"), "pivot")  # a set has one pivot a key at most
+        pairs = pairs.withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= tries)
+        pairs = written(pairs.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct(), "pairs")
         found = _confirmed(pairs, base, reps, percent)
         links = written(found.union(links) if turn else found, "links")
-        tried = pairs.union(tried) if turn else pairs
         roots = written(_roots(links), "roots")
 
-    left = _open(buckets.where("members > 2"), roots).join(reps.select("rep", "n", "sig"), "rep")
-    more = grouped(_blocks(left, limit), "unit", _near(symbols, tolerance), "a long, b long").distinct()
-    more = written(more.join(tried, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        roots = written(_roots(links.union(_confirmed(more, base, reps, percent))), "roots")
+    # What pivots left open: who may be linked to whom, told by signatures.
+    units = _tiles(_open(buckets, roots).join(reps.select("rep", "n", "sig"), "rep"), "key", limit)
+    near = written(grouped(units, "unit", _near(tolerance, percent), "a long, b long").distinct(), "near")
+    if not near.isEmpty():
+        asked = near.select(F.col("a").alias("rep")).distinct().join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
+        asked = written(asked, "asked")
+        of = lambda k: asked.select(F.col("rep").alias(k), F.col("root").alias(f"root_{k}"))
+        families = components(near.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        asked = asked.join(families.select(F.col("node").alias("root"), F.col("root").alias("family")), "root")
+        asked = asked.join(reps.select("rep", "n"), "rep").join(_texts(base, reps.select("rep", "t1", "t2").join(asked, "rep", "left_semi")), "rep")
+        more = grouped(_tiles(asked, "family", limit), "unit", _similar(percent), "a long, b long")
+        roots = written(_roots(links.union(more)), "roots")
 
     owner = reps.select("h1", "h2", "rep").join(roots, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
     owned = rows.select("row", "doc_id", "n", "h1", "h2").join(owner, ["h1", "h2"], "left").select("doc_id", "n", F.coalesce("root", "row").alias("root"))

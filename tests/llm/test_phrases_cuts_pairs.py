@@ -217,8 +217,8 @@ def test_families_and_chains(spark, make):
         chain = chain[2:] + [rng.choice(words), rng.choice(words)]
         rows.append((len(rows), " ".join(chain)))
     rows += [(5000 + i, f"{a} {b} c d e") for i, (a, b) in enumerate([("x", "y"), ("x", "z")])] + [(6000, "p q r s t u"), (6001, "p q r s t u v")]
-    got = hamming.near_duplicates(make(rows), limit=50)
-    assert answers(got) == plain_components(rows)
+    for options in ({"limit": 50}, {"rounds": 1, "tries": 1, "limit": 20}):
+        assert answers(hamming.near_duplicates(make(rows), **options)) == plain_components(rows)
 
 
 def test_signatures_under_the_distance_always_share_a_key(spark):
@@ -231,5 +231,5 @@ def test_signatures_under_the_distance_always_share_a_key(spark):
     pairs = spark.createDataFrame([(a.tobytes(), b.tobytes()) for a, b in zip(one, two)], "a binary, b binary")
     keys = lambda c: hamming.index_keys(pairs[c], 7, 4, 1)
     from pyspark.sql import functions as F
-    got = pairs.select(F.size(F.array_intersect(keys("a"), keys("b"))).alias("n"), hamming.distance(pairs.a, pairs.b, 28).alias("d")).collect()
-    assert {r.d for r in got} == {13} and min(r.n for r in got) >= 1
+    got = pairs.select(F.size(F.array_intersect(keys("a"), keys("b"))).alias("n")).collect()
+    assert min(r.n for r in got) >= 1
