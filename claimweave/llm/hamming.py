@@ -77,9 +77,10 @@ def index_keys(sig: Column, chunks: int, width: int, errors: int) -> Column:
 
 
 def _close(pairs: DataFrame, reps: DataFrame, tolerance: int, percent: int) -> DataFrame:
-    """``rep, pivot, d`` of the pairs whose sizes and signatures let them be similar; ``d`` symbols differ."""
+    """The ``pairs`` of ``rep`` and ``pivot`` whose sizes and signatures let them be similar, with ``d``, the symbols that differ."""
     side = lambda k: reps.select(F.col("rep").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("n").alias(f"n_{k}"))
     both = pairs.join(side("rep"), "rep").join(side("pivot"), "pivot").where(F.least("n_rep", "n_pivot") * 100 >= F.greatest("n_rep", "n_pivot") * percent)
+    names = pairs.columns
 
     def run(batches):
         for batch in batches:
@@ -87,10 +88,10 @@ def _close(pairs: DataFrame, reps: DataFrame, tolerance: int, percent: int) -> D
                 one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sig_rep", "sig_pivot"))
                 d = (one != two).sum(axis=1)
                 some = d <= tolerance
-                yield pa.RecordBatch.from_arrays([*(pa.array(batch.column(c).to_numpy()[some]) for c in ("rep", "pivot")), pa.array(d[some])], names=["rep", "pivot", "d"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(batch.column(c).to_numpy()[some]) for c in names), pa.array(d[some])], names=[*names, "d"])
 
     ship(pairs.sparkSession)
-    return both.select("rep", "pivot", "sig_rep", "sig_pivot").mapInArrow(run, "rep long, pivot long, d long")
+    return both.select(*names, "sig_rep", "sig_pivot").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "d"]))
 
 
 def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -119,39 +120,42 @@ def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, base: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the similarity."""
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    """Those ``pairs`` of ``rep`` and ``pivot`` (other columns stay) whose full sets reach the similarity."""
+    ends = pairs.select("rep").union(pairs.select("pivot")).distinct()
     texts = written(_texts(base, reps.select("rep", "t1", "t2").join(ends, "rep", "left_semi")), "pair-texts")
-    both = pairs.join(texts.select(F.col("rep").alias("a"), "text"), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("other")), "b")
+    both = pairs.join(texts, "rep").join(texts.select(F.col("rep").alias("pivot"), F.col("text").alias("other")), "pivot")
+    names = pairs.columns
 
     def make():
         last: dict[int, np.ndarray] = {}  # the pivot of neighbouring rows is mostly the same
 
         def fn(columns):
             kept = []
-            for i, (b, text, other) in enumerate(zip(columns["b"], columns["text"], columns["other"])):
-                if b not in last:
+            for i, (pivot, text, other) in enumerate(zip(columns["pivot"], columns["text"], columns["other"])):
+                if pivot not in last:
                     last.clear()
-                    last[b] = pair_set(other)
+                    last[pivot] = pair_set(other)
                 mine = pair_set(text)
-                common = len(np.intersect1d(mine, last[b], assume_unique=True))
-                if 100 * common >= percent * (len(mine) + len(last[b]) - common):
+                common = len(np.intersect1d(mine, last[pivot], assume_unique=True))
+                if 100 * common >= percent * (len(mine) + len(last[pivot]) - common):
                     kept.append(i)
-            return {c: [columns[c][i] for i in kept] for c in ("a", "b")}
+            return {c: [columns[c][i] for i in kept] for c in names}
         return fn
 
-    return map_texts(both, make, "a long, b long")
+    return map_texts(both, make, pairs.schema)
 
 
-def _roots(links: DataFrame) -> DataFrame:
-    return components(links).select(F.col("node").alias("rep"), "root")
+def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """``rep, root``: sets by a set that they hang together with, for those linked so far.
 
-
-def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """``key, rep, root`` of the buckets that hold more than one component."""
-    rows = buckets.join(roots, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return rows.join(mixed, "key")
+    ``found`` holds links from a set to a pivot ``p`` of label ``to``. Labels say less than
+    components do: different ones may belong together, equal ones surely do.
+    """
+    moved = found.groupBy(F.col("root").alias("was")).agg(F.min(F.struct(F.xxhash64("to").alias("order"), "to")).alias("x")).select("was", "x.to")
+    if labels is None:
+        return moved.select(F.col("was").alias("rep"), F.col("to").alias("root"))
+    rest = labels.join(moved, labels.root == moved.was, "left").select("rep", F.coalesce("to", "root").alias("root"))
+    return rest.union(moved.join(labels.select(F.col("rep").alias("was")), "was", "left_anti").select(F.col("was").alias("rep"), F.col("to").alias("root")))
 
 
 def _tiles(rows: DataFrame, group: str, limit: int) -> DataFrame:
@@ -265,38 +269,41 @@ def near_duplicates(docs: DataFrame, percent: int = 80, chunks: int = CHUNKS, wi
     counts = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     buckets = written(keyed.join(counts, "key"), "buckets")
 
-    links = roots = None
+    links = labels = None
     for turn in range(rounds):
-        if not turn:
+        if turn:
+            held = buckets.join(labels, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+            own = F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("order"), F.col("rep").alias("pivot"))
+            best = held.groupBy("key", "root").agg(F.struct(F.count("*").alias("m"), F.col("root").alias("to"), F.min(own).alias("x")).alias("y"))
+            best = best.groupBy("key").agg(F.max("y").alias("y"), F.count("*").alias("labels")).where("labels > 1").select("key", "y.to", "y.x.pivot")
+            met = held.join(best, "key").where("root <> to").select("rep", "root", "pivot", "to")
+        else:
             own = F.struct(F.xxhash64("rep").alias("order"), F.col("rep").alias("pivot"))
             met = buckets.join(buckets.groupBy("key").agg(F.min(own).alias("x")).select("key", "x.pivot"), "key").where("rep <> pivot")
-        else:
-            held = _open(buckets, roots)
-            own = F.struct(F.xxhash64("rep", "key", F.lit(turn)).alias("order"), F.col("rep").alias("pivot"))
-            main = held.groupBy("key", "root").agg(F.struct(F.count("*").alias("m"), F.col("root").alias("main"), F.min(own).alias("x")).alias("y"))
-            main = main.groupBy("key").agg(F.max("y").alias("y")).select("key", "y.main", "y.x.pivot")
-            met = held.join(main, "key").where("root <> main")
-        pairs = _close(met.select("rep", "pivot").distinct(), reps, tolerance, percent)
+            met = met.select("rep", F.col("rep").alias("root"), "pivot", F.col("pivot").alias("to"))
+        pairs = _close(met.distinct(), reps, tolerance, percent)
         nearest = Window.partitionBy("rep").orderBy("d", F.xxhash64("pivot"), "pivot")  # a set has one pivot a key at most
-        pairs = pairs.withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= tries)
-        pairs = written(pairs.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct(), "pairs")
-        found = _confirmed(pairs, base, reps, percent)
-        links = written(found.union(links) if turn else found, "links")
-        roots = written(_roots(links), "roots")
+        pairs = written(pairs.withColumn("i", F.row_number().over(nearest)).where(F.col("i") <= tries).drop("i", "d"), "pairs")
+        found = written(_confirmed(pairs, base, reps, percent), "links")
+        labels = written(_relabelled(labels, found), "labels")
+        found = found.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+        links = found.union(links) if turn else found
 
     # What pivots left open: who may be linked to whom, told by signatures.
-    units = _tiles(_open(buckets, roots).join(reps.select("rep", "n", "sig"), "rep"), "key", limit)
+    held = buckets.join(labels, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    units = _tiles(held.join(reps.select("rep", "n", "sig"), "rep"), "key", limit)
     near = written(grouped(units, "unit", _near(tolerance, percent), "a long, b long").distinct(), "near")
     if not near.isEmpty():
-        asked = near.select(F.col("a").alias("rep")).distinct().join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
-        asked = written(asked, "asked")
-        of = lambda k: asked.select(F.col("rep").alias(k), F.col("root").alias(f"root_{k}"))
-        families = components(near.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        asked = asked.join(families.select(F.col("node").alias("root"), F.col("root").alias("family")), "root")
-        asked = asked.join(reps.select("rep", "n"), "rep").join(_texts(base, reps.select("rep", "t1", "t2").join(asked, "rep", "left_semi")), "rep")
-        more = grouped(_tiles(asked, "family", limit), "unit", _similar(percent), "a long, b long")
-        roots = written(_roots(links.union(more)), "roots")
-
+        # The sets themselves are compared, so families are those of sets and their labels.
+        ends = near.select(F.col("a").alias("rep")).union(near.select(F.col("b").alias("rep"))).distinct()
+        asked = written(ends.join(labels, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root")), "asked")
+        families = components(near.union(asked.select(F.col("rep").alias("a"), F.col("root").alias("b"))))
+        asked = asked.join(families.select(F.col("node").alias("rep"), F.col("root").alias("family")), "rep")
+        asked = asked.join(reps.select("rep", "n", "t1", "t2"), "rep")
+        asked = asked.join(_texts(base, asked.select("rep", "t1", "t2")), "rep")
+        links = links.union(grouped(_tiles(asked, "family", limit), "unit", _similar(percent), "a long, b long"))
+
+    roots = components(links).select(F.col("node").alias("rep"), "root")
     owner = reps.select("h1", "h2", "rep").join(roots, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
     owned = rows.select("row", "doc_id", "n", "h1", "h2").join(owner, ["h1", "h2"], "left").select("doc_id", "n", F.coalesce("root", "row").alias("root"))
     owned = written(owned, "owned")
