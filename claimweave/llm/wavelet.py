@@ -28,6 +28,20 @@ _SHARD_SCHEMA = "shard long, part int, first_doc long, n_docs long, n_tokens lon
 _LATIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 _SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
+_STEPS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _known_kind(settings: dict) -> bool:
+    """Whether a tokenizer file normalises and splits as the fixed values above say."""
+    steps = (settings.get("normalizer") or {}).get("normalizers") or []
+    splits = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    specials = {t["content"] for t in settings.get("added_tokens") or []}
+    return (
+        [s["type"] for s in steps] == _STEPS and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and [s["type"] for s in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": _SPLIT} and not splits[1]["add_prefix_space"]
+        and specials <= {"<|startoftext|>", "<|endoftext|>"} and settings["model"].get("end_of_word_suffix") is not None
+    )
 
 
 class Encoder:
@@ -39,18 +53,22 @@ class Encoder:
     always parts tokens.
     """
 
-    def __init__(self, tokenizer_json: str, limit: int = 300_000):
+    def __init__(self, tokenizer_json: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_str(tokenizer_json), limit
         self.known, self.older = {}, {}  # two generations, each of up to ``limit`` parts
-        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
+        settings = json.loads(tokenizer_json)
+        self.by_parts, suffix = _known_kind(settings), settings["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        if not self.by_parts:
+            made = self.tokenizer.encode_batch_fast([text or "" for text in texts], add_special_tokens=False)
+            return [np.array(x.ids, "<u4") for x in made]
         split = []
         for text in texts:
             text = text or ""
@@ -119,15 +137,15 @@ def pack(doc_ids: list[int | None], counts: list[int], tokens: np.ndarray) -> by
     coder = zstandard.ZstdCompressor(level=1, write_checksum=False)
     per_plane = -(-n // (8 * BLOCK))
     ranks, zeros, blocks = np.zeros((planes, per_plane + 1), "<u4"), np.zeros(planes, "<u8"), []
-    current = np.asarray(tokens, np.uint32)
+    current = np.asarray(tokens).astype(np.uint16 if planes <= 16 else np.uint32)
     for p in range(planes):
-        bit = (current >> np.uint32(planes - 1 - p)) & np.uint32(1)
-        packed = np.packbits(bit.astype(bool), bitorder="little").tobytes()
-        for b in range(per_plane):
-            ranks[p, b + 1] = ranks[p, b] + bit[b * 8 * BLOCK:(b + 1) * 8 * BLOCK].sum(dtype=np.uint32)
-            blocks.append(_squeeze(packed[b * BLOCK:(b + 1) * BLOCK], coder))
-        one = bit.astype(bool)
-        zeros[p] = n - int(one.sum())
+        one = (current & current.dtype.type(1 << (planes - 1 - p))) != 0
+        bits = np.packbits(one, bitorder="little")
+        if n:
+            ranks[p, 1:] = np.cumsum(np.add.reduceat(np.bitwise_count(bits), np.arange(0, len(bits), BLOCK), dtype=np.uint32))
+        zeros[p] = n - int(ranks[p, -1])
+        packed = bits.tobytes()
+        blocks += [_squeeze(packed[b:b + BLOCK], coder) for b in range(0, len(packed), BLOCK)]
         current = np.concatenate([current[~one], current[one]])
     null = np.array([d is None for d in doc_ids], bool)
     ids = np.array([d or 0 for d in doc_ids], "<i8")
@@ -220,15 +238,16 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All tokens: the partitions are undone from the lowest plane up."""
-        value = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.planes <= 16 else np.uint32
+        value = np.zeros(self.n, kind)
         for p in reversed(range(self.planes)):
             one = np.concatenate([self._block(p, b) for b in range(self.per_plane)] or [np.zeros(0, np.uint8)])[:self.n].astype(bool)
             self.open.clear()
-            above, zeros = np.empty(self.n, np.uint32), int(self.zeros[p])
+            above, zeros = np.empty(self.n, kind), int(self.zeros[p])
             above[~one] = value[:zeros]
-            above[one] = value[zeros:] | np.uint32(1 << (self.planes - 1 - p))
+            above[one] = value[zeros:] | kind(1 << (self.planes - 1 - p))
             value = above
-        return value
+        return value.astype(np.uint32)
 
 
 def write_shards(docs: DataFrame, tokenizer_json: str, end_id: int = 1, shard_tokens: int = 1 << 20, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:

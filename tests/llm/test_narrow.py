@@ -40,6 +40,14 @@ def test_word_by_word_encoding_is_the_library_encoding(tokenizer, odd, documents
         assert got.tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_another_kind_of_tokenizer_gets_whole_texts(odd):
+    cased = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    encoder, library = wavelet.Encoder(cased), Tokenizer.from_str(cased)
+    texts = [t for _, t in odd if t] + ["Cased Words  and\n blanks", ""]
+    assert wavelet.Encoder(open(WORDS, encoding="utf-8").read()).by_parts and not encoder.by_parts
+    assert [x.tolist() for x in encoder(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_encoding_of_any_text(text):
