@@ -66,7 +66,8 @@ class Codec:
         self.lengths = np.array([len(self.pieces[i]) for i in plain], np.int32)[order]
         self.longest = int(self.lengths.max())
         self.unknown_score = self.scores[self.scores > -1e8].min(initial=0) - 10
-        self.budget, self.limit, self.cache = budget, cache, {}
+        self.budget, self.limit = budget, cache
+        self.cache, self.older = {}, {}  # two generations of units
         self.output = [b"" if i in set(vocabulary["special"]) else p.replace(BLANK, " ").encode() for i, p in enumerate(self.pieces)]
         for value, i in self.byte_ids.items():
             self.output[i] = bytes([value])
@@ -80,10 +81,14 @@ class Codec:
                 text = text.replace(BLANK, _LITERAL)
             cut.append(_UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else [])
         if len(self.cache) > self.limit:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
         known = self.cache
         extra = {}
         missing = {u for units in cut for u in units if u not in known}
+        if self.older:
+            again = {u: self.older[u] for u in missing if u in self.older}
+            known.update(again)
+            missing.difference_update(again)
         by_length: dict[int, list[str]] = {}
         for unit in missing:
             by_length.setdefault(len(unit), []).append(unit)
@@ -130,17 +135,15 @@ class Codec:
             steps.append((piece, at))
             at = np.where(live, at - (most - choice), 0)
         pieces = np.stack([p for p, _ in steps][::-1], axis=1)
+        keep = pieces != -2
+        flat, stops = pieces[keep].tobytes(), 4 * np.cumsum(keep.sum(axis=1))
+        out = [flat[start:stop] for start, stop in zip([0, *stops[:-1].tolist()], stops.tolist())]
         ends = np.stack([a for _, a in steps][::-1], axis=1)
-        out = []
-        for unit, row, end in zip(units, pieces, ends):
-            keep = row != -2
-            row = row[keep]
-            if (row < 0).any():
-                flat = []
-                for piece, stop in zip(row.tolist(), end[keep].tolist()):
-                    flat += [piece] if piece >= 0 else self._bytes(unit[stop - 1])
-                row = np.array(flat, np.int32)
-            out.append(row.tobytes())
+        for i in np.flatnonzero((pieces == -1).any(axis=1)).tolist():  # characters that no piece spells
+            spelt = []
+            for piece, stop in zip(pieces[i, keep[i]].tolist(), ends[i, keep[i]].tolist()):
+                spelt += [piece] if piece >= 0 else self._bytes(units[i][stop - 1])
+            out[i] = np.array(spelt, np.int32).tobytes()
         return out
 
     def _bytes(self, char: str) -> list[int]:
@@ -153,6 +156,18 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
+_CODECS: dict[int, Codec] = {}
+
+
+def _codec(vocabulary: dict) -> Codec:
+    """One codec a Python worker: units found serve its later tasks."""
+    key = crc_of("\n".join(vocabulary["pieces"]).encode("utf-8", "surrogatepass") + np.array(vocabulary["scores"]).tobytes())
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(vocabulary)
+    return _CODECS[key]
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``doc_id, ids, n_ids, ids_crc32, round_trip``.
 
@@ -165,7 +180,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     sent = docs.sparkSession.sparkContext.broadcast(load(model_path))
 
     def make():
-        codec = Codec(sent.value)
+        codec = _codec(sent.value)
 
         def fn(columns):
             ids = codec.encode(columns["text"])
@@ -186,7 +201,7 @@ def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     def run(batches):
         import pyarrow as pa
 
-        codec = Codec(sent.value)
+        codec = _codec(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
