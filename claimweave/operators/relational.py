@@ -91,29 +91,32 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def rank_within(df: DataFrame, part: str, value: str, name: str = "rank", ranges: int = 64, salts: int = 16) -> DataFrame:
+def rank_within(df: DataFrame, part: str, value: str, name: str = "rank", ranges: int = 64, large: int = 10_000, salts: int = 16) -> DataFrame:
     """``rank()`` by descending ``value`` within ``part``, for groups of any size.
 
-    The distinct values of a group are cut into ranges. A value's rank is one
-    more than the rows in higher ranges plus the rows with higher values in its
-    own range, so no task ranks a whole group. The cuts are the group's values
-    with the smallest hashes: an even sample, bounded in size, that is the same
-    whenever it is computed again, as the ranges are used twice.
+    Rows are first counted by value. The values of a group of more than about ``large``
+    are cut into ``ranges``; a value's rank is one more than the rows in higher ranges plus
+    the rows with higher values in its own range, so no task ranks a whole large group. The
+    cuts are the group's values with the smallest hashes: an even sample, bounded in
+    size, that is the same whenever it is computed again. How small those hashes are
+    also tells how many values there are. Smaller groups are one range.
 
-    ``salts`` splits both joins: the few cuts of a group, and the ranks, are repeated
-    for each salt, and values and rows go to a salt by their hash, so neither a group nor
-    one frequent value is a single task. It never changes a result.
+    Only the cuts of large groups are repeated, ``salts`` times, for their join with the
+    group's values; a frequent value's rows are split by adaptive execution where they join
+    their one rank. Neither parameter changes a result.
     """
-    all_salts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    salt_of = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
     values = df.groupBy(part, value).agg(F.count(F.lit(1)).alias("_n"))
+    spread = F.shiftrightunsigned(F.xxhash64(value), 1)  # 0 to 2**63
     # Ordering by the count last changes nothing; it keeps the column, so that
     # both uses of ``values`` share one shuffle.
-    by_hash = Window.partitionBy(part).orderBy(F.xxhash64(value), value, "_n")
-    sample = values.withColumn("_rn", F.row_number().over(by_hash))
-    cuts = sample.filter(F.col("_rn") < ranges).groupBy(F.col(part).alias("_p")).agg(
-        F.collect_list(value).alias("_cuts")).withColumn("_c", all_salts)
-    ranged = values.join(cuts, F.col(part).eqNullSafe(F.col("_p")) & (salt_of(value) == F.col("_c")), "left").select(
+    by_hash = Window.partitionBy(part).orderBy("_h", value, "_n")
+    sample = values.withColumn("_h", spread).withColumn("_rn", F.row_number().over(by_hash)).filter(F.col("_rn") < ranges)
+    cuts = sample.groupBy(F.col(part).alias("_p")).agg(F.collect_list(value).alias("_cuts"), F.max("_h").alias("_top"), F.count(F.lit(1)).alias("_m"))
+    # The m-th smallest of n even draws lies at about m / n of their span.
+    cuts = cuts.filter((F.col("_m") == ranges - 1) & (F.col("_top") < F.col("_m") * F.lit(2.0**63 / large)))
+    cuts = cuts.select("_p", "_cuts", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_c"))
+    salt = F.pmod(F.xxhash64(value), F.lit(salts)).cast("int")
+    ranged = values.join(cuts, F.col(part).eqNullSafe(F.col("_p")) & (salt == F.col("_c")), "left").select(
         part, value, "_n",
         # NULL values rank last.
         F.when(F.col(value).isNull(), F.lit(ranges)).otherwise(
@@ -137,7 +140,4 @@ def rank_within(df: DataFrame, part: str, value: str, name: str = "rank", ranges
             (F.col("_before") + F.col("_above") + 1).cast("long").alias(name),
         )
     )
-    ranks = ranks.withColumn("_c", all_salts)
-    return df.join(
-        ranks, F.col(part).eqNullSafe(F.col("_p")) & F.col(value).eqNullSafe(F.col("_v")) & (salt_of(*df.columns) == F.col("_c"))
-    ).drop("_p", "_v", "_c")
+    return df.join(ranks, F.col(part).eqNullSafe(F.col("_p")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_p", "_v")

@@ -197,9 +197,10 @@ def output_checks(files: DataFrame, key: str, dialect: str, text: str = "text",
             issues.append((_found(t, pattern), issue))
             corrections.append((_found(t, pattern), note))
     warnings.append((F.length(t) < SHORTEST, "very_short"))
-    return files.select(
-        key, labels(issues).alias("issues"), labels(warnings).alias("warnings"), labels(corrections).alias("corrections")
-    ).withColumn("is_valid", F.size("issues") == 0)
+    # A pattern is looked for once: its issue, in a generated column, tells also the note.
+    found = files.select(key, F.inline(F.array(F.struct(labels(issues).alias("issues"), labels(warnings).alias("warnings")))))
+    notes = labels([(F.array_contains("issues", issue), note) for (_, issue), (_, note) in zip(issues, corrections)])
+    return found.select("*", notes.alias("corrections"), (F.size("issues") == 0).alias("is_valid"))
 
 
 def code_block(text: Column) -> Column:

@@ -481,6 +481,17 @@ ORACLES["records_fixed"] = _RECORDS
 ORACLES["claims_cost_from_records"] = ORACLES["claims_cost_summary"]
 ORACLES["churn_from_records"] = ORACLES["churn_summary"]
 
+ORACLES["claim_file"] = _RECORDS
+ORACLES["churn_from_member_file"] = ORACLES["churn_summary"]
+ORACLES["stored_member_costs"] = _with("claims", "members") + """
+SELECT m.member_id, plan_id, coalesce(claims, 0) AS claims, paid, last_service FROM members m LEFT JOIN
+  (SELECT member_id, count(*) AS claims, CAST(sum(paid_amount) AS DOUBLE) AS paid, max(service_date) AS last_service FROM claims GROUP BY member_id) c
+  ON m.member_id = c.member_id"""
+ORACLES["stored_provider_costs"] = _with("claims", "providers") + """
+SELECT p.provider_id, specialty, coalesce(claims, 0) AS claims, denied FROM providers p LEFT JOIN
+  (SELECT provider_id, count(*) AS claims, CAST(sum(denied_amount) AS DOUBLE) AS denied FROM claims GROUP BY provider_id) c
+  ON p.provider_id = c.provider_id"""
+
 ORACLES["join_left"] = _with("claims", "members") + """
 SELECT m.member_id, plan_id, claims FROM members m LEFT JOIN
   (SELECT member_id, count(*) AS claims FROM claims GROUP BY member_id) c ON m.member_id = c.member_id"""

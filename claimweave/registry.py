@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from claimweave.operators import scripts, stats
 from claimweave.plans import claims, members, named, prior_auth, providers, risk, screening
 from claimweave.sources import layouts
 from claimweave.sources.payer import SCHEMAS, table, view
+from claimweave.sources.record_files import read_records, write_records
 from claimweave.sources.records import decode_records, encode_records
-from claimweave.sources.tables import load_manifest, report_lines, stack_counts, typed
+from claimweave.sources.tables import load_manifest, report_lines, shared_folder, stack_counts, stored_by, typed
 
 # Parameters of the registered queries; the claim lines run from 1995 to 2001.
 SINCE = "1998-01-01"
@@ -498,15 +500,63 @@ def claims_cost_from_records(spark, sf):
     return claims.claims_cost_summary(records_packed(spark, sf))
 
 
-@query
-def churn_from_records(spark, sf):
-    people = view(spark, sf, "members").select(
+def _record_members(spark, sf):
+    return view(spark, sf, "members").select(
         "member_id", F.lit("").alias("first_name"), "last_name", F.lit(None).cast("date").alias("date_of_birth"), "gender", "age",
         "enrollment_date", "termination_date", "enrollment_status", "plan_type", "premium_amount", "claims_last_year", "total_cost_last_yr")
-    encoded = encode_records(people, layouts.CHURN_MEMBER, packed=True)
+
+
+@query
+def churn_from_records(spark, sf):
+    encoded = encode_records(_record_members(spark, sf), layouts.CHURN_MEMBER, packed=True)
     return members.churn_summary(decode_records(encoded, "record", layouts.CHURN_MEMBER, packed=True))
 
 
+# The same as files, in ranges of a megabyte.
+
+@query
+def claim_file(spark, sf):
+    """Every claim written to packed record files and read back."""
+    path = shared_folder(spark)
+    write_records(_record_claims(spark, sf), path, layouts.CLAIM, packed=True)
+    return read_records(spark, path, layouts.CLAIM, packed=True, range_bytes=1 << 20)
+
+
+@query
+def churn_from_member_file(spark, sf):
+    """The churn report over a file of display fields, a line a member."""
+    path = shared_folder(spark)
+    write_records(_record_members(spark, sf), path, layouts.CHURN_MEMBER, packed=False, delimiter=b"\n")
+    return members.churn_summary(read_records(spark, path, layouts.CHURN_MEMBER, packed=False, delimiter=b"\n", range_bytes=1 << 20))
+
+
+# Reports over tables stored bucketed by their control key.
+
+def _stored(spark, sf, name, key):
+    """A payer view kept by ``key``; its stamp names the files it is made from."""
+    sources = {"claims": ("lineitem", "orders"), "members": ("customer",), "providers": ("supplier",)}[name]
+    stamp = zlib.crc32("\n".join(f for s in sources for f in sorted(table(spark, sf, s).inputFiles())).encode())
+    return stored_by(spark, f"{name}_by_{key}", key, lambda: view(spark, sf, name), buckets=16, stamp=str(stamp))
+
+
+@query
+def stored_member_costs(spark, sf):
+    """Every member with its claims, merged bucket by bucket."""
+    costs = rel.master_detail(
+        _stored(spark, sf, "members", "member_id").select("member_id", "plan_id"), _stored(spark, sf, "claims", "member_id"), "member_id",
+        [F.count(F.lit(1)).alias("claims"), F.sum("paid_amount").cast("double").alias("paid"), F.max("service_date").alias("last_service")], zero=["claims"])
+    return costs.select("member_id", "plan_id", "claims", "paid", "last_service")
+
+
+@query
+def stored_provider_costs(spark, sf):
+    """Every provider with its claims, merged bucket by bucket."""
+    costs = rel.master_detail(
+        _stored(spark, sf, "providers", "provider_id").select("provider_id", "specialty"), _stored(spark, sf, "claims", "provider_id"), "provider_id",
+        [F.count(F.lit(1)).alias("claims"), F.sum("denied_amount").cast("double").alias("denied")], zero=["claims"])
+    return costs.select("provider_id", "specialty", "claims", "denied")
+
+
 # Primitives.
 
 @query

@@ -1,7 +1,7 @@
-"""Fixed-width record files: text records by line, packed records by length.
+"""Fixed-width records: decoding and encoding, and text records by line.
 
 Decoding is a projection of native expressions over one binary column, so the
-scan stays splittable and no row passes through Python.
+scan stays splittable. Files cut by length are read by ``record_files``.
 """
 
 from __future__ import annotations
@@ -103,31 +103,6 @@ def read_fixed(spark: SparkSession, path: str, layout: Layout, bad: str | None =
     return decode_records(lines, "record", layout, packed=False, bad=bad)
 
 
-def read_packed(spark: SparkSession, path: str, layout: Layout, trailer: int = 0,
-                bad: str | None = None) -> DataFrame:
-    """Records with packed decimals, cut by length: a packed byte may equal CR or LF.
-
-    ``trailer`` is the number of delimiter bytes after each record.
-    """
-    length = layout.length(packed=True) + trailer
-    # binaryFile lists paths and sizes without reading the content.
-    broken = (
-        spark.read.format("binaryFile").load(path)
-        .filter((F.col("length") % length) != 0)
-        .select("path", "length").limit(1).collect()
-    )
-    if broken:
-        raise ValueError(
-            f"{broken[0].path}: {broken[0].length} bytes is not a whole number of {length}-byte records"
-        )
-    # The records go from Hadoop's fixed-length input straight into a Dataset;
-    # the same through a Python RDD was over ten times slower.
-    records = spark.sparkContext._jsc.binaryRecords(path, length).rdd()
-    binary = spark._jvm.org.apache.spark.sql.Encoders.BINARY()
-    rows = DataFrame(spark._jsparkSession.createDataset(records, binary).toDF(), spark)
-    return decode_records(rows.toDF("record"), "record", layout, packed=True, bad=bad)
-
-
 def encode_records(df: DataFrame, layout: Layout, packed: bool, column: str = "record") -> DataFrame:
     """The inverse of :func:`decode_records`, used to derive record inputs from tables.
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+import tempfile
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,39 @@ def ctas(spark: SparkSession, name: str, query: str, **inputs: DataFrame) -> Non
         write_table(df, name)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder path that driver and executors share, under ``spark.checkpoint.dir``;
+    unset, as in tests, on this machine, and only with a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tables-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def stored_by(spark: SparkSession, name: str, key: str, make: Callable[[], DataFrame], buckets: int = 64, stamp: str = "") -> DataFrame:
+    """A table kept bucketed and sorted by ``key``, written once.
+
+    Tables stored with the same key and ``buckets`` join and aggregate on it without an
+    exchange: a control-break report merges them bucket by bucket. ``make`` is asked
+    only if the catalog has no such table of this ``stamp`` (a version of its input)
+    and layout; the new one then takes its place. Choose ``buckets`` so that one
+    holds some hundred megabytes; a hot key's rows share a bucket, so reports should
+    aggregate before they keep rows.
+    """
+    wanted = f"{key}/{buckets}/{stamp}"
+    if spark.catalog.tableExists(_checked(name)):
+        held = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+        if held.get("stored_by") == wanted:
+            return spark.table(name)
+        spark.sql(f"DROP TABLE {name}")
+    rows = make().repartition(buckets, key)  # as the buckets hash, so a task writes one file a bucket
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", shared_folder(spark)).saveAsTable(name)
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('stored_by' = '{wanted}')")
+    return spark.table(name)
+
+
 def ensure_namespace(spark: SparkSession, db: str, reset: bool = False) -> None:
     """Create a schema; with ``reset`` drop it and its tables first."""
     _checked(db)

@@ -8,7 +8,8 @@ import pytest
 from claimweave.sources import layouts
 from claimweave.sources.corpus import read_corpus
 from claimweave.sources.layouts import Layout
-from claimweave.sources.records import decode_records, encode_records, read_fixed, read_packed
+from claimweave.sources.record_files import list_files, read_packed, read_records, write_records
+from claimweave.sources.records import decode_records, encode_records, read_fixed
 
 PAIR = Layout.of(("id", "9(3)"), ("amount", "9(7)V9(2) packed"))
 
@@ -146,3 +147,39 @@ def test_values_that_do_not_fit_raise(spark, packed, row):
 def test_packed_keeps_the_sign(spark):
     df = spark.createDataFrame([(1, "a", None, D("-1.5"))], "n int, t string, d date, m decimal(3,1)")
     assert decode_records(encode_records(df, FIELDS, True), "record", FIELDS, True).first().m == D("-1.5")
+
+
+@pytest.mark.parametrize("packed, delimiter", [(True, b""), (True, b"\r\n"), (False, b"\n")])
+def test_files_are_read_back_in_ranges(spark, tmp_path, packed, delimiter):
+    path, rows = str(tmp_path / "out"), [(i % 1000, D(i) / 100) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, amount decimal(9,2)").repartition(3)
+    write_records(df, path, PAIR, packed, delimiter)
+    assert len(list_files(path)) == 3
+    back = read_records(spark, path, PAIR, packed, delimiter, range_bytes=1000)
+    assert back.rdd.getNumPartitions() > 20
+    assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+    write_records(df.limit(5), path, PAIR, packed, delimiter, mode="append")
+    assert read_records(spark, path, PAIR, packed, delimiter).count() == 3005
+    write_records(df.limit(7), path, PAIR, packed, delimiter)
+    assert read_records(spark, path, PAIR, packed, delimiter).count() == 7
+    write_records(df.limit(0), path, PAIR, packed, delimiter)
+    assert read_records(spark, path, PAIR, packed, delimiter).count() == 0
+
+
+def test_a_failing_write_leaves_the_old_files(spark, tmp_path):
+    path = str(tmp_path / "out")
+    write_records(spark.createDataFrame([(1, D("1.00"))], "id int, amount decimal(9,2)"), path, PAIR, True)
+    before = list_files(path)
+    # The last row does not fit its field; other tasks have written by then.
+    bad = spark.range(400).selectExpr("cast(if(id = 399, 5000, id) as int) id", "cast(1 as decimal(9,2)) amount").repartition(8)
+    with pytest.raises(Exception, match="does not hold"):
+        write_records(bad, path, PAIR, True)
+    assert list_files(path) == before and sorted(p.name for p in (tmp_path / "out").iterdir()) == [before[0][0].rsplit("/", 1)[1]]
+
+
+def test_a_wrong_delimiter_and_a_missing_path_raise(spark, tmp_path):
+    (tmp_path / "d.dat").write_bytes(bytes_of("001", "000000100C") + b"\n" + bytes_of("002", "000000200C") + b";")
+    with pytest.raises(Exception, match="no delimiter .* after the record at byte 9"):
+        read_records(spark, str(tmp_path / "d.dat"), PAIR, True, b"\n").collect()
+    with pytest.raises(FileNotFoundError):
+        read_records(spark, str(tmp_path / "nothing"), PAIR, True)

@@ -32,11 +32,39 @@ def hot(spark):
     return spark.createDataFrame(rows, "id long, k string, v long").repartition(8)
 
 
-@pytest.mark.parametrize("ranges", [1, 4, 64])
-def test_rank_within_equals_rank(hot, ranges):
+@pytest.mark.parametrize("ranges, large", [(2, 1), (4, 1), (20, 30), (64, 10_000)])
+def test_rank_within_equals_rank(hot, ranges, large):
     window = Window.partitionBy("k").orderBy(F.col("v").desc_nulls_last())
     want = hot.withColumn("rank", F.rank().over(window).cast("long"))
-    assert bag(rel.rank_within(hot, "k", "v", ranges=ranges)) == bag(want)
+    assert bag(rel.rank_within(hot, "k", "v", ranges=ranges, large=large)) == bag(want)
+
+
+def test_large_groups_are_told_by_their_hashes(spark):
+    """Only the group of many values is cut; both ways give the same ranks."""
+    df = spark.range(30_000).selectExpr("if(id % 10 = 0, 'few', 'many') k", "if(id % 10 = 0, id % 70, id) v").repartition(8)
+    window = Window.partitionBy("k").orderBy(F.col("v").desc_nulls_last())
+    want = df.withColumn("rank", F.rank().over(window).cast("long"))
+    assert bag(rel.rank_within(df, "k", "v", large=2000)) == bag(want)
+
+
+def test_stored_by_writes_once_and_merges(spark):
+    made = []
+
+    def make(rows):
+        made.append(1)
+        return spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(rows)], "k long, v long")
+
+    name = "test_stored_by"
+    first = tables.stored_by(spark, name, "k", lambda: make(300), 4, "a")
+    again = tables.stored_by(spark, name, "k", lambda: make(300), 4, "a")
+    assert len(made) == 1 and bag(first) == bag(again) and first.count() == 300
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined = rel.master_detail(first.select("k").distinct(), again, "k", [F.sum("v").alias("total")])
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert bag(joined) == bag(make(300).groupBy("k").agg(F.sum("v").alias("total")))
+    assert tables.stored_by(spark, name, "k", lambda: make(10), 4, "b").count() == 10
+    spark.sql(f"DROP TABLE {name}")
 
 
 def test_keep_top_equals_the_plain_window(hot):
