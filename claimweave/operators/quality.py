@@ -10,11 +10,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from claimweave.functions.dates import as_of_day
 from claimweave.operators.relational import orphans
+from claimweave.sources.tables import shared_folder, swap_table
 
 
 @dataclass(frozen=True)
@@ -177,3 +178,23 @@ def enforce(results: DataFrame, critical: Sequence[str] | None = None) -> None:
     rows = failed.collect()
     if rows:
         raise QualityError("; ".join(f"{r.name} {r.column}: {r.violations}".replace(" :", ":") for r in rows))
+
+
+def load_checked(df: DataFrame, name: str, critical: Mapping[str, Column], totals: Mapping[str, Column] | None = None) -> dict[str, object]:
+    """Replaces a table's rows unless a check fails: violations are counted by the write itself.
+
+    ``critical`` maps a check to the rule that marks a violating row (NULL counts as none),
+    ``totals`` a name to any further aggregate. The rows go to a new folder in one scan;
+    only without violations does the table point there. Otherwise ``QualityError`` is
+    raised and readers keep the old rows. Returns the counts and totals, with ``rows``.
+    """
+    spark, seen = df.sparkSession, Observation()
+    marks = [F.count_if(rule).alias(check) for check, rule in critical.items()]
+    path = shared_folder(spark)
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *marks, *[total.alias(c) for c, total in (totals or {}).items()]).write.parquet(path)
+    found = seen.get
+    failed = [f"{check}: {found[check]}" for check in critical if found[check]]
+    if failed:
+        raise QualityError("; ".join(failed))
+    swap_table(spark, name, path)
+    return found

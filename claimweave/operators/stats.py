@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +64,38 @@ def percentiles(df: DataFrame, by: str, value: str, points: Sequence[float],
     sketch = F.percentile_approx(x, F.array(*map(F.lit, points)), F.lit(accuracy)).alias("_p")
     found = df.groupBy(by).agg(sketch, F.round(F.var_samp(x.cast("double")), 6).alias("variance"))
     return found.select(by, *[F.col("_p")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(points)], "variance")
+
+
+def exact_percentiles(df: DataFrame, by: str, value: str, points: Sequence[float | str], accuracy: int = 10000) -> DataFrame:
+    """Percentiles ``p25`` and so on per class: the smallest value with at least that share of the
+    class's values at or below it. NULL values do not count; a class without values has NULLs.
+
+    A sketch brackets every point: its ranks are off by one in ``accuracy`` at most, so the
+    values four such steps to both sides hold the point between them. A second pass counts
+    the rows below each bracket and the values inside, combined on the map side, and picks
+    the value at the exact rank. Only the distinct values inside a bracket, about
+    eight in ``accuracy`` of a class, are ever sorted together, whatever shares a class.
+    """
+    points = [Decimal(str(p)) for p in points]
+    margin = Decimal(4) / accuracy
+    ends = [min(max(p + side, Decimal(0)), Decimal(1)) for p in points for side in (-margin, margin)]
+    x = F.col(value)
+    sketch = df.groupBy(F.col(by).alias("_k")).agg(F.percentile_approx(x, F.array(*[F.lit(float(e)) for e in ends]), F.lit(accuracy)).alias("_b"), F.count(x).alias("_n"))
+    brackets = sketch.select("_k", F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.col("_b")[2 * i].alias("lo"), F.col("_b")[2 * i + 1].alias("hi"),
+            F.greatest(F.lit(1), F.ceil(F.col("_n").cast("decimal(20,0)") * F.lit(p))).cast("long").alias("rank"))
+        for i, p in enumerate(points)
+    ]).alias("_points"))
+    rows = df.where(x.isNotNull()).select(F.col(by).alias("_g"), x.alias("_x")).join(brackets, F.col("_g").eqNullSafe(F.col("_k")))
+    rows = rows.select("_k", "_x", F.explode("_points").alias("_p")).where(F.col("_x") <= F.col("_p.hi"))
+    below = F.when(F.col("_x") >= F.col("_p.lo"), F.col("_x"))  # NULL: below the bracket
+    counted = rows.groupBy("_k", F.col("_p.i").alias("_i"), F.col("_p.rank").alias("_rank"), below.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    up_to = F.sum("_c").over(Window.partitionBy("_k", "_i").orderBy(F.col("_v").asc_nulls_first()))
+    found = counted.withColumn("_to", up_to).where((F.col("_to") >= F.col("_rank")) & F.col("_v").isNotNull())
+    # A rank below the bracket would be a broken promise of the sketch, not a result.
+    safe = F.when(F.col("_to") - F.col("_c") >= F.col("_rank"), None).otherwise(F.col("_v"))
+    found = found.groupBy("_k").agg(*[F.min(F.when(F.col("_i") == i, safe)).alias(f"_{i}") for i in range(len(points))])
+    found = found.withColumnRenamed("_k", "_f")
+    joined = sketch.join(found, F.col("_k").eqNullSafe(F.col("_f")), "left")
+    return joined.select(F.col("_k").alias(by), *[F.col(f"_{i}").alias(f"p{round(p * 100)}") for i, p in enumerate(points)])

@@ -524,6 +524,10 @@ SELECT claim_type, round(avg(CAST(claim_amount AS DOUBLE)), 6) AS avg, round(std
 ORACLES["percentiles"] = """
 SELECT l_returnflag, quantile_disc(l_quantity, 0.25) AS p25, quantile_disc(l_quantity, 0.5) AS p50,
   quantile_disc(l_quantity, 0.9) AS p90, round(var_samp(l_quantity), 6) AS variance FROM lineitem GROUP BY 1"""
+ORACLES["exact_percentiles"] = """
+SELECT l_returnflag, quantile_disc(l_extendedprice, 0.01) AS p1, quantile_disc(l_extendedprice, 0.25) AS p25, quantile_disc(l_extendedprice, 0.5) AS p50,
+  quantile_disc(l_extendedprice, 0.9) AS p90, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1"""
+ORACLES["checked_load"] = ORACLES["freq"]
 ORACLES["date_math"] = _with("prior_auth_summary") + """
 SELECT auth_id, year(request_date) AS year, month(request_date) AS month,
   CAST(request_date - INTERVAL 60 MONTH AS DATE) AS five_years_before, date_diff('day', request_date, approval_date) AS days,

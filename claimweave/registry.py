@@ -690,3 +690,19 @@ def string_basics(spark, sf):
 def top_k(spark, sf):
     spend = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
     return rel.top_k(spend, [F.desc("orders"), F.col("o_custkey")], 25)
+
+
+@query
+def exact_percentiles(spark, sf):
+    """Price percentiles per return flag, exact although the values are many."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice")
+    return stats.exact_percentiles(lines, "l_returnflag", "l_extendedprice", ["0.01", "0.25", "0.5", "0.9", "0.99"])
+
+
+@query
+def checked_load(spark, sf):
+    """Claims loaded under checks that the write observes, counted from the table they became."""
+    rows = _claims(spark, sf)
+    dq.load_checked(rows, "checked_claims", {
+        "no_claim_id": F.col("claim_id").isNull(), "negative_amount": F.col("claim_amount") < 0, "no_service_date": F.col("service_date").isNull()})
+    return stats.freq(spark.table("checked_claims"), "claim_status", "claims")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -117,11 +118,17 @@ class _Writer(DataSourceArrowWriter):
         system.create_dir(inside, recursive=True)
         with system.open_output_stream(temporary) as out:
             for batch in batches:
-                for record in batch.column(0).to_pylist():
-                    if record is None or len(record) != self.length:
-                        raise ValueError(f"a record of {None if record is None else len(record)} bytes, not {self.length}")
-                    out.write(record + self.delimiter)
-                    n += 1
+                records = batch.column(0)
+                sizes = pa.compute.binary_length(records)
+                if records.null_count or set(sizes.unique().to_pylist()) - {self.length}:
+                    raise ValueError(f"records of {sizes.unique().to_pylist()} bytes, not {self.length}")
+                fixed = records.cast(pa.binary(self.length))
+                start = fixed.offset * self.length
+                rows = np.frombuffer(fixed.buffers()[1], np.uint8, len(fixed) * self.length, start).reshape(-1, self.length) if len(fixed) else None
+                if rows is not None:
+                    ends = np.broadcast_to(np.frombuffer(self.delimiter, np.uint8), (len(rows), len(self.delimiter)))
+                    out.write(np.concatenate([rows, ends], axis=1).tobytes())
+                n += len(fixed)
         return Written(temporary, f"{inside}/{name}", n)
 
     def commit(self, messages: list[Written | None]) -> None:

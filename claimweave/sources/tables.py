@@ -86,6 +86,22 @@ def stored_by(spark: SparkSession, name: str, key: str, make: Callable[[], DataF
     return spark.table(name)
 
 
+def swap_table(spark: SparkSession, name: str, path: str) -> None:
+    """Points a table at a finished folder of Parquet files.
+
+    With an unchanged schema that is one change in the catalog: readers see the old rows
+    or the new ones. Another schema makes a new table; rows of the old folder stay on disk.
+    """
+    schema = spark.read.parquet(path).schema
+    if spark.catalog.tableExists(_checked(name)):
+        if spark.table(name).schema == schema:
+            spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
+            spark.catalog.refreshTable(name)
+            return
+        spark.sql(f"DROP TABLE {name}")
+    spark.catalog.createTable(name, path, "parquet")
+
+
 def ensure_namespace(spark: SparkSession, db: str, reset: bool = False) -> None:
     """Create a schema; with ``reset`` drop it and its tables first."""
     _checked(db)

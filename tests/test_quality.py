@@ -66,3 +66,24 @@ def test_reconcile_and_enforce(rows):
     with pytest.raises(dq.QualityError, match="not_null id: 2"):
         dq.enforce(checks)
     dq.enforce(checks, critical=["non_negative"])
+
+
+def test_checked_load_replaces_only_when_checks_pass(spark):
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    rule = {"negative": F.col("v") < 0, "no_key": F.col("k").isNull()}
+    first = spark.createDataFrame([(1, 5), (2, None)], "k int, v int")
+    assert dq.load_checked(first, "test_checked", rule, {"total": F.sum("v")}) == {"rows": 2, "negative": 0, "no_key": 0, "total": 5}
+    with pytest.raises(dq.QualityError, match="negative: 1; no_key: 2"):
+        dq.load_checked(spark.createDataFrame([(None, 5), (None, -1)], "k int, v int"), "test_checked", rule)
+    assert rows(spark.table("test_checked").where("v IS NOT NULL")) == [(1, 5)]
+    failing = spark.createDataFrame([(1, 0)], "k int, v int").select("k", F.assert_true(F.col("v") > 0).cast("int").alias("v"))
+    with pytest.raises(Exception):
+        dq.load_checked(failing, "test_checked", rule)
+    assert spark.table("test_checked").count() == 2
+    dq.load_checked(spark.createDataFrame([(7, 7)], "k int, v int"), "test_checked", rule)
+    assert rows(spark.table("test_checked")) == [(7, 7)]
+    dq.load_checked(spark.createDataFrame([(7, 7, "x")], "k int, v int, w string"), "test_checked", rule)
+    assert rows(spark.table("test_checked")) == [(7, 7, "x")]
+    spark.sql("DROP TABLE test_checked")

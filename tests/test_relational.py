@@ -1,6 +1,7 @@
 """Joins, windows and statistics on hot keys, NULLs and ties, against plain Python."""
 
 import datetime as dt
+import math
 import random
 from decimal import Decimal as D
 
@@ -204,3 +205,15 @@ def test_synth_ranges(spark):
     members = synth(spark, "members", 2000)
     assert members.filter("termination_date IS NOT NULL AND member_status = 'ACTIVE'").count() == 0
     assert synth(spark, "claims", 1000, members=3).select("member_id").distinct().count() == 3
+
+
+@pytest.mark.parametrize("accuracy", [50, 400])
+def test_exact_percentiles(spark, accuracy):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", None, "hot", "hot"]), rng.choice([None, rng.random(), float(rng.randrange(9))])) for _ in range(6000)] + [("empty", None), ("one", 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    points = ["0", "0.003", "0.25", "0.5", "0.999", "1"]
+    got = {r[0]: tuple(r)[1:] for r in stats.exact_percentiles(df.withColumnRenamed("v", "_c"), "k", "_c", points, accuracy).collect()}
+    for key in {k for k, _ in rows}:
+        values = sorted(v for k, v in rows if k == key and v is not None)
+        assert got[key] == tuple(values[max(1, math.ceil(D(p) * len(values))) - 1] if values else None for p in points)
