@@ -9,16 +9,15 @@ from claimweave.llm.common import components, documents, written
 
 SHINGLE = 5
 BRIEF = 25  # different shingles of a line that sketches tell too little of
-_SLOT = 1 << 32  # positions in a document
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line_no, at, line, k1, k2``: lines that hold a word; ``at`` orders them by
-    document and position, ``k1, k2`` are 128 bits of hash."""
+    """``doc_id, text_hash, line_no, at, line, k1, k2``: lines that hold a word; ``at`` orders
+    them by document and position and tells texts of one id apart, ``k1, k2`` are 128 bits of hash."""
     rows = documents(docs, id_col, text_col).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    at = (F.col("doc_id").cast("decimal(20,0)") * F.lit(_SLOT).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
-    return rows.withColumn("at", at).withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.withColumns({"at": F.struct("doc_id", "text_hash", "line_no"), "k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
 
 
 def _sketch(hashes: Column, keep: int) -> Column:
@@ -139,13 +138,14 @@ def _exact(sets: DataFrame, threshold: float, block: int) -> DataFrame:
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, small: int = 16, redraws: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a line to remove: ``doc_id, line_no, kept_doc_id, kept_line_no, exact``.
+    """One row a line to remove: ``doc_id, line_no, kept_doc_id, kept_line_no, exact, text_hash``.
 
     A component holds the lines that are equal or linked by a Jaccard similarity of
     ``threshold`` or more of their 5-character shingles; its first line (by document,
     then position) stays and is named in the row. ``exact`` marks copies of a line of
     an earlier position. Lines without a word, null and empty texts and rows with a
-    null id take no part; rows that repeat an id count as one document.
+    null id take no part. Rows that repeat an id are documents of their own, in the order of
+    a hash of their texts, which ``text_hash`` names; equal rows are one document.
 
     Equal lines are combined before any shuffle. Each different line has up to
     ``2 * keep`` band keys. In a band a pivot is drawn by a hash that differs from
@@ -178,7 +178,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     more = written(_exact(written(sets, "line-sets"), threshold, block), "line-links")
     groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
-    seen = lines.select("doc_id", "line_no", "at", "k1", "k2")
+    seen = lines.select("doc_id", "text_hash", "line_no", "at", "k1", "k2")
     first = seen.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     first = first.join(groups.withColumnRenamed("node", "k1"), "k1", "left")
     roots = first.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("kept"))
@@ -186,26 +186,29 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     # Only lines that lose a place are looked up.
     fate = fate.where("n > 1 OR kept < first").drop("n")
     gone = seen.join(fate, ["k1", "k2"]).where("at > kept")
-    doc = F.floor(F.col("kept") / F.lit(_SLOT).cast("decimal(11,0)")).cast("long")
     return gone.select(
-        "doc_id", "line_no", doc.alias("kept_doc_id"), (F.col("kept") - doc.cast("decimal(20,0)") * F.lit(_SLOT).cast("decimal(11,0)")).cast("int").alias("kept_line_no"),
-        (F.col("at") > F.col("first")).alias("exact"),
-    )
+        "doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"),
+        (F.col("at") > F.col("first")).alias("exact"), "text_hash")
 
 
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without their duplicate lines; those left without a word are dropped.
 
-    Lines keep their order; documents that lose no line are unchanged, also if they
-    are null or empty. All columns stay, as they are but for the text.
+    A row is judged by its own text: rows that repeat an id with another text are documents
+    of their own, equal rows are one document and fare alike. Lines keep their order; rows
+    that lose no line are unchanged, also if they are null or empty or have no id. All
+    columns stay, as they are but for the text.
     """
-    gone = written(duplicate_lines(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "line_no").distinct(), "gone-lines")
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("line_no").alias("_gone"))  # a document's own lines
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
-    joined = joined.withColumn("_parts", F.when(F.col("_gone").isNotNull(), F.split(F.col(text_col), "\n")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_parts", i)), "\n"))
+    column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    gone = written(duplicate_lines(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "text_hash", "line_no").distinct(), "gone-lines")
+    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("gone"))  # a document's own lines
+    # All other columns are one, so that none of their names can clash.
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns if c != text_col]).alias("rest"), column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left")
+    rows = rows.withColumn("parts", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("parts", i)), "\n"))
     # As above: the generator makes each text once.
-    rest = joined.select(*[c for c in docs.columns if c != text_col], "_gone", F.inline(F.array(F.struct(text.alias("_text")))))
-    rest = rest.where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    return rest.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    rows = rows.select("rest", "gone", F.inline(F.array(F.struct(text.alias("left")))))
+    rows = rows.where(F.col("gone").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select(*[F.col("left").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns])

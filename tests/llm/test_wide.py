@@ -247,6 +247,16 @@ def test_fuzzy_lines(make, odd):
     assert lines.duplicate_lines(make([])).count() == 0 and lines.drop_duplicate_lines(make([])).count() == 0
 
 
+def test_rows_that_repeat_an_id_lose_only_their_own_lines(spark):
+    line = "this line is the one repeated here"
+    texts = [(0, line), (1, f"first of the texts\n{line}"), (1, "second of the texts\nan unrelated line that nobody repeats"), (None, line), (1, f"first of the texts\n{line}")]
+    names = ["doc_id", "text", "_id", "_row", "_gone", "_text", "a.b", "text_hash", "rest"]
+    docs = spark.createDataFrame([(d, t, *range(len(names) - 2)) for d, t in texts], "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in names[2:]))
+    kept = lines.drop_duplicate_lines(docs)
+    assert kept.columns == names and all(tuple(r)[2:] == tuple(range(len(names) - 2)) for r in kept.collect())
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(0, line), (1, "first of the texts"), (1, "first of the texts"), texts[2], (None, line)])
+
+
 def test_long_lines(make, odd):
     got = {(r.doc_id, r.line_no, r.kept_doc_id) for r in lines.duplicate_lines(make(odd)).collect()}
     assert {(9, 0, 4), (5, 1, 5), (5, 3, 5)} <= got
