@@ -75,7 +75,7 @@ class Encoder:
             latin = _LATIN.fullmatch(text) and not _SPECIAL.search(text)
             parts = _PARTS.findall(text.lower()) if latin else re.findall(WORD, text)
             split.append(parts)
-            self._learn({w for w in parts if w not in self.known}, bool(latin))
+            self._learn(set(parts).difference(self.known), bool(latin))
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4") for parts in split]
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
