@@ -9,6 +9,8 @@ from claimweave.llm.common import components, documents, written
 
 SHINGLE = 5
 BRIEF = 25  # different shingles of a line that sketches tell too little of
+MEETINGS = 4  # shingles that two lines must share in their rarest before their texts are compared
+SLOT_BITS = 17  # size of the table of shingle counts: 131,072 longs, however many shingles there are
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,7 +46,7 @@ def sketches(df: DataFrame, keep: int) -> DataFrame:
     blanks = length - F.length(F.replace(line, F.lit(" "), F.lit("")))
     every = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{8}))"), F.lit(1))
     starts = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(r"(?s) (?=(.{9}))"), F.lit(1))
-    hashed = lambda grams: _sketch(F.transform(grams, lambda g: F.xxhash64(g)), keep)
+    hashed = lambda grams: _sketch(F.transform(grams, lambda g: F.hash(g)), keep)
     return df.withColumns({
         "whole": F.when((length < 160) | (blanks * 25 < length), hashed(every)), "starts": F.when(length >= 60, hashed(starts)),
     })
@@ -58,9 +60,12 @@ def bands() -> Column:
 
 def grams(line: Column) -> Column:
     """The set of ``SHINGLE``-character shingles, as 64-bit hashes (longs make sets in half the
-    time of texts); a shorter line is one shingle."""
-    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(F.transform(every, lambda g: F.xxhash64(g))))
+    time of texts); a shorter line is one shingle. Four bytes a character make every place a
+    plain offset; the outer ``transform`` encodes a line once."""
+    width = 4 * SHINGLE
+    cut = lambda u: F.transform(F.sequence(F.lit(1), F.length(u) - (width - 1), F.lit(4)), lambda i: F.xxhash64(F.substring(u, i, F.lit(width))))
+    every = F.element_at(F.transform(F.array(F.encode(line, "UTF-32")), cut), 1)
+    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(every))
 
 
 def _brief(line: Column) -> Column:
@@ -104,21 +109,36 @@ def _unmet(held: DataFrame, small: int, redraws: int) -> DataFrame:
     return met.union(drawn).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _exact(sets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """All pairs ``(a, b)`` of ``sets`` (``k1, root, g``) of different roots that reach the threshold.
+def _rarity(sets: DataFrame) -> Column:
+    """How frequent shingles are, by the first ``SLOT_BITS`` bits of their hash: a binary
+    value of that fixed size, which the driver makes, with three steps an octave, one byte a slot."""
+    slots = sets.select(F.explode("g").alias("t")).groupBy(F.shiftrightunsigned("t", 64 - SLOT_BITS).cast("int").alias("slot")).agg(F.count("*").alias("c"))
+    steps = bytearray(1 << SLOT_BITS)
+    for row in slots.select("slot", F.floor(F.log2(F.col("c") + 1) * 3).cast("int").alias("step")).toLocalIterator():
+        steps[row.slot] = row.step
+    return F.lit(bytes(steps))
+
+
+def _exact(lines: DataFrame, threshold: float, block: int) -> DataFrame:
+    """All pairs ``(a, b)`` of ``lines`` (``k1, root, line``) of different roots that reach the threshold.
 
     Prefix filtering: with the shingles of every set in one order, rarest first, a
-    similar pair has one in common among the first ``n - 2t/(1+t) n + 1`` of the
-    smaller set and the first ``n - tn + 1`` of the larger. Sets that meet under a
-    shingle are joined block against block; those of the root that most of them
-    have are not joined with each other.
+    similar pair has ``MEETINGS`` in common (or all it needs, if fewer) among the first
+    ``n - 2t/(1+t) n + MEETINGS`` of the smaller set and the first ``n - tn + MEETINGS`` of the
+    larger. Any one order is right; this
+    one asks a table of fixed size for the counts, so that shingles need not meet to be
+    ordered. Sets that meet under a shingle are joined block against block; those of the
+    root that most of them have are not joined with each other.
     """
-    owned = sets.select("k1", "root", F.size("g").alias("n"), F.explode("g").alias("t"))
-    counts = owned.groupBy("t").agg(F.count("*").alias("c"))
-    ordered = owned.join(counts, "t").groupBy("k1", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("g"))  # a line's own shingles
-    first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
-    rows = ordered.select("k1", "root", "n", first(2 * threshold / (1 + threshold)).alias("short"), F.posexplode(F.slice("g", F.lit(1), first(threshold).cast("int"))).alias("i", "x"))
-    rows = written(rows.where("x.c > 1").select("k1", "root", "n", "i", "x.t", (F.col("i") < F.col("short")).alias("index")), "line-prefixes")
+    sets = lines.select("k1", "root", grams(F.col("line")).alias("g"))
+    rarity = _rarity(sets)
+    step = lambda t: F.ascii(F.substring(rarity, F.shiftrightunsigned(t, 64 - SLOT_BITS).cast("int") + 1, F.lit(1)).cast("string"))
+    key = lambda t: F.shiftleft(step(t).cast("long"), 48).bitwiseOR(t.bitwiseAND(F.lit((1 << 48) - 1)))
+    ordered = sets.select("k1", "root", F.size("g").alias("n"), F.sort_array(F.transform("g", key)).alias("g"))
+    first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + MEETINGS
+    rows = ordered.select("k1", "root", "n", first(2 * threshold / (1 + threshold)).alias("short"), F.posexplode(F.slice("g", F.lit(1), first(threshold).cast("int"))).alias("i", "t"))
+    # Three steps: it occurs once.
+    rows = written(rows.where(F.shiftright("t", 48) > 3).select("k1", "root", "n", "i", "t", (F.col("i") < F.col("short")).alias("index")), "line-prefixes")
     tokens = rows.groupBy("t", "root").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("root", "m").alias("main"), F.sum("m").alias("m"), F.count("*").alias("roots"))
     rows = rows.join(tokens.where("roots > 1").select("t", "main", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks")), "t")
     own, every = F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -126,15 +146,13 @@ def _exact(sets: DataFrame, threshold: float, block: int) -> DataFrame:
     left = rows.where("index").select("t", own.alias("p"), every.alias("q"), (F.col("root") == F.col("main")).cast("int").alias("side"), *[F.col(c).alias(f"{c}_a") for c in ("k1", "root", "n", "i")])
     right = rows.select("*", F.explode(F.when(F.col("root") == F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     right = right.select("t", every.alias("p"), own.alias("q"), "side", *[F.col(c).alias(f"{c}_b") for c in ("k1", "root", "n", "i")])
-    met = left.join(right, ["t", "p", "q", "side"]).where("root_a <> root_b AND n_a <= n_b")
+    met = left.join(right, ["t", "p", "q", "side"]).where("root_a <> root_b AND (n_a < n_b OR n_a = n_b AND k1_a < k1_b)")
     # What can be common at most, with these places in the order.
     most = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
     met = met.where((F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (most * (1 + threshold) >= (F.col("n_a") + F.col("n_b")) * threshold - 1e-9))
-    pairs = met.select(F.greatest("k1_a", "k1_b").alias("a"), F.least("k1_a", "k1_b").alias("b")).distinct()
-    of = lambda k: sets.select(F.col("k1").alias(k), F.col("g").alias(f"g{k}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    common, total = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
-    return both.where(common * F.lit(1 + threshold) >= total * F.lit(threshold) - 1e-9).select("a", "b")
+    need = F.least(F.lit(MEETINGS), F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9))
+    pairs = met.groupBy(F.greatest("k1_a", "k1_b").alias("a"), F.least("k1_a", "k1_b").alias("b"), need.alias("need")).agg(F.count("*").alias("c"))
+    return _similar(pairs.where("c >= need").select("a", "b"), lines, threshold)
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, small: int = 16, redraws: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,14 +186,17 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     held = written(rows.join(pivots, "band").select("k1", "band", "n", F.col("least").bitwiseXOR(F.col("band")).alias("pivot")), "line-bands")
     met = held.where("k1 <> pivot").select(F.greatest("k1", "pivot").alias("a"), F.least("k1", "pivot").alias("b"))
     pairs = written(_alike(met.union(_unmet(held, small, redraws)).distinct(), sketched), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
-    texts = written(lines.select("k1", "line").join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line")), "line-texts")
+    # Lines that their bands leave open are compared in the end; each text is fetched once.
+    open_ = held.where(F.col("n") > small).select("k1").union(sketched.where("brief").select("k1")).withColumn("open", F.lit(True))
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("k1"), F.lit(False).alias("open"))
+    # Written, so that its size is known: Spark broadcasts it if small, else joins by key.
+    wanted = written(paired.union(open_).groupBy("k1").agg(F.max("open").alias("open")), "line-wanted")
+    texts = lines.select("k1", "line").join(wanted, "k1").groupBy("k1", "open").agg(F.min("line").alias("line"))
+    texts = written(texts, "line-texts")
     groups = written(components(_similar(pairs, texts, threshold)), "line-groups")
-    # Lines that their bands leave open: exactly, between the groups found so far.
-    open_ = held.where(F.col("n") > small).select("k1").union(sketched.where("brief").select("k1")).distinct()
-    sets = lines.select("k1", "line").join(open_, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line"))
-    sets = sets.join(groups.withColumnRenamed("node", "k1"), "k1", "left").select("k1", F.coalesce("root", "k1").alias("root"), grams(F.col("line")).alias("g"))
-    more = written(_exact(written(sets, "line-sets"), threshold, block), "line-links")
+    # Exactly, between the groups found so far.
+    rest = texts.where("open").join(groups.withColumnRenamed("node", "k1"), "k1", "left").select("k1", F.coalesce("root", "k1").alias("root"), "line")
+    more = written(_exact(written(rest, "line-rest"), threshold, block), "line-links")
     groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     seen = lines.select("doc_id", "text_hash", "line_no", "at", "k1", "k2")
