@@ -178,6 +178,42 @@ def test_decontaminate_judges_each_row(spark, make):
         assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(clean)
 
 
+def test_items_with_one_template(spark, make, monkeypatch):
+    """Thousands of items and texts share a passage: each text is judged in bounded slices."""
+    template = " ".join(f"shared{i}" for i in range(16))
+    own = lambda kind, n: " ".join(f"{kind}{n}x{i}" for i in range(12))
+    items = [(n, f"{template} {own('item', n)}") for n in range(2000)]
+    texts = [(n, f"before {template} {own('text', n)}") for n in range(2000)]
+    # Eight shared words are no overlap, though they hold the seeds of all items.
+    clean = [(5000 + n, f"{own('a', n)} {' '.join(template.split()[:8])} {own('b', n)}") for n in range(200)]
+    bench = spark.createDataFrame([*items, *items[:50]], "item_id long, text string").coalesce(4)
+    kept = decontam.decontaminate(make([*texts, *clean]).repartition(4), bench)
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in clean}
+    few = make([*texts[:3], *clean[:3]])
+    pairs = decontam.find_overlaps(few, bench)
+    assert pairs.count() == 3 * 2050 and pairs.select("doc_id").distinct().count() == 3
+
+    seeds = decontam.Seeds(items[:300])
+    numbers, _ = decontam._numbered([t for _, t in texts[:20] + clean[:5]] + [items[7][1]], seeds)
+    whole = sorted(decontam.overlaps_of(numbers, seeds))
+    monkeypatch.setattr(decontam, "_HITS", 1000)
+    assert sorted(decontam.overlaps_of(numbers, seeds)) == whole and len(whole) == len(set(whole)) == 21 * 300
+
+
+def test_short_items_and_scripts_without_blanks(spark, make):
+    items = [(1, "Yes, it is"), (2, "one two three four five"), (3, "\u6625\u7720\u4e0d\u89c9\u6653\u5904\u5904\u95fb\u557c\u9e1f\u591c\u6765\u98ce\u96e8\u58f0"), (4, "?!"), (5, None), (None, "no id")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    changed = list(items[2][1])
+    changed[6] = "\u4e00"
+    docs = make([(10, "yes it IS!"), (11, "Oh yes, it is so."), (12, "zero one two three four five six"), (13, "one two three four six"),
+                 (14, "\u5531" + "".join(changed) + "\u3002"), (15, "\u6625\u7720\u4e0d\u89c9"), (16, ""), (17, None), (18, "No id"), (18, "another text"), (None, "yes it is")])
+    got = {(r.doc_id, r.item_id) for r in decontam.find_overlaps(docs, bench).collect()}
+    assert got == {(10, 1), (12, 2), (14, 3), (18, None), (None, 1)}
+    kept = Counter(r.doc_id for r in decontam.decontaminate(docs, bench).collect())
+    assert kept == Counter([11, 13, 15, 16, 17, 18])
+    assert decontam.tokens("ab\u4e2d\u6587cd \u3002") == ["ab", "\u4e2d", "\u6587", "cd"]
+
+
 def test_overlap_query(spark, tiny, corpus):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
     joined = {i: " ".join(decontam.tokens(t)) for i, t in items}
