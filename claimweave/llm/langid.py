@@ -78,25 +78,28 @@ def _precomputed(content: bytes, level: int) -> zstandard.ZstdCompressionDict:
 def fit(labelled: DataFrame, docs_per_language: int = 64, chars_per_doc: int = 1000, max_languages: int = 512, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Dictionaries from a bounded sample of labelled rows.
 
-    The bound: ``docs_per_language`` documents a language, in the order of a hash of
-    the id, and ``chars_per_doc`` characters of each, from its middle; at most
-    ``max_languages`` languages (more raise). Only ids move to find the sample. Rows
-    with a null language, id or text teach nothing; all dictionaries are cut to the
-    size of the smallest that has a quarter of the full size or more.
+    The bound: ``docs_per_language`` documents a language, those of over 40 characters
+    first, then in the order of a hash of the id, and ``chars_per_doc`` characters of each,
+    from its middle; at most ``max_languages`` languages (more raise). Shorter texts thus
+    teach where a language has too few longer ones. Only ids move to find the sample. Rows
+    with a null language, id or text teach nothing, nor does a language without a letter; of
+    rows that repeat an id and a language the smallest excerpt counts. All dictionaries are
+    cut to the size of the smallest that has a quarter of the full size or more.
     """
     rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.where(F.length("text") > 40).select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).select("lang", "doc_id").limit(max_languages * docs_per_language + 1)
+    order = Window.partitionBy("lang").orderBy("short", F.xxhash64("doc_id"), "doc_id")
+    picked = rows.select("lang", "doc_id", (F.length("text") <= 40).alias("short")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
+    picked = picked.select("lang", "doc_id").distinct().limit(max_languages * docs_per_language + 1)
     middle = F.greatest(F.lit(1), F.floor((F.length("text") - chars_per_doc) / 2)).cast("int")
     sample = rows.join(F.broadcast(picked), ["lang", "doc_id"]).select("lang", "doc_id", F.substring("text", middle, F.lit(chars_per_doc)).alias("text"))
     by_lang: dict[str, list] = {}
     # At most max_languages * docs_per_language rows of chars_per_doc characters.
-    for lang, doc_id, text in sample.dropDuplicates(["lang", "doc_id"]).orderBy("lang", "doc_id").limit(max_languages * docs_per_language + 1).collect():
+    for lang, doc_id, text in sample.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").limit(max_languages * docs_per_language + 1).collect():
         by_lang.setdefault(lang, []).append(letters(text))
     if len(by_lang) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    built = {lang: b" ".join(texts) for lang, texts in by_lang.items()}
+    built = {lang: b" ".join(texts) for lang, texts in by_lang.items() if any(texts)}
     full = max(map(len, built.values()), default=0)
     size = min((len(b) for b in built.values() if 4 * len(b) >= full), default=0)
     # A cut may fall inside a character; the dictionary is bytes, so that is harmless.
