@@ -104,8 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, rank: int = 48
     the texts, which are never shuffled. Executors turn whole texts into hashed rows;
     the driver gets at most ``max_rows`` rows of ``DIMS`` half-floats, weights them by
     inverse document frequency and keeps the ``rank`` strongest directions. Null labels
-    and ids teach nothing; of labels that repeat an id the smallest counts. Without
-    rows every score is 0.5.
+    and ids teach nothing; of labels that repeat an id the smallest counts, of texts that
+    repeat one the smallest hashed row. Without rows every score is 0.5.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IS NOT NULL AND doc_id IS NOT NULL")
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, rank: int = 48
             return {"doc_id": columns["doc_id"], "label": columns["label"], "row": [features(t).astype(np.float16).tobytes() for t in columns["text"]]}
         return fn
 
-    got = map_texts(rows, make, "doc_id long, label int, row binary").dropDuplicates(["doc_id"]).limit(max_rows).toArrow()
+    got = map_texts(rows, make, "doc_id long, label int, row binary").groupBy("doc_id", "label").agg(F.min("row").alias("row")).limit(max_rows).toArrow()
     if not got.num_rows:
         return NeighbourModel(np.ones(DIMS, np.float32), np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
     got = got.sort_by("doc_id")

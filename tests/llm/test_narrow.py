@@ -244,6 +244,24 @@ def test_language_on_held_out_rows(spark, tiny):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_language_of_short_texts_only(spark):
+    long_ones = [(i, f"the river and the {w} were under the old stone bridge near the town, number {w}", "en") for i, w in enumerate(["mill", "boat", "road", "horse"] * 5)]
+    short = [(100 + i, f"\u03bf \u03bb\u03cc\u03b3\u03bf\u03c2 {w}", "el") for i, w in enumerate(["\u03ba\u03b1\u03b9", "\u03c4\u03b7\u03c2", "\u03c3\u03c4\u03bf\u03bd"] * 6)]
+    blank = [(200, "123", "xx"), (201, None, "yy"), (202, "", "zz")]
+    rows = spark.createDataFrame([*long_ones, *short, *blank, (0, "zzz another text of the same id, and long enough to teach", "en")], "doc_id long, text string, lang string")
+    models = [langid.fit(rows.repartition(n)) for n in (1, 5)]
+    assert models[0] == models[1] and [lang for lang, _ in models[0].dictionaries] == ["el", "en"]
+    predict = models[0].coder()
+    assert predict("\u03bf \u03bb\u03cc\u03b3\u03bf\u03c2 \u03c4\u03b7\u03c2")[0] == "el" and predict("under the old bridge")[0] == "en"
+
+
+def test_quality_of_repeated_ids_is_settled(spark, make):
+    texts = [(i % 40, f"word{i} another Word{i * 7} and {'!' * (i % 5)} so on") for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    one, other = (quality.fit(make(texts).repartition(n), labels) for n in (1, 7))
+    assert len(one.labels) == 40 and (one.weights == other.weights).all() and np.allclose(one.vectors, other.vectors, atol=1e-5)
+
+
 def test_language_is_the_smallest_size(spark, make, odd, documents):
     import zstandard
 
