@@ -159,6 +159,35 @@ def reconcile(source: DataFrame, result: DataFrame, amounts: Mapping[str, tuple[
     return wide.select(F.inline(F.array(*rows)))
 
 
+def reconcile_by(source: DataFrame, result: DataFrame, keys: Sequence[str], amounts: Mapping[str, tuple[str, str]],
+                 tol: float = 0.01) -> DataFrame:
+    """The keys on which two tables disagree: one row a key with both row counts and totals.
+
+    A key is listed if its rows differ in number or a total by ``tol`` or more; a key that
+    one side lacks has 0 rows there, NULL keys are a key like others and NULL amounts
+    count as 0. Both sides are reduced to their keys before they meet, so a hot key
+    is one row a task.
+    """
+    labels = {label: f"a{i}" for i, label in enumerate(amounts)}
+
+    def side(df: DataFrame, which: int) -> DataFrame:
+        named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+        sums = [F.coalesce(F.sum(pair[which]), F.lit(0)).cast("decimal(38,4)").alias(f"a{i}") for i, pair in enumerate(amounts.values())]
+        return df.groupBy(*named).agg(F.count(F.lit(1)).alias("rows"), *sums).withColumn("_side", F.lit(which))
+
+    both = side(source, 0).unionByName(side(result, 1))
+    wide = both.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(*[
+        F.coalesce(F.sum(F.when(F.col("_side") == which, F.col(c))), F.lit(0)).alias(f"{c}_{which}")
+        for c in ("rows", *labels.values()) for which in (0, 1)
+    ])
+    differ = F.col("rows_0") != F.col("rows_1")
+    for c in labels.values():
+        differ |= F.abs(F.col(f"{c}_0") - F.col(f"{c}_1")) >= F.lit(str(tol)).cast("decimal(10,4)")
+    return wide.where(differ).select(
+        *[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("rows_0").alias("source_rows"), F.col("rows_1").alias("result_rows"),
+        *[F.col(f"{c}_{which}").cast("double").alias(f"{name}_{label}") for label, c in labels.items() for which, name in ((0, "source"), (1, "result"))])
+
+
 class QualityError(ValueError):
     """A critical check failed."""
 

@@ -528,6 +528,16 @@ ORACLES["exact_percentiles"] = """
 SELECT l_returnflag, quantile_disc(l_extendedprice, 0.01) AS p1, quantile_disc(l_extendedprice, 0.25) AS p25, quantile_disc(l_extendedprice, 0.5) AS p50,
   quantile_disc(l_extendedprice, 0.9) AS p90, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1"""
 ORACLES["checked_load"] = ORACLES["freq"]
+ORACLES["published_load"] = ORACLES["freq"]
+ORACLES["exact_moments"] = _with("claims", units="SELECT claim_type, claim_amount AS x, CAST(claim_amount * 100 AS HUGEINT) AS u FROM claims",
+    sums="SELECT claim_type, count(x) AS n, CAST(sum(u) AS HUGEINT) AS s, CAST(sum(u * u) AS HUGEINT) AS q, min(x) AS lo, max(x) AS hi FROM units GROUP BY 1",
+    parts="SELECT *, n * q - s * s AS squares FROM sums") + """
+SELECT claim_type, n, CAST(s AS DOUBLE) / (n * 100.0::DOUBLE) AS avg, v AS variance, sqrt(v) AS stddev, CAST(lo AS DOUBLE) AS min, CAST(hi AS DOUBLE) AS max
+FROM (SELECT *, (CAST((squares + n - 1) // n AS DOUBLE) - CAST((n - squares % n) % n AS DOUBLE) / n) / ((n - 1) * 10000.0::DOUBLE) AS v FROM parts)"""
+ORACLES["reconcile_by_provider"] = _with("claims") + """
+SELECT provider_id, claim_type, count(*) AS source_rows, count(*) FILTER (claim_status = 'APPROVED') AS result_rows,
+  CAST(sum(claim_amount) AS DOUBLE) AS source_amount, CAST(coalesce(sum(claim_amount) FILTER (claim_status = 'APPROVED'), 0) AS DOUBLE) AS result_amount
+FROM claims GROUP BY 1, 2 HAVING count(*) <> count(*) FILTER (claim_status = 'APPROVED')"""
 ORACLES["date_math"] = _with("prior_auth_summary") + """
 SELECT auth_id, year(request_date) AS year, month(request_date) AS month,
   CAST(request_date - INTERVAL 60 MONTH AS DATE) AS five_years_before, date_diff('day', request_date, approval_date) AS days,

@@ -19,7 +19,7 @@ from claimweave.sources import layouts
 from claimweave.sources.payer import SCHEMAS, table, view
 from claimweave.sources.record_files import read_records, write_records
 from claimweave.sources.records import decode_records, encode_records
-from claimweave.sources.tables import load_manifest, report_lines, shared_folder, stack_counts, stored_by, typed
+from claimweave.sources.tables import load_manifest, publish, report_lines, shared_folder, stack_counts, stored_by, typed
 
 # Parameters of the registered queries; the claim lines run from 1995 to 2001.
 SINCE = "1998-01-01"
@@ -706,3 +706,26 @@ def checked_load(spark, sf):
     dq.load_checked(rows, "checked_claims", {
         "no_claim_id": F.col("claim_id").isNull(), "negative_amount": F.col("claim_amount") < 0, "no_service_date": F.col("service_date").isNull()})
     return stats.freq(spark.table("checked_claims"), "claim_status", "claims")
+
+
+@query
+def exact_moments(spark, sf):
+    """Claim amounts per type, equal to the last bit on any partitioning."""
+    return stats.exact_moments(_claims(spark, sf), "claim_type", "claim_amount")
+
+
+@query
+def reconcile_by_provider(spark, sf):
+    """Providers whose claims are not all paid out: the rows and amounts on both sides."""
+    rows = _claims(spark, sf)
+    paid = rows.where(F.col("claim_status") == "APPROVED")
+    return dq.reconcile_by(rows, paid, ["provider_id", "claim_type"], {"amount": ("claim_amount", "claim_amount")})
+
+
+@query
+def published_load(spark, sf):
+    """Claims published twice under one name, the second time with other columns, and read by it."""
+    rows = _claims(spark, sf)
+    publish(rows.groupBy("claim_status", "claim_type").count(), "published_claims")
+    publish(spark.table("published_claims").groupBy("claim_status").agg(F.sum("count").alias("claims")), "published_claims")
+    return spark.table("published_claims")

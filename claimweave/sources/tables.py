@@ -102,6 +102,27 @@ def swap_table(spark: SparkSession, name: str, path: str) -> None:
     spark.catalog.createTable(name, path, "parquet")
 
 
+def publish(df: DataFrame, name: str, root: str | None = None) -> str:
+    """Replaces what readers of ``name`` see, atomically also on the built-in catalog; returns the new folder.
+
+    The rows go to a folder of their own under ``root`` (unset: the shared folder) and
+    ``name`` is a view of the newest one. Only after the job has ended is the view
+    altered, one change in the catalog also where columns differ: readers see the
+    old rows or the new ones, and a job that fails leaves the old ones. ``df`` may read
+    ``name`` itself. Earlier folders stay for queries that still read them. A table
+    of that name is not replaced but refused.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    path = f"{root.rstrip('/')}/{path.rsplit('/', 1)[-1]}" if root else path
+    if spark.catalog.tableExists(_checked(name)) and spark.catalog.getTable(name).tableType != "VIEW":
+        raise ValueError(f"{name} is a table, not a published view")
+    df.write.parquet(path)
+    verb = "ALTER VIEW" if spark.catalog.tableExists(name) else "CREATE VIEW"
+    quoted = path.replace("`", "``")
+    spark.sql(f"{verb} {name} AS SELECT * FROM parquet.`{quoted}`")
+    return path
+
+
 def ensure_namespace(spark: SparkSession, db: str, reset: bool = False) -> None:
     """Create a schema; with ``reset`` drop it and its tables first."""
     _checked(db)

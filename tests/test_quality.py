@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave.operators import quality as dq
+from claimweave.sources import tables
 
 AS_OF = "2024-06-30"
 
@@ -87,3 +88,38 @@ def test_checked_load_replaces_only_when_checks_pass(spark):
     dq.load_checked(spark.createDataFrame([(7, 7, "x")], "k int, v int, w string"), "test_checked", rule)
     assert rows(spark.table("test_checked")) == [(7, 7, "x")]
     spark.sql("DROP TABLE test_checked")
+
+
+def test_publish_shows_old_rows_or_new(spark, tmp_path):
+    def rows():
+        return sorted(tuple(r) for r in spark.table("test_published").collect())
+
+    make = spark.createDataFrame
+    first = tables.publish(make([(1, 5), (2, None)], "k int, v int"), "test_published", str(tmp_path))
+    held = spark.table("test_published")
+    failing = make([(1, 0)], "k int, v int").select("k", F.assert_true(F.col("v") > 0).cast("int").alias("v"))
+    with pytest.raises(Exception, match="not true"):
+        tables.publish(failing, "test_published", str(tmp_path))
+    assert rows() == [(1, 5), (2, None)]
+    # Other columns, made from the old rows.
+    second = tables.publish(spark.table("test_published").select("k", F.lit("x").alias("w")), "test_published", str(tmp_path))
+    assert rows() == [(1, "x"), (2, "x")] and first != second
+    assert held.count() == 2 and held.columns == ["k", "v"]
+    tables.publish(make([], "k int"), "test_published", str(tmp_path))
+    assert rows() == []
+    spark.sql("DROP VIEW test_published")
+    make([(1,)], "k int").write.saveAsTable("test_a_table")
+    with pytest.raises(ValueError, match="not a published view"):
+        tables.publish(make([(2,)], "k int"), "test_a_table", str(tmp_path))
+    assert spark.table("test_a_table").collect()[0].k == 1
+    spark.sql("DROP TABLE test_a_table")
+
+
+def test_reconcile_by_keys(spark):
+    schema = "k string, v decimal(9,2)"
+    source = spark.createDataFrame([("a", D("1.00")), ("a", D("2.00")), ("b", D("5.00")), (None, D("3.00")), ("same", None), ("near", D("1.00"))], schema)
+    result = spark.createDataFrame([("a", D("3.00")), ("b", D("5.01")), ("c", D("7.00")), ("same", None), ("near", D("1.00"))], schema)
+    got = {tuple(r) for r in dq.reconcile_by(source, result, ["k"], {"v": ("v", "v")}).collect()}
+    assert got == {("a", 2, 1, 3.0, 3.0), ("b", 1, 1, 5.0, 5.01), (None, 1, 0, 3.0, 0.0), ("c", 0, 1, 0.0, 7.0)}
+    assert dq.reconcile_by(source, source, ["k"], {"v": ("v", "v")}).count() == 0
+    assert dq.reconcile_by(source.limit(0), result, ["k"], {}).columns == ["k", "source_rows", "result_rows"]

@@ -217,3 +217,29 @@ def test_exact_percentiles(spark, accuracy):
     for key in {k for k, _ in rows}:
         values = sorted(v for k, v in rows if k == key and v is not None)
         assert got[key] == tuple(values[max(1, math.ceil(D(p) * len(values))) - 1] if values else None for p in points)
+
+
+def test_exact_moments_do_not_depend_on_partitions(spark):
+    from fractions import Fraction
+
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(5)}", D(rng.randrange(-10**9, 10**9)) / 100) for _ in range(3000)]
+    # Close values far from zero, where sums of doubles lose the variance.
+    rows += [("far", D("9999999999.01") + D(i % 3) / 100) for i in range(999)] + [("one", D("4.20")), ("none", None), (None, D("1.00")), (None, D("-1.00")), ("hot", None)]
+    df = spark.createDataFrame(rows, "k string, v decimal(14,2)")
+    answers = [sorted(map(tuple, stats.exact_moments(df.repartition(n), "k", "v").collect()), key=str) for n in (1, 3, 8)]
+    assert answers[0] == answers[1] == answers[2]
+    for k, n, avg, variance, stddev, lo, hi in answers[0]:
+        values = [Fraction(v) for key, v in rows if key == k and v is not None]
+        assert n == len(values)
+        if not values:
+            assert (avg, variance, stddev, lo, hi) == (None,) * 5
+            continue
+        mean = sum(values) / n
+        assert math.isclose(avg, float(mean), rel_tol=1e-15, abs_tol=1e-15) and (lo, hi) == (float(min(values)), float(max(values)))
+        if n == 1:
+            assert variance is None and stddev is None
+        else:
+            exact = float(sum((v - mean) ** 2 for v in values) / (n - 1))
+            assert math.isclose(variance, exact, rel_tol=1e-14) and math.isclose(stddev, math.sqrt(exact), rel_tol=1e-14)
+    assert stats.exact_moments(df.limit(0), "k", "v").count() == 0
