@@ -82,17 +82,14 @@ def distinct_members(df: DataFrame, by: str, key: str, rule: Column) -> DataFram
     )
 
 
-def percentiles(df: DataFrame, by: str, value: str, points: Sequence[float],
+def percentiles(df: DataFrame, by: str, value: str, points: Sequence[float | str],
                 accuracy: int = 10000) -> DataFrame:
-    """Approximate percentiles and variance per class."""
-    x = F.col(value)
-    # One sketch for all points.
-    sketch = F.percentile_approx(x, F.array(*map(F.lit, points)), F.lit(accuracy)).alias("_p")
-    found = df.groupBy(by).agg(sketch, F.round(F.var_samp(x.cast("double")), 6).alias("variance"))
-    return found.select(by, *[F.col("_p")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(points)], "variance")
+    """Exact percentiles, as of ``exact_percentiles``, and the variance per class."""
+    variance = F.round(F.var_samp(F.col(value).cast("double")), 6).alias("variance")
+    return exact_percentiles(df, by, value, points, accuracy, [variance])
 
 
-def exact_percentiles(df: DataFrame, by: str, value: str, points: Sequence[float | str], accuracy: int = 10000) -> DataFrame:
+def exact_percentiles(df: DataFrame, by: str, value: str, points: Sequence[float | str], accuracy: int = 10000, more: Sequence[Column] = ()) -> DataFrame:
     """Percentiles ``p25`` and so on per class: the smallest value with at least that share of the
     class's values at or below it. NULL values do not count; a class without values has NULLs.
 
@@ -101,6 +98,7 @@ def exact_percentiles(df: DataFrame, by: str, value: str, points: Sequence[float
     the rows below each bracket and the values inside, combined on the map side, and picks
     the value at the exact rank. Only the distinct values inside a bracket, about
     eight in ``accuracy`` of a class, are ever sorted together, whatever shares a class.
+    ``more`` are further aggregates of a class, named, which follow the percentiles.
     """
     points = [Decimal(str(p)) for p in points]
     margin = Decimal(4) / accuracy
@@ -123,5 +121,8 @@ def exact_percentiles(df: DataFrame, by: str, value: str, points: Sequence[float
     safe = F.when(F.col("_to") - F.col("_c") >= F.col("_rank"), None).otherwise(F.col("_v"))
     found = found.groupBy("_k").agg(*[F.min(F.when(F.col("_i") == i, safe)).alias(f"_{i}") for i in range(len(points))])
     found = found.withColumnRenamed("_k", "_f")
-    joined = sketch.join(found, F.col("_k").eqNullSafe(F.col("_f")), "left")
-    return joined.select(F.col("_k").alias(by), *[F.col(f"_{i}").alias(f"p{round(p * 100)}") for i, p in enumerate(points)])
+    # One struct, so that no name of the caller's can clash.
+    extra = F.struct(*more) if more else F.lit(None)
+    classes = df.groupBy(F.col(by).alias("_k")).agg(extra.alias("_more"))
+    joined = classes.join(found, F.col("_k").eqNullSafe(F.col("_f")), "left")
+    return joined.select(F.col("_k").alias(by), *[F.col(f"_{i}").alias(f"p{round(p * 100)}") for i, p in enumerate(points)], *(["_more.*"] if more else []))

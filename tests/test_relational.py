@@ -219,6 +219,16 @@ def test_exact_percentiles(spark, accuracy):
         assert got[key] == tuple(values[max(1, math.ceil(D(p) * len(values))) - 1] if values else None for p in points)
 
 
+def test_percentiles_are_exact_among_many_values(spark):
+    # Consecutive values: a sketch that is off by one rank gives another value.
+    n = 60_000
+    df = spark.range(n, numPartitions=7).select(F.lit("k").alias("k"), F.pmod(F.col("id") * 7919, F.lit(n)).cast("double").alias("v"))
+    points = [i / 40 for i in range(1, 40)]
+    row = stats.percentiles(df, "k", "v", points).first()
+    assert row[1:-1] == tuple(float(math.ceil(D(str(p)) * n) - 1) for p in points)
+    assert math.isclose(row.variance, n * (n + 1) / 12)
+
+
 def test_exact_moments_do_not_depend_on_partitions(spark):
     from fractions import Fraction
 
