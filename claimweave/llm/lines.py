@@ -10,6 +10,7 @@ from claimweave.llm.common import components, documents, written
 SHINGLE = 5
 BRIEF = 25  # different shingles of a line that sketches tell too little of
 MEETINGS = 4  # shingles that two lines must share in their rarest before their texts are compared
+LANES = 4  # longs of a line's mark
 SLOT_BITS = 17  # size of the table of shingle counts: 131,072 longs, however many shingles there are
 
 
@@ -58,14 +59,19 @@ def bands() -> Column:
     return F.array_distinct(F.concat(F.coalesce(_bands_of(F.col("whole"), 0), none), F.coalesce(_bands_of(F.col("starts"), 1), none)))
 
 
-def grams(line: Column) -> Column:
-    """The set of ``SHINGLE``-character shingles, as 64-bit hashes (longs make sets in half the
+def _cuts(line: Column) -> Column:
+    """All ``SHINGLE``-character shingles, as 64-bit hashes (longs make sets in half the
     time of texts); a shorter line is one shingle. Four bytes a character make every place a
     plain offset; the outer ``transform`` encodes a line once."""
     width = 4 * SHINGLE
     cut = lambda u: F.transform(F.sequence(F.lit(1), F.length(u) - (width - 1), F.lit(4)), lambda i: F.xxhash64(F.substring(u, i, F.lit(width))))
     every = F.element_at(F.transform(F.array(F.encode(line, "UTF-32")), cut), 1)
-    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(F.array_distinct(every))
+    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(every)
+
+
+def grams(line: Column) -> Column:
+    """The set of a line's shingles."""
+    return F.array_distinct(_cuts(line))
 
 
 def _brief(line: Column) -> Column:
@@ -74,39 +80,68 @@ def _brief(line: Column) -> Column:
     return F.when(F.length(line) < BRIEF + SHINGLE, True).when(few(F.left(line, F.lit(40))), few(line)).otherwise(False)
 
 
-def _alike(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sketches agree as far as a similar pair's would.
+def _alike() -> Column:
+    """Whether the sketches of ``a`` and ``b`` agree as far as a similar pair's would.
 
     Two lines may share a band by chance; a pair at the threshold has under three
     minima in common with probability about 0.001. Sketches of under four minima always pass.
     """
-    left, right = (sketched.select(F.col("k1").alias(k), F.col("whole").alias(f"whole_{k}"), F.col("starts").alias(f"starts_{k}")) for k in ("a", "b"))
     few = lambda c: F.least(F.size(f"{c}_a"), F.size(f"{c}_b")) < 4
     alike = lambda c: F.coalesce(few(c) | (F.size(F.array_intersect(f"{c}_a", f"{c}_b")) > 2), F.lit(False))
-    return pairs.join(left, "a").join(right, "b").where(alike("whole") | alike("starts")).select("a", "b")
+    return alike("whole") | alike("starts")
+
+
+def _met(held: DataFrame, sketched: DataFrame, small: int, redraws: int) -> DataFrame:
+    """Pairs ``(a, b)`` of lines that share a band and whose sketches agree: all of a band of up to
+    ``small`` lines, in larger ones those with its pivot and with ``redraws`` more."""
+    side = lambda df, k: df.select(*[F.col(c).alias(k if c == "k1" else c if c == "band" else f"{c}_{k}") for c in df.columns])
+    # Sketches travel to the bands, where they drop most pairs before these move.
+    near = held.where(F.col("n") <= small).select("k1", "band").join(sketched, "k1").repartition("band")
+    few = side(near, "a").join(side(near, "b"), "band").where((F.col("a") > F.col("b")) & _alike()).select("a", "b")
+    many = held.where(F.col("n") > small)
+    draws = many.select("band", "k1", F.explode(F.sequence(F.lit(1), F.lit(redraws))).alias("draw"))
+    key = F.xxhash64("band", "draw")
+    drawn = draws.groupBy("band", "draw").agg(F.min(F.col("k1").bitwiseXOR(key)).alias("least"))
+    drawn = draws.join(drawn, ["band", "draw"]).select("k1", F.col("least").bitwiseXOR(key).alias("pivot"))
+    drawn = drawn.union(many.select("k1", "pivot")).where("k1 <> pivot").select(F.greatest("k1", "pivot").alias("a"), F.least("k1", "pivot").alias("b")).distinct()
+    drawn = drawn.join(side(sketched, "a"), "a").join(side(sketched, "b"), "b").where(_alike()).select("a", "b")
+    return few.union(drawn).distinct()
+
+
+def _marks(texts: DataFrame) -> DataFrame:
+    """``k1, n, m0`` and so on: how many different shingles a line has, and the parities of 64
+    times ``LANES`` classes of them. Each shingle that only one of two lines has turns one bit."""
+    t = F.col("t")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    lane = F.pmod(F.shiftrightunsigned("t", 6), F.lit(LANES))
+    marks = [F.bit_xor(F.when(lane == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(LANES)]
+    return texts.select("k1", F.explode(grams(F.col("line"))).alias("t")).groupBy("k1").agg(F.count("*").cast("int").alias("n"), *marks)
+
+
+def _near(threshold: float) -> Column:
+    """Whether sizes and marks of ``a`` and ``b`` let them reach the threshold; never false for a pair that does.
+
+    At least as many shingles are in one line only as bits differ, and a similar pair has
+    at most ``(1-t)/(1+t)`` of both sizes of them.
+    """
+    bits = sum((F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(LANES)), F.lit(0))
+    sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
+    return sized & (bits <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+
+
+def _marked(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` that sizes and marks leave, with ``total``, the sum of their sizes."""
+    left, right = (marks.select(*[F.col(c).alias(k if c == "k1" else f"{c}_{k}") for c in marks.columns]) for k in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").where(_near(threshold)).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)`` of lines whose exact Jaccard similarity reaches the threshold."""
+    """The pairs ``(a, b, total)`` of lines whose exact Jaccard similarity reaches the threshold."""
     left, right = (texts.select(F.col("k1").alias(k), F.col("line").alias(f"line_{k}")) for k in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b")
-    # A generator keeps the filter from moving below the shingles, which would make them anew for each mention.
-    both = both.select("a", "b", F.inline(F.array(F.struct(grams(F.col("line_a")).alias("ga"), grams(F.col("line_b")).alias("gb")))))
+    common = F.size(F.array_intersect(_cuts(F.col("line_a")), _cuts(F.col("line_b"))))
     # common >= threshold * (total - common)
-    common, total = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
-    return both.where(common * F.lit(1 + threshold) >= total * F.lit(threshold) - 1e-9).select("a", "b")
-
-
-def _unmet(held: DataFrame, small: int, redraws: int) -> DataFrame:
-    """Pairs of lines that share a band but did not meet its pivot: all of a band of up to
-    ``small`` lines, in larger ones those with ``redraws`` more pivots."""
-    few = held.where(F.col("n").between(3, small)).where("k1 <> pivot").select("band", "k1")
-    met = few.select("band", F.col("k1").alias("a")).join(few.select("band", F.col("k1").alias("b")), "band").where("a < b").select("a", "b")
-    many = held.where(F.col("n") > small).select("band", "k1", F.explode(F.sequence(F.lit(1), F.lit(redraws))).alias("draw"))
-    key = F.xxhash64("band", "draw")
-    drawn = many.groupBy("band", "draw").agg(F.min(F.col("k1").bitwiseXOR(key)).alias("least"))
-    drawn = many.join(drawn, ["band", "draw"]).select(F.col("k1").alias("a"), F.col("least").bitwiseXOR(key).alias("b")).where("a <> b")
-    return met.union(drawn).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return both.where(common * F.lit(1 + threshold) >= F.col("total") * F.lit(threshold) - 1e-9).select("a", "b")
 
 
 def _rarity(sets: DataFrame) -> Column:
@@ -120,7 +155,7 @@ def _rarity(sets: DataFrame) -> Column:
 
 
 def _exact(lines: DataFrame, threshold: float, block: int) -> DataFrame:
-    """All pairs ``(a, b)`` of ``lines`` (``k1, root, line``) of different roots that reach the threshold.
+    """All pairs ``(a, b)`` of ``lines`` (``k1, root, line`` and marks) of different roots that reach the threshold.
 
     Prefix filtering: with the shingles of every set in one order, rarest first, a
     similar pair has ``MEETINGS`` in common (or all it needs, if fewer) among the first
@@ -128,34 +163,37 @@ def _exact(lines: DataFrame, threshold: float, block: int) -> DataFrame:
     larger. Any one order is right; this
     one asks a table of fixed size for the counts, so that shingles need not meet to be
     ordered. Sets that meet under a shingle are joined block against block; those of the
-    root that most of them have are not joined with each other.
+    root that most of them have are not joined with each other. Marks travel with the
+    sets and drop most meetings before these are counted.
     """
-    sets = lines.select("k1", "root", grams(F.col("line")).alias("g"))
+    marks = [f"m{i}" for i in range(LANES)]
+    sets = lines.select("k1", "root", "n", *marks, grams(F.col("line")).alias("g"))
     rarity = _rarity(sets)
     step = lambda t: F.ascii(F.substring(rarity, F.shiftrightunsigned(t, 64 - SLOT_BITS).cast("int") + 1, F.lit(1)).cast("string"))
     key = lambda t: F.shiftleft(step(t).cast("long"), 48).bitwiseOR(t.bitwiseAND(F.lit((1 << 48) - 1)))
-    ordered = sets.select("k1", "root", F.size("g").alias("n"), F.sort_array(F.transform("g", key)).alias("g"))
+    ordered = sets.select("k1", "root", "n", *marks, F.sort_array(F.transform("g", key)).alias("g"))
     first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + MEETINGS
-    rows = ordered.select("k1", "root", "n", first(2 * threshold / (1 + threshold)).alias("short"), F.posexplode(F.slice("g", F.lit(1), first(threshold).cast("int"))).alias("i", "t"))
+    rows = ordered.select("k1", "root", "n", *marks, first(2 * threshold / (1 + threshold)).alias("short"), F.posexplode(F.slice("g", F.lit(1), first(threshold).cast("int"))).alias("i", "t"))
     # Three steps: it occurs once.
-    rows = written(rows.where(F.shiftright("t", 48) > 3).select("k1", "root", "n", "i", "t", (F.col("i") < F.col("short")).alias("index")), "line-prefixes")
+    rows = written(rows.where(F.shiftright("t", 48) > 3).select("k1", "root", "n", *marks, "i", "t", (F.col("i") < F.col("short")).alias("index")), "line-prefixes")
     tokens = rows.groupBy("t", "root").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("root", "m").alias("main"), F.sum("m").alias("m"), F.count("*").alias("roots"))
     rows = rows.join(tokens.where("roots > 1").select("t", "main", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks")), "t")
     own, every = F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     # Side 1 joins sets of the main root with the others, side 0 the others with all.
-    left = rows.where("index").select("t", own.alias("p"), every.alias("q"), (F.col("root") == F.col("main")).cast("int").alias("side"), *[F.col(c).alias(f"{c}_a") for c in ("k1", "root", "n", "i")])
+    left = rows.where("index").select("t", own.alias("p"), every.alias("q"), (F.col("root") == F.col("main")).cast("int").alias("side"), *[F.col(c).alias(f"{c}_a") for c in ("k1", "root", "n", "i", *marks)])
     right = rows.select("*", F.explode(F.when(F.col("root") == F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    right = right.select("t", every.alias("p"), own.alias("q"), "side", *[F.col(c).alias(f"{c}_b") for c in ("k1", "root", "n", "i")])
+    right = right.select("t", every.alias("p"), own.alias("q"), "side", *[F.col(c).alias(f"{c}_b") for c in ("k1", "root", "n", "i", *marks)])
     met = left.join(right, ["t", "p", "q", "side"]).where("root_a <> root_b AND (n_a < n_b OR n_a = n_b AND k1_a < k1_b)")
     # What can be common at most, with these places in the order.
     most = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    met = met.where((F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (most * (1 + threshold) >= (F.col("n_a") + F.col("n_b")) * threshold - 1e-9))
+    met = met.where(_near(threshold) & (most * (1 + threshold) >= (F.col("n_a") + F.col("n_b")) * threshold - 1e-9))
     need = F.least(F.lit(MEETINGS), F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9))
-    pairs = met.groupBy(F.greatest("k1_a", "k1_b").alias("a"), F.least("k1_a", "k1_b").alias("b"), need.alias("need")).agg(F.count("*").alias("c"))
-    return _similar(pairs.where("c >= need").select("a", "b"), lines, threshold)
+    total = (F.col("n_a") + F.col("n_b")).alias("total")
+    pairs = met.groupBy(F.greatest("k1_a", "k1_b").alias("a"), F.least("k1_a", "k1_b").alias("b"), need.alias("need"), total).agg(F.count("*").alias("c"))
+    return _similar(pairs.where("c >= need").select("a", "b", "total"), lines, threshold)
 
 
-def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, small: int = 16, redraws: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, small: int = 64, redraws: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a line to remove: ``doc_id, line_no, kept_doc_id, kept_line_no, exact, text_hash``.
 
     A component holds the lines that are equal or linked by a Jaccard similarity of
@@ -166,11 +204,11 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     a hash of their texts, which ``text_hash`` names; equal rows are one document.
 
     Equal lines are combined before any shuffle. Each different line has up to
-    ``2 * keep`` band keys. In a band a pivot is drawn by a hash that differs from
-    band to band, and every line is paired with the pivots of its bands: linear in
-    the lines, however large a band. In bands of up to ``small`` lines all pairs are
-    added, in larger ones those with ``redraws`` more pivots. Pairs whose sketches
-    agree are verified exactly; only their lines are fetched. Lines that a band of more
+    ``2 * keep`` band keys. In bands of up to ``small`` lines all pairs meet. In a larger
+    one a pivot is drawn by a hash that differs from band to band, and ``redraws`` more;
+    every line is paired with them: linear in the lines, however large a band. Pairs whose
+    sketches agree, and whose marks (see ``_marks``) allow it, are verified exactly; only their
+    lines are fetched. Lines that a band of more
     than ``small`` holds, and lines of up to ``BRIEF`` different shingles, are then
     compared by ``_exact`` wherever these links have not joined them, so that neither
     a crowded band nor a short line loses a pair. Lines are told apart by 128 bits of
@@ -184,8 +222,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     # The pivot: least after an exclusive or with the band key, another order in each band.
     pivots = rows.groupBy("band").agg(F.min(F.col("k1").bitwiseXOR(F.col("band"))).alias("least"), F.count("*").alias("n")).where("n > 1")
     held = written(rows.join(pivots, "band").select("k1", "band", "n", F.col("least").bitwiseXOR(F.col("band")).alias("pivot")), "line-bands")
-    met = held.where("k1 <> pivot").select(F.greatest("k1", "pivot").alias("a"), F.least("k1", "pivot").alias("b"))
-    pairs = written(_alike(met.union(_unmet(held, small, redraws)).distinct(), sketched), "line-pairs")
+    pairs = written(_met(held, sketched.drop("brief"), small, redraws), "line-pairs")
     # Lines that their bands leave open are compared in the end; each text is fetched once.
     open_ = held.where(F.col("n") > small).select("k1").union(sketched.where("brief").select("k1")).withColumn("open", F.lit(True))
     paired = pairs.select(F.explode(F.array("a", "b")).alias("k1"), F.lit(False).alias("open"))
@@ -193,9 +230,11 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     wanted = written(paired.union(open_).groupBy("k1").agg(F.max("open").alias("open")), "line-wanted")
     texts = lines.select("k1", "line").join(wanted, "k1").groupBy("k1", "open").agg(F.min("line").alias("line"))
     texts = written(texts, "line-texts")
-    groups = written(components(_similar(pairs, texts, threshold)), "line-groups")
+    marks = written(_marks(texts), "line-marks")
+    close = written(_marked(pairs, marks, threshold), "line-close")
+    groups = written(components(_similar(close, texts, threshold)), "line-groups")
     # Exactly, between the groups found so far.
-    rest = texts.where("open").join(groups.withColumnRenamed("node", "k1"), "k1", "left").select("k1", F.coalesce("root", "k1").alias("root"), "line")
+    rest = texts.where("open").join(groups.withColumnRenamed("node", "k1"), "k1", "left").select("k1", F.coalesce("root", "k1").alias("root"), "line").join(marks, "k1")
     more = written(_exact(written(rest, "line-rest"), threshold, block), "line-links")
     groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from claimweave.llm import decontam, jaccard, langid, lines, queries, spm, suffix
@@ -325,6 +326,41 @@ def test_template_lines(make):
     assert {r.doc_id: r.kept_doc_id for r in few} == {x: r for x, r in matrix_lines(texts[2000:2600])[0].items() if x != r}
 
 
+def test_marks_keep_every_similar_pair(spark):
+    rng = random.Random(6)
+    texts = []
+    for n in (1, 3, 12, 40, 90):
+        for _ in range(30):
+            words = [f"{rng.choice(['al', 'be', 'ga', 'de'])}{rng.randrange(90)}" for _ in range(n)]
+            edited = list(words)
+            for _ in range(rng.randrange(1 + n // 10)):
+                edited[rng.randrange(n)] += "s"
+            texts += [" ".join(words), " ".join(edited) + rng.choice(["", ".", "-----------"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "k1 long, line string")
+    every = df.select(F.col("k1").alias("a")).join(df.select(F.col("k1").alias("b")), F.col("a") > F.col("b"))
+    sets = [{x[i:i + 5] for i in range(max(1, len(x) - 4))} for x in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    close = lines._marked(every, lines._marks(df), 0.8).cache()
+    got = {(r.a, r.b): r.total for r in close.collect()}
+    assert len(want) > 50 and want <= set(got) and len(got) < 0.1 * len(texts) ** 2 / 2
+    assert all(total == len(sets[a]) + len(sets[b]) for (a, b), total in got.items())
+    assert {(r.a, r.b) for r in lines._similar(close, df, 0.8).collect()} == want
+
+
+def test_bands_of_some_lines_are_compared_where_they_meet(make, monkeypatch):
+    # 40 lines of one template, some of them copies but for a word: no line is left to the prefixes.
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 8)))
+    notice = [word() for _ in range(30)]
+    family = [[*notice[:12], *(word() for _ in range(5)), *notice[12:]] for _ in range(30)]
+    texts = [" ".join(x) for x in family + [[*x[:14], word(), *x[15:]] for x in family[:10]]]
+    rows, write = {}, lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: rows.setdefault(name, write(df, name)))
+    got = {r.doc_id: r.kept_doc_id for r in lines.duplicate_lines(make(list(enumerate(texts)))).collect()}
+    assert got == {x: r for x, r in matrix_lines(texts)[0].items() if x != r} and len(got) >= 10
+    assert rows["line-rest"].count() == 0
+
+
 def test_short_lines(make):
     texts = ["-----", "--------", "-" * 300, "======", "=====", "Continue", "Continue.", "Chapter 1", "Chapter 10", "abcdefghi", "abcdefghij", "abcd", "abc", "abcde"]
     rng = random.Random(4)
