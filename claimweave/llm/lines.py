@@ -9,7 +9,7 @@ from claimweave.llm.common import components, documents, written
 
 SHINGLE = 5
 BRIEF = 25  # different shingles of a line that sketches tell too little of
-MEETINGS = 4  # shingles that two lines must share in their rarest before their texts are compared
+LEAF = 16  # lines of a leaf that are all compared with each other
 LANES = 4  # longs of a line's mark
 SLOT_BITS = 17  # size of the table of shingle counts: 131,072 longs, however many shingles there are
 
@@ -91,21 +91,64 @@ def _alike() -> Column:
     return alike("whole") | alike("starts")
 
 
-def _met(held: DataFrame, sketched: DataFrame, small: int, redraws: int) -> DataFrame:
-    """Pairs ``(a, b)`` of lines that share a band and whose sketches agree: all of a band of up to
-    ``small`` lines, in larger ones those with its pivot and with ``redraws`` more."""
-    side = lambda df, k: df.select(*[F.col(c).alias(k if c == "k1" else c if c == "band" else f"{c}_{k}") for c in df.columns])
+def _pairs_in(df: DataFrame, key: str, when: Column | None = None) -> DataFrame:
+    """All pairs ``(a, b)``, ``a > b``, of the rows of ``df`` that share ``key``."""
+    side = lambda k: df.select(*[F.col(c).alias(k if c == "k1" else c if c == key else f"{c}_{k}") for c in df.columns])
+    ordered = F.col("a") > F.col("b")
+    return side("a").join(side("b"), key).where(ordered if when is None else ordered & when).select("a", "b")
+
+
+def _met(held: DataFrame, sketched: DataFrame, small: int) -> DataFrame:
+    """Pairs ``(a, b)`` of lines that share a band of up to ``small`` lines and whose sketches agree."""
     # Sketches travel to the bands, where they drop most pairs before these move.
     near = held.where(F.col("n") <= small).select("k1", "band").join(sketched, "k1").repartition("band")
-    few = side(near, "a").join(side(near, "b"), "band").where((F.col("a") > F.col("b")) & _alike()).select("a", "b")
-    many = held.where(F.col("n") > small)
-    draws = many.select("band", "k1", F.explode(F.sequence(F.lit(1), F.lit(redraws))).alias("draw"))
-    key = F.xxhash64("band", "draw")
-    drawn = draws.groupBy("band", "draw").agg(F.min(F.col("k1").bitwiseXOR(key)).alias("least"))
-    drawn = draws.join(drawn, ["band", "draw"]).select("k1", F.col("least").bitwiseXOR(key).alias("pivot"))
-    drawn = drawn.union(many.select("k1", "pivot")).where("k1 <> pivot").select(F.greatest("k1", "pivot").alias("a"), F.least("k1", "pivot").alias("b")).distinct()
-    drawn = drawn.join(side(sketched, "a"), "a").join(side(sketched, "b"), "b").where(_alike()).select("a", "b")
-    return few.union(drawn).distinct()
+    return _pairs_in(near, "band", _alike())
+
+
+def _leaves(held: DataFrame, sketched: DataFrame, small: int) -> DataFrame:
+    """``k1, leaf, n``: bands of over ``small`` lines, split by every third minimum of a line's sketch.
+
+    A pair that ``_alike`` lets pass has three minima in common, so it shares a leaf. Sketches
+    of up to five minima keep the band itself as well, for partners that have only one or two.
+    """
+    def split(sketch: Column, kind: int) -> Column:
+        at = lambda i: F.element_at(sketch, i)
+        crowded = F.filter(F.sequence(F.lit(1), F.size(sketch) - 1), lambda i: F.array_contains("crowded", F.xxhash64(F.lit(kind), at(i), at(i + 1))))
+        third = lambda i: F.filter(sketch, lambda m: (m != at(i)) & (m != at(i + 1)))
+        three = F.transform(crowded, lambda i: F.transform(third(i), lambda m: F.xxhash64(F.lit(kind), F.sort_array(F.array(at(i), at(i + 1), m)))))
+        none = F.array().cast("array<bigint>")
+        short = F.when(F.size(sketch) <= 5, F.array_intersect(_bands_of(sketch, kind), "crowded")).otherwise(none)
+        return F.coalesce(F.concat(F.when(F.size(sketch) > 1, F.flatten(three)).otherwise(none), short), none)
+
+    many = held.where(F.col("n") > small).groupBy("k1").agg(F.collect_set("band").alias("crowded")).join(sketched, "k1")
+    leaves = many.select("k1", F.explode(F.array_distinct(F.concat(split(F.col("whole"), 0), split(F.col("starts"), 1)))).alias("leaf")).repartition("leaf")
+    return leaves.join(leaves.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), "leaf").select("k1", "leaf", "n")
+
+
+def _families(leaves: DataFrame, most: int, groups: DataFrame | None = None) -> DataFrame:
+    """``k1, pivot``: each line of a leaf of over ``most`` lines with the leaf's pivot, the line
+    that most such leaves hold; with ``groups``, that of the root that most lines of the leaf have,
+    which is near to these. Leaves alike have few pivots between them."""
+    big = leaves.where(F.col("n") > most).select("k1", "leaf")
+    weights = big.groupBy("k1").agg(F.count("*").alias("leaves"))
+    central = F.max(F.struct("leaves", "k1")).getField("k1").alias("pivot")
+    if groups is None:
+        pivots = big.join(weights, "k1").groupBy("leaf").agg(central)
+        return big.join(pivots, "leaf").select("k1", "pivot").distinct()
+    rooted = weights.join(groups.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+    main = big.join(rooted, "k1").groupBy("leaf", "root").agg(F.count("*").alias("m")).groupBy("leaf").agg(F.max(F.struct("m", "root")).getField("root").alias("root"))
+    pivots = main.join(rooted.groupBy("root").agg(central), "root")
+    return big.join(pivots, "leaf").select("k1", "pivot").distinct()
+
+
+def _drawn(families: DataFrame, redraws: int) -> DataFrame:
+    """Pairs ``(a, b)`` of the lines of a family with its pivot and with ``redraws`` of its lines, drawn by hash."""
+    draws = families.select("pivot", "k1", F.explode(F.sequence(F.lit(1), F.lit(redraws))).alias("draw"))
+    key = F.xxhash64("pivot", "draw")
+    least = draws.groupBy("pivot", "draw").agg(F.min(F.col("k1").bitwiseXOR(key)).alias("least"))
+    drawn = families.join(least, "pivot").select("k1", F.col("least").bitwiseXOR(key).alias("other"))
+    drawn = drawn.union(families.select("k1", "pivot")).where("k1 <> other")
+    return drawn.select(F.greatest("k1", "other").alias("a"), F.least("k1", "other").alias("b"))
 
 
 def _marks(texts: DataFrame) -> DataFrame:
@@ -154,43 +197,89 @@ def _rarity(sets: DataFrame) -> Column:
     return F.lit(bytes(steps))
 
 
-def _exact(lines: DataFrame, threshold: float, block: int) -> DataFrame:
-    """All pairs ``(a, b)`` of ``lines`` (``k1, root, line`` and marks) of different roots that reach the threshold.
+def _middles(members: DataFrame, lines: DataFrame, draws: int = 15) -> DataFrame:
+    """``pivot, g_p``: the shingles that most of up to ``draws`` lines of a family have.
 
-    Prefix filtering: with the shingles of every set in one order, rarest first, a
-    similar pair has ``MEETINGS`` in common (or all it needs, if fewer) among the first
-    ``n - 2t/(1+t) n + MEETINGS`` of the smaller set and the first ``n - tn + MEETINGS`` of the
-    larger. Any one order is right; this
-    one asks a table of fixed size for the counts, so that shingles need not meet to be
-    ordered. Sets that meet under a shingle are joined block against block; those of the
-    root that most of them have are not joined with each other. Marks travel with the
-    sets and drop most meetings before these are counted.
+    ``members`` has ``k1, pivot``. Any set would do for ``_exact``; this one leaves the least
+    differences, as a single line's own words would differ from all others.
+    """
+    key = F.xxhash64("pivot", "draw")
+    drawn = members.select("pivot", "k1", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    drawn = drawn.groupBy("pivot", "draw").agg(F.min(F.col("k1").bitwiseXOR(key)).alias("least")).select("pivot", F.col("least").bitwiseXOR(key).alias("k1")).distinct()
+    held = drawn.groupBy("pivot").agg(F.count("*").alias("drawn"))
+    counts = drawn.join(lines.select("k1", F.explode(grams(F.col("line"))).alias("t")), "k1").groupBy("pivot", "t").agg(F.count("*").alias("c"))
+    return counts.join(held, "pivot").groupBy("pivot").agg(F.collect_list(F.when(F.col("c") * 2 > F.col("drawn"), F.col("t"))).alias("g_p"))
+
+
+def _exact(lines: DataFrame, families: DataFrame, threshold: float, block: int) -> DataFrame:
+    """All pairs ``(a, b)`` of different roots that reach the threshold, of the lines that share a
+    pivot and of the brief ones; ``lines`` has ``k1, root, line, brief`` and marks, ``families`` ``k1, pivot``.
+
+    Prefix filtering on what tells lines from the middle of a family (see ``_middles``): with
+    ``x`` and ``y`` shingles that only one of ``a`` and the middle, of ``b`` and the middle has, a
+    similar pair has at most ``d = r (n_a + n_b)``, ``r = (1-t)/(1+t)``, that only one of ``a`` and
+    ``b`` has, so that at least ``(x + y - d)/2`` are in both differences. A line is ``x - r n``
+    over; the pair is similar for certain if both together are not over zero, so all lines are
+    linked with the nearest where that holds, and the others, the far ones, have some
+    difference in common with any line that is similar. So what all lines of a family share, such
+    as a template, makes none meet. Differences are in one order, rarest first. Where the
+    partner is far, the first half or so must hold a common one; far lines are also looked up
+    with what near partners ask for. Brief lines have the empty set as their middle.
+
+    Any one order is right; this one asks a table of fixed size for the counts, so that
+    shingles need not meet to be ordered. Sets that meet under a shingle are joined block against
+    block; those of the root that most of them have are not joined with each other. Marks travel
+    with the sets and drop most meetings before texts are compared.
     """
     marks = [f"m{i}" for i in range(LANES)]
-    sets = lines.select("k1", "root", "n", *marks, grams(F.col("line")).alias("g"))
+    share = (1 - threshold) / (1 + threshold)
+    # A family of one root is done.
+    rooted = families.join(lines.select("k1", "root"), "k1").join(lines.select(F.col("k1").alias("pivot"), F.col("root").alias("own")), "pivot")
+    split = rooted.groupBy("pivot").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("pivot")
+    # Written, so that its size is known.
+    pivots = written(_middles(rooted.where("root = own").select("pivot", "k1").join(split, "pivot"), lines), "line-pivots")
+    kinds = families.join(pivots, "pivot").join(lines.select("k1", "root", "n", *marks, grams(F.col("line")).alias("g")), "k1")
+    # The pivot and the side are part of a shingle's hash.
+    only = lambda one, other, side: F.transform(F.array_except(one, other), lambda t: F.xxhash64(t, "pivot", F.lit(side)))
+    kinds = kinds.select("k1", "pivot", "root", "n", *marks, F.size("g_p").alias("n_p"), F.concat(only("g", "g_p", 0), only("g_p", "g", 1)).alias("g"))
+    brief = lines.where("brief").select("k1", F.lit(0).cast("long").alias("pivot"), "root", "n", *marks, F.lit(0).alias("n_p"), grams(F.col("line")).alias("g"))
+    sets = written(kinds.union(brief), "line-differences")
     rarity = _rarity(sets)
     step = lambda t: F.ascii(F.substring(rarity, F.shiftrightunsigned(t, 64 - SLOT_BITS).cast("int") + 1, F.lit(1)).cast("string"))
     key = lambda t: F.shiftleft(step(t).cast("long"), 48).bitwiseOR(t.bitwiseAND(F.lit((1 << 48) - 1)))
-    ordered = sets.select("k1", "root", "n", *marks, F.sort_array(F.transform("g", key)).alias("g"))
-    first = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-9) + MEETINGS
-    rows = ordered.select("k1", "root", "n", *marks, first(2 * threshold / (1 + threshold)).alias("short"), F.posexplode(F.slice("g", F.lit(1), first(threshold).cast("int"))).alias("i", "t"))
+    n, n_p, x, over = F.col("n"), F.col("n_p"), F.col("x"), F.col("over")
+    up = lambda c: F.greatest(F.ceil(c - 1e-9), F.lit(1)).cast("int")
+    scored = sets.withColumn("x", F.size("g")).withColumn("over", x - n * share)
+    nearest = scored.groupBy("pivot").agg(F.min(F.struct("over", "k1", "root")).alias("m")).select("pivot", F.col("m.over").alias("least"), F.col("m.k1").alias("nearest"), F.col("m.root").alias("main"))
+    scored = scored.join(nearest, "pivot").withColumn("far", over + F.col("least") > 1e-9)
+    sure = scored.where("NOT far AND k1 <> nearest").select(F.col("k1").alias("a"), F.col("nearest").alias("b"))
+    ordered = scored.withColumn("root", F.when(F.col("far"), F.col("root")).otherwise(F.col("main"))).withColumns({
+        # The least in common with a far partner, and of a far line with any.
+        "half": x + 1 - up(F.greatest(over - F.col("least"), over + n * (threshold * (1 - share)) - n_p) / 2),
+        "whole": x + 1 - up((over + F.col("least")) / 2),
+    })
+    named = ["k1", "pivot", "root", "n", *marks, "x", "far", "half"]
+    rows = ordered.select(*named, F.posexplode(F.slice(F.sort_array(F.transform("g", key)), F.lit(1), F.greatest(F.col("half"), F.when(F.col("far"), F.col("whole")), F.lit(0)))).alias("i", "t"))
     # Three steps: it occurs once.
-    rows = written(rows.where(F.shiftright("t", 48) > 3).select("k1", "root", "n", *marks, "i", "t", (F.col("i") < F.col("short")).alias("index")), "line-prefixes")
+    rows = written(rows.where(F.shiftright("t", 48) > 3).withColumn("first", F.col("i") < F.col("half")), "line-prefixes")
     tokens = rows.groupBy("t", "root").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("root", "m").alias("main"), F.sum("m").alias("m"), F.count("*").alias("roots"))
     rows = rows.join(tokens.where("roots > 1").select("t", "main", F.ceil(F.col("m") / F.lit(block)).cast("int").alias("blocks")), "t")
     own, every = F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sent = ["k1", "root", "n", "x", "i", "far", "first", *marks]
     # Side 1 joins sets of the main root with the others, side 0 the others with all.
-    left = rows.where("index").select("t", own.alias("p"), every.alias("q"), (F.col("root") == F.col("main")).cast("int").alias("side"), *[F.col(c).alias(f"{c}_a") for c in ("k1", "root", "n", "i", *marks)])
-    right = rows.select("*", F.explode(F.when(F.col("root") == F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
-    right = right.select("t", every.alias("p"), own.alias("q"), "side", *[F.col(c).alias(f"{c}_b") for c in ("k1", "root", "n", "i", *marks)])
-    met = left.join(right, ["t", "p", "q", "side"]).where("root_a <> root_b AND (n_a < n_b OR n_a = n_b AND k1_a < k1_b)")
-    # What can be common at most, with these places in the order.
-    most = F.least("i_a", "i_b") + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    met = met.where(_near(threshold) & (most * (1 + threshold) >= (F.col("n_a") + F.col("n_b")) * threshold - 1e-9))
-    need = F.least(F.lit(MEETINGS), F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9))
-    total = (F.col("n_a") + F.col("n_b")).alias("total")
-    pairs = met.groupBy(F.greatest("k1_a", "k1_b").alias("a"), F.least("k1_a", "k1_b").alias("b"), need.alias("need"), total).agg(F.count("*").alias("c"))
-    return _similar(pairs.where("c >= need").select("a", "b", "total"), lines, threshold)
+    left = rows.where("first").select("t", own.alias("p"), every.alias("q"), (F.col("root") == F.col("main")).cast("int").alias("side"), *[F.col(c).alias(f"{c}_a") for c in sent])
+    right = rows.where("far").select("*", F.explode(F.when(F.col("root") == F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    right = right.select("t", "pivot", every.alias("p"), own.alias("q"), "side", *[F.col(c).alias(f"{c}_b") for c in sent])
+    met = left.join(right, ["t", "p", "q", "side"]).where("root_a <> root_b AND (NOT far_a OR first_b AND k1_a < k1_b)")
+    # What must be common, and what can be at most, with these places in the order.
+    need = (F.col("x_a") + F.col("x_b") - (F.col("n_a") + F.col("n_b")) * share - 1e-9) / 2
+    most = F.least("i_a", "i_b") + F.least(F.col("x_a") - F.col("i_a"), F.col("x_b") - F.col("i_b"))
+    met = met.where(_near(threshold) & (most >= need))
+    pairs = written(met.groupBy(F.greatest("k1_a", "k1_b").alias("a"), F.least("k1_a", "k1_b").alias("b"), "pivot").agg(F.count("*").alias("c")), "line-meetings")
+    # The differences from one pivot tell the difference of two lines.
+    one, other = (sets.select(F.col("k1").alias(k), "pivot", F.col("n").alias(f"n_{k}"), F.col("g").alias(f"g_{k}"), F.size("g").alias(f"x_{k}")) for k in ("a", "b"))
+    both = pairs.select("a", "b", "pivot").join(one, ["a", "pivot"]).join(other, ["b", "pivot"])
+    return both.where(F.size(F.array_intersect("g_a", "g_b")) >= need).select("a", "b").union(sure).distinct()
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, small: int = 64, redraws: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,15 +305,18 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     """
     lines = lines_of(docs, id_col, text_col)
     sketched = sketches(lines.select("k1", "line"), keep).select("k1", F.struct("whole", "starts", _brief(F.col("line")).alias("brief")).alias("s"))
-    sketched = written(sketched.groupBy("k1").agg(F.first("s").alias("s")).select("k1", "s.*"), "line-sketches")
-    # One exchange serves the pivots and the join with them.
+    sketched = written(sketched.groupBy("k1").agg(F.first("s").alias("s"), F.count("*").alias("places")).select("k1", "places", "s.*"), "line-sketches")
+    # One exchange serves the counts and the join with them, as both ask for ``k1``.
     rows = sketched.select("k1", F.explode(bands()).alias("band")).repartition("band")
-    # The pivot: least after an exclusive or with the band key, another order in each band.
-    pivots = rows.groupBy("band").agg(F.min(F.col("k1").bitwiseXOR(F.col("band"))).alias("least"), F.count("*").alias("n")).where("n > 1")
-    held = written(rows.join(pivots, "band").select("k1", "band", "n", F.col("least").bitwiseXOR(F.col("band")).alias("pivot")), "line-bands")
-    pairs = written(_met(held, sketched.drop("brief"), small, redraws), "line-pairs")
+    counts = rows.groupBy("band").agg(F.count("k1").alias("n")).where("n > 1")
+    held = written(rows.join(counts, "band").select("k1", "band", "n"), "line-bands")
+    told = sketched.select("k1", "whole", "starts")
+    leaves = written(_leaves(held, told, small), "line-leaves")
+    families = written(_families(leaves, LEAF), "line-families")
+    few = _pairs_in(leaves.where(F.col("n") <= LEAF).select("k1", "leaf"), "leaf")
+    pairs = written(_met(held, told, small).union(few).union(_drawn(families, redraws)).distinct(), "line-pairs")
     # Lines that their bands leave open are compared in the end; each text is fetched once.
-    open_ = held.where(F.col("n") > small).select("k1").union(sketched.where("brief").select("k1")).withColumn("open", F.lit(True))
+    open_ = families.select("k1").union(sketched.where("brief").select("k1")).withColumn("open", F.lit(True))
     paired = pairs.select(F.explode(F.array("a", "b")).alias("k1"), F.lit(False).alias("open"))
     # Written, so that its size is known: Spark broadcasts it if small, else joins by key.
     wanted = written(paired.union(open_).groupBy("k1").agg(F.max("open").alias("open")), "line-wanted")
@@ -234,11 +326,16 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     close = written(_marked(pairs, marks, threshold), "line-close")
     groups = written(components(_similar(close, texts, threshold)), "line-groups")
     # Exactly, between the groups found so far.
-    rest = texts.where("open").join(groups.withColumnRenamed("node", "k1"), "k1", "left").select("k1", F.coalesce("root", "k1").alias("root"), "line").join(marks, "k1")
-    more = written(_exact(written(rest, "line-rest"), threshold, block), "line-links")
-    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-
-    seen = lines.select("doc_id", "text_hash", "line_no", "at", "k1", "k2")
+    rest = texts.where("open").join(groups.withColumnRenamed("node", "k1"), "k1", "left").select("k1", F.coalesce("root", "k1").alias("root"), "line")
+    rest = written(rest.join(marks, "k1").join(sketched.select("k1", "brief"), "k1"), "line-rest")
+    near = written(_families(leaves, LEAF, groups), "line-nearest")
+    more = written(_exact(rest, near, threshold, block), "line-links")
+    groups = written(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "line-components")
+
+    # Lines of one place and no link stay; the others' places are looked up.
+    again = written(sketched.where("places > 1").select("k1").union(groups.select("node")).distinct(), "line-again")
+    seen = written(lines.select("doc_id", "text_hash", "line_no", "k1", "k2").join(again, "k1"), "line-places")
+    seen = seen.withColumn("at", F.struct("doc_id", "text_hash", "line_no"))
     first = seen.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     first = first.join(groups.withColumnRenamed("node", "k1"), "k1", "left")
     roots = first.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("kept"))
