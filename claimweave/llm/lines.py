@@ -293,14 +293,13 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     a hash of their texts, which ``text_hash`` names; equal rows are one document.
 
     Equal lines are combined before any shuffle. Each different line has up to
-    ``2 * keep`` band keys. In bands of up to ``small`` lines all pairs meet. In a larger
-    one a pivot is drawn by a hash that differs from band to band, and ``redraws`` more;
-    every line is paired with them: linear in the lines, however large a band. Pairs whose
-    sketches agree, and whose marks (see ``_marks``) allow it, are verified exactly; only their
-    lines are fetched. Lines that a band of more
-    than ``small`` holds, and lines of up to ``BRIEF`` different shingles, are then
-    compared by ``_exact`` wherever these links have not joined them, so that neither
-    a crowded band nor a short line loses a pair. Lines are told apart by 128 bits of
+    ``2 * keep`` band keys. In bands of up to ``small`` lines all pairs meet. Larger ones are
+    split by third minima into leaves; in leaves of up to ``LEAF`` lines all pairs meet, and the
+    lines of larger ones are a family, paired with a pivot and ``redraws`` of its lines: linear,
+    however large a band. Pairs whose sketches agree, and whose marks (see ``_marks``) allow it,
+    are verified exactly; only their lines are fetched. Families, and lines of up to ``BRIEF``
+    different shingles, are then compared by ``_exact`` wherever these links have not joined
+    them. Lines are told apart by 128 bits of
     hash and linked by 64.
     """
     lines = lines_of(docs, id_col, text_col)

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from claimweave.llm import decontam, jaccard, langid, lines, queries, spm, suffix
-from claimweave.llm.common import components, written
+from claimweave.llm.common import components, shared_dir, written
 
 
 def union_find(links):
@@ -326,6 +327,24 @@ def test_template_lines(make):
     assert {r.doc_id: r.kept_doc_id for r in few} == {x: r for x, r in matrix_lines(texts[2000:2600])[0].items() if x != r}
 
 
+def test_lines_of_a_family_rarely_meet(make, spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    notice = [word() for _ in range(40)]
+    texts = []
+    for _ in range(400):
+        words = list(notice)
+        for i in rng.sample(range(40), rng.choice([1, 6])):
+            words[i] = word()
+        texts.append(" ".join(words))
+    roots, _ = matrix_lines(texts)
+    before = set(Path(shared_dir(spark)).glob("line-meetings-*"))
+    got = {r.doc_id: r.kept_doc_id for r in lines.duplicate_lines(make(list(enumerate(texts)))).collect()}
+    assert got == {x: r for x, r in roots.items() if x != r}
+    new, = set(Path(shared_dir(spark)).glob("line-meetings-*")) - before
+    assert spark.read.parquet(str(new)).count() < len(texts) ** 2 / 20
+
+
 def test_marks_keep_every_similar_pair(spark):
     rng = random.Random(6)
     texts = []
