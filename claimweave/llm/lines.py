@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import components, documents, written
+from claimweave.llm.common import BITMAP_BITS, components, documents, written
 
 SHINGLE = 5
 BRIEF = 25  # different shingles of a line that sketches tell too little of
 LEAF = 16  # lines of a leaf that are all compared with each other
 LANES = 4  # longs of a line's mark
+WIDE = 16  # longs of the mark of a family's line
+ROW = 400  # pairs of marks that may be compared at the cost of two rows of a prefix; an estimate
 SLOT_BITS = 17  # size of the table of shingle counts: 131,072 longs, however many shingles there are
 
 
@@ -151,23 +153,23 @@ def _drawn(families: DataFrame, redraws: int) -> DataFrame:
     return drawn.select(F.greatest("k1", "other").alias("a"), F.least("k1", "other").alias("b"))
 
 
-def _marks(texts: DataFrame) -> DataFrame:
+def _marks(texts: DataFrame, lanes: int = LANES) -> DataFrame:
     """``k1, n, m0`` and so on: how many different shingles a line has, and the parities of 64
-    times ``LANES`` classes of them. Each shingle that only one of two lines has turns one bit."""
+    times ``lanes`` classes of them. Each shingle that only one of two lines has turns one bit."""
     t = F.col("t")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    lane = F.pmod(F.shiftrightunsigned("t", 6), F.lit(LANES))
-    marks = [F.bit_xor(F.when(lane == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(LANES)]
+    lane = F.pmod(F.shiftrightunsigned("t", 6), F.lit(lanes))
+    marks = [F.bit_xor(F.when(lane == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(lanes)]
     return texts.select("k1", F.explode(grams(F.col("line"))).alias("t")).groupBy("k1").agg(F.count("*").cast("int").alias("n"), *marks)
 
 
-def _near(threshold: float) -> Column:
+def _near(threshold: float, lanes: int = LANES) -> Column:
     """Whether sizes and marks of ``a`` and ``b`` let them reach the threshold; never false for a pair that does.
 
     At least as many shingles are in one line only as bits differ, and a similar pair has
     at most ``(1-t)/(1+t)`` of both sizes of them.
     """
-    bits = sum((F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(LANES)), F.lit(0))
+    bits = sum((F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(lanes)), F.lit(0))
     sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9
     return sized & (bits <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
 
@@ -187,6 +189,17 @@ def _similar(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.where(common * F.lit(1 + threshold) >= F.col("total") * F.lit(threshold) - 1e-9).select("a", "b")
 
 
+def _maybe(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``k1`` may be among ``keys``: all that are, and those that share a slot of
+    a bitmap with one. The bitmap goes to all tasks, 4 MB however many keys there are."""
+    slot = F.shiftrightunsigned("k1", 64 - BITMAP_BITS) + 1  # these functions count from 1
+    bits = keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("bucket"))
+    return held.where(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*rows.columns)
+
+
 def _rarity(sets: DataFrame) -> Column:
     """How frequent shingles are, by the first ``SLOT_BITS`` bits of their hash: a binary
     value of that fixed size, which the driver makes, with three steps an octave, one byte a slot."""
@@ -197,26 +210,66 @@ def _rarity(sets: DataFrame) -> Column:
     return F.lit(bytes(steps))
 
 
-def _middles(members: DataFrame, lines: DataFrame, draws: int = 15) -> DataFrame:
-    """``pivot, g_p``: the shingles that most of up to ``draws`` lines of a family have.
+def _some(members: DataFrame, draws: int = 15) -> DataFrame:
+    """``pivot, k1``: up to ``draws`` lines of each family, drawn by hash."""
+    key = F.xxhash64("pivot", "draw")
+    drawn = members.select("pivot", "k1", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    return drawn.groupBy("pivot", "draw").agg(F.min(F.col("k1").bitwiseXOR(key)).alias("least")).select("pivot", F.col("least").bitwiseXOR(key).alias("k1")).distinct()
+
+
+def _middles(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """``pivot, g_p``: the shingles that most of some lines of a family have.
 
     ``members`` has ``k1, pivot``. Any set would do for ``_exact``; this one leaves the least
     differences, as a single line's own words would differ from all others.
     """
-    key = F.xxhash64("pivot", "draw")
-    drawn = members.select("pivot", "k1", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    drawn = drawn.groupBy("pivot", "draw").agg(F.min(F.col("k1").bitwiseXOR(key)).alias("least")).select("pivot", F.col("least").bitwiseXOR(key).alias("k1")).distinct()
+    drawn = _some(members)
     held = drawn.groupBy("pivot").agg(F.count("*").alias("drawn"))
-    counts = drawn.join(lines.select("k1", F.explode(grams(F.col("line"))).alias("t")), "k1").groupBy("pivot", "t").agg(F.count("*").alias("c"))
+    # Only the lines drawn are cut into shingles.
+    shingles = drawn.join(lines.select("k1", "line"), "k1").select("pivot", F.explode(grams(F.col("line"))).alias("t"))
+    counts = shingles.groupBy("pivot", "t").agg(F.count("*").alias("c"))
     return counts.join(held, "pivot").groupBy("pivot").agg(F.collect_list(F.when(F.col("c") * 2 > F.col("drawn"), F.col("t"))).alias("g_p"))
 
 
+def _templates(members: DataFrame, pivots: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """``pivot`` of the families of ``members`` (``k1, pivot, m``, the latter their size) whose prefixes
+    cost less than comparing all pairs of their marks, by the prefixes of some of their lines."""
+    share = (1 - threshold) / (1 + threshold)
+    tried = _some(members).join(pivots, "pivot").join(lines.select("k1", "n", grams(F.col("line")).alias("g")), "k1")
+    x = F.size(F.array_except("g", "g_p")) + F.size(F.array_except("g_p", "g"))
+    half = F.greatest(x + 1 - (x + F.col("n") * (threshold * (1 - share) - share) - F.size("g_p")) / 2, F.lit(1))
+    cost = tried.groupBy("pivot").agg(F.avg(half).alias("half"))
+    return members.select("pivot", "m").distinct().join(cost, "pivot").where(F.col("m") > F.col("half") * ROW).select("pivot")
+
+
+def _crowded(members: DataFrame, lines: DataFrame, threshold: float, block: int) -> DataFrame:
+    """All pairs ``(a, b)`` of different roots that reach the threshold, of lines that share a pivot;
+    ``members`` has ``k1, pivot, m``, the latter the lines of a family.
+
+    Families are joined block against block; wide marks drop nearly all other pairs within the
+    join, so that a line moves once a block of its family, however many shingles it has.
+    """
+    marks = written(_marks(lines.join(members.select("k1").distinct(), "k1").select("k1", "line"), WIDE), "line-wide")
+    rows = members.join(lines.select("k1", "root"), "k1").join(marks, "k1").withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
+    sent = ["k1", "root", *marks.columns[1:]]
+    side = lambda k, p, q: rows.select("pivot", p.alias("p"), q.alias("q"), *[F.col(c).alias(f"{c}_{k}") for c in sent])
+    left = side("a", F.col("own"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    right = side("b", F.explode(F.sequence(F.lit(0), F.col("own"))), F.col("own"))
+    met = left.join(right, ["pivot", "p", "q"]).where(F.expr("root_a <> root_b AND (p < q OR k1_a < k1_b)") & _near(threshold, WIDE))
+    met = met.select(F.greatest("k1_a", "k1_b").alias("a"), F.least("k1_a", "k1_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("total"))
+    return _similar(written(met.distinct(), "line-crowds"), lines, threshold)
+
+
 def _exact(lines: DataFrame, families: DataFrame, threshold: float, block: int) -> DataFrame:
     """All pairs ``(a, b)`` of different roots that reach the threshold, of the lines that share a
     pivot and of the brief ones; ``lines`` has ``k1, root, line, brief`` and marks, ``families`` ``k1, pivot``.
 
-    Prefix filtering on what tells lines from the middle of a family (see ``_middles``): with
-    ``x`` and ``y`` shingles that only one of ``a`` and the middle, of ``b`` and the middle has, a
+    Families of up to ``block`` lines, and larger ones whose lines have too little in common for
+    what follows to be cheaper (see ``_templates``), are compared pair by pair (see ``_crowded``).
+
+    For the others and the brief lines: prefix filtering on what tells lines from the middle of
+    a family (see ``_middles``): with ``x`` and ``y`` shingles that only one of ``a`` and the middle, of ``b`` and the middle has, a
     similar pair has at most ``d = r (n_a + n_b)``, ``r = (1-t)/(1+t)``, that only one of ``a`` and
     ``b`` has, so that at least ``(x + y - d)/2`` are in both differences. A line is ``x - r n``
     over; the pair is similar for certain if both together are not over zero, so all lines are
@@ -235,10 +288,14 @@ def _exact(lines: DataFrame, families: DataFrame, threshold: float, block: int)
     share = (1 - threshold) / (1 + threshold)
     # A family of one root is done.
     rooted = families.join(lines.select("k1", "root"), "k1").join(lines.select(F.col("k1").alias("pivot"), F.col("root").alias("own")), "pivot")
-    split = rooted.groupBy("pivot").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("pivot")
-    # Written, so that its size is known.
-    pivots = written(_middles(rooted.where("root = own").select("pivot", "k1").join(split, "pivot"), lines), "line-pivots")
-    kinds = families.join(pivots, "pivot").join(lines.select("k1", "root", "n", *marks, grams(F.col("line")).alias("g")), "k1")
+    split = rooted.groupBy("pivot").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("m")).where("least <> most").select("pivot", "m")
+    # Written, so that their size is known.
+    members = written(rooted.join(split, "pivot").select("k1", "pivot", "m", (F.col("root") == F.col("own")).alias("main")), "line-members")
+    large = members.where(F.col("m") > block)
+    pivots = written(_middles(large.where("main").select("pivot", "k1"), lines), "line-pivots")
+    templates = written(_templates(large, pivots, lines, threshold), "line-templates")
+    crowded = _crowded(members.join(templates, "pivot", "left_anti"), lines, threshold, block)
+    kinds = members.select("k1", "pivot").join(pivots.join(templates, "pivot"), "pivot").join(lines.select("k1", "root", "n", *marks, grams(F.col("line")).alias("g")), "k1")
     # The pivot and the side are part of a shingle's hash.
     only = lambda one, other, side: F.transform(F.array_except(one, other), lambda t: F.xxhash64(t, "pivot", F.lit(side)))
     kinds = kinds.select("k1", "pivot", "root", "n", *marks, F.size("g_p").alias("n_p"), F.concat(only("g", "g_p", 0), only("g_p", "g", 1)).alias("g"))
@@ -279,7 +336,7 @@ def _exact(lines: DataFrame, families: DataFrame, threshold: float, block: int)
     # The differences from one pivot tell the difference of two lines.
     one, other = (sets.select(F.col("k1").alias(k), "pivot", F.col("n").alias(f"n_{k}"), F.col("g").alias(f"g_{k}"), F.size("g").alias(f"x_{k}")) for k in ("a", "b"))
     both = pairs.select("a", "b", "pivot").join(one, ["a", "pivot"]).join(other, ["b", "pivot"])
-    return both.where(F.size(F.array_intersect("g_a", "g_b")) >= need).select("a", "b").union(sure).distinct()
+    return both.where(F.size(F.array_intersect("g_a", "g_b")) >= need).select("a", "b").union(sure).union(crowded).distinct()
 
 
 def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, small: int = 64, redraws: int = 3, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,7 +376,8 @@ def duplicate_lines(docs: DataFrame, threshold: float = 0.8, keep: int = 9, smal
     paired = pairs.select(F.explode(F.array("a", "b")).alias("k1"), F.lit(False).alias("open"))
     # Written, so that its size is known: Spark broadcasts it if small, else joins by key.
     wanted = written(paired.union(open_).groupBy("k1").agg(F.max("open").alias("open")), "line-wanted")
-    texts = lines.select("k1", "line").join(wanted, "k1").groupBy("k1", "open").agg(F.min("line").alias("line"))
+    # Other texts stay where they are.
+    texts = _maybe(lines.select("k1", "line"), wanted).join(wanted, "k1").groupBy("k1", "open").agg(F.min("line").alias("line"))
     texts = written(texts, "line-texts")
     marks = written(_marks(texts), "line-marks")
     close = written(_marked(pairs, marks, threshold), "line-close")

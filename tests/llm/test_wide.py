@@ -345,6 +345,57 @@ def test_lines_of_a_family_rarely_meet(make, spark):
     assert spark.read.parquet(str(new)).count() < len(texts) ** 2 / 20
 
 
+def chance_lines(n, copies):
+    """Lines that have half of their words in common, and some of them again with another word."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    common = [word() for _ in range(18)]
+    family = [[*common, *(word() for _ in range(16))] for _ in range(n)]
+    return [" ".join(x) for x in family + [[*x[:25], word(), *x[26:]] for x in family[:copies]]]
+
+
+def test_families_by_chance_are_not_cut_into_prefixes(make, monkeypatch):
+    texts = chance_lines(400, 60)
+    want = {x: r for x, r in matrix_lines(texts)[0].items() if x != r}
+    assert len(want) == 60
+    write = lines.written
+    # Smaller blocks; and prefixes wherever a family is larger than a block.
+    for block, row in ((1024, lines.ROW), (50, lines.ROW), (50, 0)):
+        rows = {}
+        monkeypatch.setattr(lines, "ROW", row)
+        monkeypatch.setattr(lines, "written", lambda df, name: rows.setdefault(name, write(df, name)))  # noqa: B023
+        got = {r.doc_id: r.kept_doc_id for r in lines.duplicate_lines(make(list(enumerate(texts))), block=block).collect()}
+        assert got == want
+        assert rows["line-nearest"].count() >= len(texts) / 2
+        assert (rows["line-differences"].count() > 0) == (row == 0)
+        assert (rows["line-prefixes"].count() > len(texts)) == (row == 0)
+
+
+def test_crowded_families_miss_no_similar_pair(spark):
+    texts = chance_lines(90, 40)
+    sets = [{x[i:i + 5] for i in range(len(x) - 4)} for x in texts]
+    similar = {(a, b) for a in range(len(texts)) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    df = spark.createDataFrame([(i, i // 2 * 2 if i < 20 else i, x) for i, x in enumerate(texts)], "k1 long, root long, line string")
+    family = [(i, p, 100 if p else 30) for p in (0, 1) for i in (range(100) if p else range(30, 130, 3))]
+    members = spark.createDataFrame(family, "k1 long, pivot long, m long")
+    both = [{i for i, p, _ in family if p == q} for q in (0, 1)]
+    want = {x for x in similar if any(set(x) <= f for f in both)}
+    assert len(want) > 10
+    for block in (7, 1024):
+        found = lines._crowded(members, df, 0.8, block).collect()
+        assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
+
+
+def test_other_texts_stay_where_they_are(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("k1"), F.col("id").cast("string").alias("line"))
+    keys = rows.where("line % 200 = 7 OR k1 = 0").select("k1").union(spark.createDataFrame([(-1,), (0,), (2**63 - 1,), (-2**63,)], "k1 long"))
+    rows = rows.union(spark.createDataFrame([(-1, "a"), (0, "b"), (2**63 - 1, "c"), (-2**63, "d")], "k1 long, line string"))
+    got = {tuple(r) for r in lines._maybe(rows, keys).collect()}
+    want = {tuple(r) for r in rows.join(keys, "k1", "left_semi").collect()}
+    assert len(want) == 104 and want <= got and len(got) < 150
+    assert lines._maybe(rows, keys.limit(0)).count() == 0
+
+
 def test_marks_keep_every_similar_pair(spark):
     rng = random.Random(6)
     texts = []
