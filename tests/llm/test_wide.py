@@ -371,6 +371,18 @@ def test_families_by_chance_are_not_cut_into_prefixes(make, monkeypatch):
         assert (rows["line-prefixes"].count() > len(texts)) == (row == 0)
 
 
+def test_the_line_stage_cuts_no_prefixes_for_families_by_chance(make, monkeypatch):
+    texts = chance_lines(300, 20)
+    docs = make([(i, f"{x}\n{hashlib.sha256(x.encode()).hexdigest()}") for i, x in enumerate(texts)])
+    rows, write = {}, lines.written
+    monkeypatch.setattr(lines, "written", lambda df, name: rows.setdefault(name, write(df, name)))
+    left = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.unique_lines(docs.sparkSession, docs, "").collect()}
+    assert set(left) == set(range(len(texts)))
+    assert {i for i, x in enumerate(texts) if x not in left[i][0]} == set(range(300, 320))
+    assert all(n == len(t) for t, n in left.values())
+    assert rows["line-prefixes"].count() < len(texts)
+
+
 def test_crowded_families_miss_no_similar_pair(spark):
     texts = chance_lines(90, 40)
     sets = [{x[i:i + 5] for i in range(len(x) - 4)} for x in texts]
